@@ -83,7 +83,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-@functools.lru_cache(maxsize=8)
+#: Bytes that are hashed at a time; a longer word is hashed by itself.
+_BLOCK = 1 << 20
+
+
+@functools.lru_cache(maxsize=4)
 def _tables(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     base = (0x9E3779B97F4A7C15 * (2 * seed + 1)) & MASK | 5
     return _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
@@ -113,16 +117,29 @@ class Words:
         self.start, self.end = at[::2], at[1::2]
         ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
         self.first = np.concatenate([[0], np.searchsorted(self.start, ends)])
-        if lower:
-            buf = _LOWER[buf]
-        power, inverse = _tables(seed, 1 << max(16, (len(buf)).bit_length()))
-        total = np.empty(len(buf) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], dtype=np.uint64, out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self._hash(buf, lower, seed)
         self.doc = np.repeat(np.arange(len(raw)), np.diff(self.first))
 
 
+    def _hash(self, buf: np.ndarray, lower: bool, seed: int) -> None:
+        """Polynomial hashes from running sums, over some megabytes at a time so that the tables of powers stay small."""
+        self.hash = np.empty(len(self.start), np.uint64)
+        k = 0
+        while k < len(self.start):
+            low = self.start[k]
+            n = max(k + 1, int(np.searchsorted(self.end, low + _BLOCK, "right")))
+            part = buf[low : self.end[n - 1]]
+            if lower:
+                part = _LOWER[part]
+            power, inverse = _tables(seed, 1 << max(_BLOCK.bit_length() - 1, len(part).bit_length()))
+            total = np.empty(len(part) + 1, np.uint64)
+            total[0] = 0
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], dtype=np.uint64, out=total[1:])
+            start, end = self.start[k:n] - low, self.end[k:n] - low
+            self.hash[k:n] = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+            k = n
+
+
 def rolling(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """Hash of ``hashes[i:i+width]`` for each i at which it fits."""
     if len(hashes) < width:
@@ -135,15 +152,6 @@ def rolling(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def batches(frames, most: int = 2_000_000):
-    """Rows of pandas frames again, in runs of at most so many characters of text (at least one row)."""
-    for frame in frames:
-        sizes = frame["text"].str.len().fillna(0).to_numpy()
-        group = (np.cumsum(sizes) // most).astype(np.int64)
-        for _, part in frame.groupby(group, sort=False):
-            yield part
-
-
 # ---------------------------------------------------------------- packed keys
 
 
@@ -192,14 +200,22 @@ def shard_bounds(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
 
 def bits_for(n_keys: int) -> int:
     """Key width at which one in some ten thousand foreign keys is taken for a member."""
-    return min(64, max(40, math.ceil(math.log2(max(2, n_keys))) + 14))
+    return min(62, max(40, math.ceil(math.log2(max(2, n_keys))) + 14))
+
 
+def chunked(docs: DataFrame, chars_each: int = 10_000_000) -> tuple[DataFrame, int]:
+    """doc_id (as text, null stays null), text and further named columns, dealt to chunks of whole documents; and the number of characters.
 
-def chunk_count(spark: SparkSession, n_words: int, most_words: int = 3_000_000) -> int:
-    """Groups of whole documents for the chunk <-> shard exchanges."""
-    return max(partitions(spark), math.ceil(n_words / most_words))
+    Every user of the chunks names the same exchange, so Spark shuffles the texts once a query.
+    """
+    spark = docs.sparkSession
+    chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    chunks = max(partitions(spark), math.ceil(chars / chars_each))
+    # by a hash of id and content: rows with equal or missing ids spread too
+    chunk = F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(chunks)).cast("int")
+    return docs.withColumn("chunk", chunk).repartition(partitions(spark), "chunk"), chars
 
 
-def doc_chunk(chunks: int):
-    """Documents are dealt by id and, so that equal or missing ids can't meet in one chunk, by the text's own hash."""
-    return F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(chunks)).cast("int")
+def ids_of(column) -> np.ndarray:
+    """Ids that came as text, as numbers; a missing one stands after all others."""
+    return np.array([np.iinfo(np.int64).max if x is None else int(x) for x in column], np.int64)

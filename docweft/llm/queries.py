@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprint, mixing
-
+from . import fingerprint, mixing, ngram_lm, packing, repeats
+from .common import held_out
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,13 +19,38 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def byte_bpe() -> tuple[str, str]:
+    """The file of ranks and the pattern that splits a text before it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, in windows of 2048 tokens."""
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), *byte_bpe(), digest=packing.crc32, digest_type="long")
+    return pieces.select("doc_id", "start", "length", F.col("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; those whose crc32 modulo 5 is 1 are held out."""
+    out = held_out(F.col("doc_id"), 1)
+    scores = ngram_lm.score(table(spark, sf_dir, "documents"), ~out)
+    return scores.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, windows of 13 words."""
+    return repeats.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and their edited texts."""
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op9_fingerprint)}
+    return {f.__name__: f for f in (op2_mixing, op5_packing, op6_lm_scoring, op8_substring_dedup, op9_fingerprint)}
 
 
 MIXING_SQL = """
