@@ -1,9 +1,10 @@
 """Scoring texts with a weighted backoff automaton of smoothed bigrams.
 
-States are the root and the words seen as histories. A state has an arc for each word seen after it, of weight
-log p = log((c(h,w) + MU p(w)) / (c(h) + MU)), and a failure arc to the root of weight log(MU / (c(h) + MU)); the root has an arc
-for each word, of weight log p(w) with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), in which all unknown words share one place.
-So each state's probabilities sum to 1. A text is read from left to right; each word leads to its own state.
+States are the root and the words seen as histories. A state h has a failure arc to the root of weight log m(h), with the
+mass m(h) = 1 / (1 + A c(h)^B) of what was not seen after h, and an arc for each word seen after it, of weight
+log((1 - m(h)) c(h,w) / c(h) + m(h) p(w)); the root has an arc for each word, of weight log p(w) with
+p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), in which all unknown words share one place. So each state's probabilities sum to 1.
+A text is read from left to right; each word leads to its own state.
 
 The model is never in one place. Documents are dealt to chunks; a chunk sends the sorted hashes of its distinct words and
 bigrams, with their training counts, to shards by hash range; each shard adds up and returns the totals of just those keys, in
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, chunked, mix, pack, partitions, shard_bounds, squeeze, unpack, unsqueeze
 
-MU = 4.0
+A, B = 0.25, 0.2
 KEY_BITS = 56
 _END, _BEGIN = np.uint64(0x51ED270B3A2C7F11), np.uint64(0x2545F4914F6CDD1D)
 _SHIFT = np.uint64(64 - KEY_BITS)
@@ -78,8 +79,8 @@ class Automaton:
         root = np.log10((word + 0.5) / self.total)
         state = self.count(s.history_key)
         arc = self.count(s.pair_key)
-        failure = np.log10(MU / (state + MU))
-        step = np.where(arc > 0, np.log10((arc + MU * (word + 0.5) / self.total) / (state + MU)), failure + root)
+        mass = 1 / (1 + A * state**B)
+        step = np.where(arc > 0, np.log10((1 - mass) * arc / np.maximum(state, 1) + mass * (word + 0.5) / self.total), np.log10(mass) + root)
         return word > 0, root, step
 
 
