@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, ngram_lm, packing, repeats
+from . import fingerprint, mixing, ngram_lm, packing, repeats, token_count, toxicity
 from .common import held_out
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; labels are learnt from those whose crc32 modulo 5 is not 0."""
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 0)
+    lexicon = toxicity.train(table(spark, sf_dir, "labels").filter(~out), docs)
+    scored = toxicity.score(docs.select("doc_id", "text"), lexicon)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def byte_bpe() -> tuple[str, str]:
     """The file of ranks and the pattern that splits a text before it."""
     import public_tokenizers
@@ -39,6 +47,13 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with the pieces and scores of the 32k vocabulary."""
+    import public_tokenizers
+
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, windows of 13 words."""
     return repeats.find_repeats(table(spark, sf_dir, "documents"))
@@ -50,7 +65,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op5_packing, op6_lm_scoring, op8_substring_dedup, op9_fingerprint)}
+    return {f.__name__: f for f in (op2_mixing, op3_toxicity, op5_packing, op6_lm_scoring, op7_token_counts, op8_substring_dedup, op9_fingerprint)}
 
 
 MIXING_SQL = """
