@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, ngram_lm, packing, repeats, token_count, toxicity
+from . import fingerprint, jaccard_join, mixing, ngram_lm, packing, repeats, token_count, toxicity
 from .common import held_out
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, five words a shingle, similarity of 0.8 or more."""
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def byte_bpe() -> tuple[str, str]:
     """The file of ranks and the pattern that splits a text before it."""
     import public_tokenizers
@@ -65,7 +70,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_toxicity, op5_packing, op6_lm_scoring, op7_token_counts, op8_substring_dedup, op9_fingerprint)}
+    return {f.__name__: f for f in (op2_mixing, op3_toxicity, op4_jaccard_join, op5_packing, op6_lm_scoring, op7_token_counts, op8_substring_dedup, op9_fingerprint)}
 
 
 MIXING_SQL = """
