@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard_join, mixing, ngram_lm, packing, repeats, token_count, toxicity
+from . import fingerprint, hamming, jaccard_join, mixing, ngram_lm, packing, repeats, token_count, toxicity, warc
 from .common import held_out
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of each vector whose id is divisible by 50, among all vectors."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.search(rows, rows.filter("id % 50 = 0"), 10)
+
+
+HAMMING_SQL = """
+WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings WHERE len(embedding) > 0),
+d AS (SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.bits[i] <> r.bits[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+      FROM b q JOIN b r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d) WHERE rank <= 10
+"""
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, sources weighing 5, 2, 1 in turn."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -69,8 +84,63 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """Two records of each page: its full response, and a later revisit whose validators agree, contradict or are missing."""
+    url = F.when(F.col("page_id") % 7 == 0, F.regexp_replace("url", "[#?].*$", "")).otherwise(F.col("url"))
+    date = lambda c: F.concat(F.lit("day "), (c / 86400).cast("long").cast("string"))
+    t, u = F.col("page_id") * 600, F.col("page_id") * 600 + 300 + (F.col("page_id") % 5) * 86400
+    tag, text = F.concat(F.lit('"'), F.md5("html"), F.lit('"')), F.length("html").cast("string")
+    full = F.map_from_arrays(
+        F.array(*map(F.lit, ["content-type", "content-length", "date", "etag", "last-modified", "set-cookie"])),
+        F.array(F.lit("text/html"), text, date(t), F.when(F.col("page_id") % 3 != 1, tag), date(t), F.lit("a=1")),
+    )
+    etag = F.when(F.col("page_id") % 11 == 0, F.lit('"other"')).when(F.col("page_id") % 4 == 0, F.concat(F.lit("W/"), tag)).when(F.col("page_id") % 4 == 1, tag)
+    again = F.map_from_arrays(
+        F.array(*map(F.lit, ["date", "etag", "last-modified", "cache-control", "set-cookie", "x-cache"])),
+        F.array(date(u), etag, F.when(F.col("page_id") % 2 == 0, date(t)), F.lit("max-age=60"), F.lit("a=2"), F.lit("hit")),
+    )
+    some = lambda m: F.map_filter(m, lambda _, v: v.isNotNull())
+    name = lambda x: F.concat(F.lit(x), F.col("page_id").cast("string"))
+    return pages.select(F.inline(F.array(
+        F.struct(name("full-").alias("record_id"), F.col("url").alias("url"), t.alias("ts"), F.lit(200).alias("status"), some(full).alias("headers")),
+        F.struct(name("again-").alias("record_id"), url.alias("url"), u.alias("ts"), F.lit(304).alias("status"), some(again).alias("headers")),
+    )))
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revisits among all pages' records, with their merged headers as lines."""
+    found = warc.resolve_revisits(crawl_records(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    return found.select("record_id", "url_key", "ts", "target_id", "verdict", lines.alias("headers"))
+
+
+WARC_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN regexp_replace(url, '[#?].*$', '') ELSE url END AS url2, page_id * 600 AS t, page_id * 600 + 300 + (page_id % 5) * 86400 AS u,
+    '"' || md5(html) || '"' AS tag, CAST(length(html) AS VARCHAR) AS size FROM pages),
+rec AS (
+  SELECT 'full-' || page_id AS record_id, url, t AS ts, 200 AS status, CASE WHEN page_id % 3 <> 1 THEN tag END AS etag, 'day ' || (t // 86400) AS lm, 'day ' || (t // 86400) AS date, size FROM p
+  UNION ALL
+  SELECT 'again-' || page_id, url2, u, 304, CASE WHEN page_id % 11 = 0 THEN '"other"' WHEN page_id % 4 = 0 THEN 'W/' || tag WHEN page_id % 4 = 1 THEN tag END,
+    CASE WHEN page_id % 2 = 0 THEN 'day ' || (t // 86400) END, 'day ' || (u // 86400), NULL FROM p),
+a AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS x FROM rec),
+b AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(x, '^[^/?]*')), ':(80|443)$', ''), '^(www|m)\.', '') AS host, regexp_replace(x, '^[^/?]*', '') AS rest FROM a),
+c AS (SELECT *, regexp_replace(regexp_extract(rest, '^[^?]*'), '/+$', '') AS path,
+        regexp_replace(regexp_replace(regexp_replace(rest, '^[^?]*', ''), '(^[?]|&)(utm_[a-z]+|ref|gclid|fbclid)=[^&]*', '', 'g'), '^[?&]+', '') AS query FROM b),
+k AS (SELECT record_id, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key, ts, status, etag, lm, date, size FROM c),
+m AS (SELECT n.record_id, n.url_key, n.ts, n.etag AS e2, n.lm AS l2, n.date AS d2, f.record_id AS target_id, f.etag AS e1, f.lm AS l1, f.size AS size,
+        row_number() OVER (PARTITION BY n.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) AS nth
+      FROM k n LEFT JOIN k f ON f.status = 200 AND f.url_key = n.url_key AND f.ts <= n.ts WHERE n.status = 304),
+v AS (SELECT *, CASE WHEN target_id IS NULL THEN 'missing'
+        WHEN e1 IS NOT NULL AND e2 IS NOT NULL THEN CASE WHEN regexp_replace(e1, '^W/', '') = regexp_replace(e2, '^W/', '') THEN 'resolved' ELSE 'changed' END
+        WHEN l1 IS NOT NULL AND l2 IS NOT NULL THEN CASE WHEN l1 = l2 THEN 'resolved' ELSE 'changed' END ELSE 'unchecked' END AS verdict FROM m WHERE nth = 1)
+SELECT record_id, url_key, ts, target_id, verdict, CASE WHEN verdict IN ('resolved', 'unchecked') THEN concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || size, 'content-type: text/html', 'date: ' || d2,
+  'etag: ' || coalesce(e2, e1), 'last-modified: ' || coalesce(l2, l1), 'set-cookie: a=1') END AS headers FROM v
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_toxicity, op4_jaccard_join, op5_packing, op6_lm_scoring, op7_token_counts, op8_substring_dedup, op9_fingerprint)}
+    return {f.__name__: f for f in (op1_hamming_topk, op2_mixing, op3_toxicity, op4_jaccard_join, op5_packing, op6_lm_scoring, op7_token_counts, op8_substring_dedup, op9_fingerprint, op10_warc_revisits)}
 
 
 MIXING_SQL = """
@@ -94,4 +164,4 @@ SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN can AND p > 0
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": MIXING_SQL}
+    return {"op1_hamming_topk": HAMMING_SQL, "op2_mixing": MIXING_SQL, "op10_warc_revisits": WARC_SQL}
