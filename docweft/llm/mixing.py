@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, only, small
+from .common import cut, small
 
 #: Cells per source and level.
 CELLS = 1024
@@ -57,29 +57,36 @@ def uniform(seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, odds_col: str | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for each row of ``docs`` (doc_id, source, text).
+    """doc_id, source, size, source_size, target, copies, taken for each row of ``docs`` (doc_id, source, text).
 
     ``odds_col`` names a positive column by which documents of one source are preferred; without it all documents of a source
     have the same odds, and odds differ between sources only. No document is copied more than ``most`` times, rounded down.
     """
-    sized = only(docs, doc_id="long", source="string", text="string").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    if odds_col:
-        sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.greatest(F.coalesce(F.col(odds_col).cast("double"), F.lit(1.0)), F.lit(1e-9)).alias("wish"))
-    else:
-        sized = sized.withColumn("wish", F.lit(1.0))
-    sized = cut(sized)
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("wish")).alias("wished"))
-    per = cut(per)
-    targets = cut(source_targets(per.select("source", "source_size"), weights, most).join(per.select(F.col("source").alias("s"), "wished"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    rows = _join_source(sized, targets)
-    share = F.when(F.col("wished") > 0, F.col("target") * F.col("wish") / F.col("wished")).otherwise(0.0)
-    rows = rows.withColumn("share", F.least(share, F.lit(float(int(most)))))
-    p = F.col("share") - F.floor("share")
-    u = uniform(seed)
-    rank = F.when(p <= 0, 1.0).otherwise((u / (1 - u)) / (p / (1 - p)) / (1 + (u / (1 - u)) / (p / (1 - p))))
-    rows = rows.withColumns({"whole": F.floor("share"), "rank": rank, "can": (F.col("share") < int(most)) & (F.col("size") > 0)})
-    # where each source's words meet its target: refine the cell in which that happens
-    marks = targets.join(rows.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("whole") * F.col("size")).alias("sure")), F.col("source").eqNullSafe(F.col("s")), "left")
+    sized = cut(_sized(docs, odds_col))
+    out = _decide(sized, _marks(sized, weights, most, seed), most, seed)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, odds_col: str | None = None) -> DataFrame:
+    """The rows of the mix: each row of ``docs`` as often as it is taken, with all its columns."""
+    rows = _sized(docs, odds_col, F.struct("*").alias("row"))
+    out = _decide(rows, _marks(cut(rows.drop("row")), weights, most, seed), most, seed).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+
+
+def _sized(docs: DataFrame, odds_col: str | None, *more: Column) -> DataFrame:
+    wish = F.greatest(F.coalesce(F.col(odds_col).cast("double"), F.lit(1.0)), F.lit(1e-9)) if odds_col else F.lit(1.0)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), wish.alias("wish"), *more)
+
+
+def _marks(sized: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
+    """One row per source: source_size, target, wished, and up to which rank its documents are taken (all below ``low``, then up to ``last``)."""
+    per = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("wish")).alias("wished")))
+    targets = source_targets(per.select("source", "source_size"), weights, most)
+    targets = cut(targets.join(per.select(F.col("source").alias("s"), "wished"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    rows = _ranked(sized, targets, most, seed)
+    sure = rows.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))
+    marks = targets.join(sure, F.col("source").eqNullSafe(F.col("s")), "left")
     marks = marks.select("source", (F.col("target") - F.coalesce("sure", F.lit(0))).alias("need"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
     for _ in range(LEVELS):
         marks = cut(_refine(rows, marks))
@@ -88,11 +95,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     edge = edge.withColumn("run", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     # a document is taken if that brings the sum nearer to the target than leaving it out
     last = edge.filter(F.col("run") - F.col("size") / 2.0 <= F.col("need")).groupBy("source").agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"))
-    marks = cut(marks.withColumnRenamed("source", "src").join(last, F.col("src").eqNullSafe(F.col("source")), "left").select(F.col("src").alias("source"), "low", "last"))
-    taken = _join_source(rows, marks)
+    marks = targets.select(F.col("source").alias("src"), "source_size", "target", "wished").join(marks.select(F.col("source").alias("s"), "low"), F.col("src").eqNullSafe(F.col("s")))
+    return cut(marks.join(last, F.col("src").eqNullSafe(F.col("source")), "left").select(F.col("src").alias("source"), "source_size", "target", "wished", "low", "last"))
+
+
+def _ranked(rows: DataFrame, targets: DataFrame, most: float, seed: int) -> DataFrame:
+    """The rows with their source's row, their certain copies ``whole``, their ``rank`` in (0, 1), and whether they ``can`` be taken once more."""
+    share = F.when(F.col("wished") > 0, F.col("target") * F.col("wish") / F.col("wished")).otherwise(0.0)
+    rows = _join_source(rows, targets).withColumn("share", F.least(share, F.lit(float(int(most)))))
+    p, u = F.col("share") - F.floor("share"), uniform(seed)
+    odds = (u / (1 - u)) / (p / (1 - p))
+    return rows.withColumns({"whole": F.floor("share"), "rank": F.when(p <= 0, 1.0).otherwise(odds / (1 + odds)), "can": (F.col("share") < int(most)) & (F.col("size") > 0)})
+
+
+def _decide(rows: DataFrame, marks: DataFrame, most: float, seed: int) -> DataFrame:
+    """The rows with ``copies``."""
+    rows = _ranked(rows, marks, most, seed)
     extra = F.col("can") & ((F.col("rank") < F.col("low")) | F.coalesce(F.struct("rank", "doc_id", "size") <= F.col("last"), F.lit(False)))
-    copies = F.col("whole") + F.when(extra, 1).otherwise(0)
-    return taken.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return rows.withColumn("copies", (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("long"))
 
 
 def _join_source(rows: DataFrame, table: DataFrame) -> DataFrame:

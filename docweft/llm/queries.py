@@ -139,8 +139,15 @@ SELECT record_id, url_key, ts, target_id, verdict, CASE WHEN verdict IN ('resolv
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hamming_topk, op2_mixing, op3_toxicity, op4_jaccard_join, op5_packing, op6_lm_scoring, op7_token_counts, op8_substring_dedup, op9_fingerprint, op10_warc_revisits)}
+    return {f.__name__: f for f in (op1_hamming_topk, op2_mixing, op3_toxicity, op4_jaccard_join, op5_packing, op6_lm_scoring, op7_token_counts, op8_substring_dedup, op9_fingerprint, op10_warc_revisits, pipeline)}
 
 
 MIXING_SQL = """

@@ -23,7 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import only
@@ -227,11 +227,20 @@ def train(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS) -> Lex
     return Lexicon([(r.pattern, r.value) for r in rows if r.kind == 0], [r.pattern for r in rows if r.kind == 1], [r.value for r in rows if r.kind == 2])
 
 
+def scorer(lexicon: Lexicon, text: Column) -> Column:
+    """The score of a text, 0 to 1."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(lexicon.scores(np.array([lexicon.features(t) for t in texts]).reshape(-1, 3)))
+
+    return F.pandas_udf(run, "double")(text.cast("string"))
+
+
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows with ``score``, 0 to 1."""
+    """The rows with ``score``."""
+    return docs.withColumn("score", scorer(lexicon, F.col("text")))
 
-    def run(columns):
-        return pd.Series(lexicon.scores(np.array([lexicon.features(t) for t in columns]).reshape(-1, 3)))
 
-    scored = F.pandas_udf(run, "double")
-    return docs.withColumn("score", scored(F.col("text").cast("string")))
+def keep_clean(docs: DataFrame, lexicon: Lexicon, most: float = 0.5) -> DataFrame:
+    """The rows whose score is below ``most``."""
+    return docs.filter(scorer(lexicon, F.col("text")) < most)
