@@ -3,7 +3,7 @@
 A repeat is a run of at least ``window`` words whose every window also starts in a document with a smaller id; windows are
 judged on the input. Each text is cut into non-overlapping reference blocks of ``(window + 1) // 2`` words, so any window holds
 one whole block. Blocks are the index, every rolling stretch of block length is a probe, and a stretch that meets a block
-elsewhere is an anchor. Around anchors, and only there, whole windows are compared by 128-bit hashes of their words against the
+elsewhere is an anchor. Around anchors, and only there, whole windows are compared by 96-bit hashes of their words against the
 least id that has them; overlapping repeated windows join to maximal exact repeats, whose words are removed.
 
 Documents are dealt to chunks, keys to shards by hash range. A chunk sends each distinct key once, so a passage that a third of
@@ -64,8 +64,8 @@ class Passages:
         return self.words.doc[:m] == self.words.doc[self.window - 1 :] if m > 0 else np.zeros(0, bool)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Both 64-bit hashes of each window."""
-        return rolling(self.words.hash, self.window, 1), rolling(mixed(self.words.hash), self.window, 2)
+        """Two hashes of each window, of 64 and 32 bits."""
+        return rolling(self.words.hash, self.window, 1), (rolling(mixed(self.words.hash), self.window, 2) >> np.uint64(32)).astype(np.uint32)
 
 
 def mixed(hashes: np.ndarray) -> np.ndarray:
@@ -120,13 +120,13 @@ def _scan(docs: DataFrame, window: int):
         full = np.flatnonzero(np.diff(limit))
         part = [slice(limit[k], limit[k + 1]) for k in full]
         return pd.DataFrame({
-            "chunk": left["chunk"].iloc[0], "shard": full, "first": [pack64(one[s]) for s in part], "second": [two[s].tobytes() for s in part],
+            "chunk": left["chunk"].iloc[0], "shard": full, "first": [pack(one[s]) for s in part], "second": [two[s].tobytes() for s in part],
             "least": [squeeze(least[s].view(np.uint64)) for s in part], "most": [squeeze((most[s] - least[s]).view(np.uint64)) for s in part],
         })
 
     def judge(key, frame):
         """The windows of each chunk that stand in a document with a smaller id than one of the chunk's."""
-        first, second = [np.frombuffer(b, np.uint64) for b in frame["first"]], [np.frombuffer(b, np.uint64) for b in frame["second"]]
+        first, second = [unpack(b) for b in frame["first"]], [np.frombuffer(b, np.uint32) for b in frame["second"]]
         least = [unsqueeze(b).view(np.int64) for b in frame["least"]]
         most = [a + unsqueeze(b).view(np.int64) for a, b in zip(least, frame["most"])]
         one, two, ids = np.concatenate(first), np.concatenate(second), np.concatenate(least)
@@ -139,7 +139,7 @@ def _scan(docs: DataFrame, window: int):
             low = lowest[k : k + len(a)]
             k += len(a)
             if (keep := low < m).any():
-                rows.append((chunk, a[keep].tobytes(), b[keep].tobytes(), low[keep].tobytes()))
+                rows.append((chunk, pack(a[keep]), b[keep].tobytes(), squeeze(low[keep].view(np.uint64))))
         return pd.DataFrame(rows, columns=["chunk", "first", "second", "least"])
 
     asked = dealt.groupBy("chunk").applyInPandas(probe, "chunk int, shard int, keys binary, marks binary")
@@ -148,17 +148,15 @@ def _scan(docs: DataFrame, window: int):
     return dealt, near.groupBy("shard").applyInPandas(judge, "chunk int, first binary, second binary, least binary")
 
 
-def pack64(keys: np.ndarray) -> bytes:
-    return keys.tobytes()
-
-
 def removed_words(left: pd.DataFrame, right: pd.DataFrame, window: int) -> tuple[Words, np.ndarray]:
     """The words of a chunk's texts, and which of them repeated windows cover."""
     p = Passages(left["text"], window, 62)
     w = p.words
     gone = np.zeros(len(w.hash) + 1, np.int64)
     if len(right):
-        a, b, low = (np.concatenate([np.frombuffer(x, kind) for x in right[name]]) for name, kind in (("first", np.uint64), ("second", np.uint64), ("least", np.int64)))
+        a = np.concatenate([unpack(x) for x in right["first"]])
+        b = np.concatenate([np.frombuffer(x, np.uint32) for x in right["second"]])
+        low = np.concatenate([unsqueeze(x).view(np.int64) for x in right["least"]])
         order = np.lexsort((b, a))
         a, b, low = a[order], b[order], low[order]
         one, two = p.windows()
