@@ -61,8 +61,9 @@ def collisions(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with ``fingerprint``: equal for canonically equal texts, and by byte comparison for no others."""
     clash = cut(collisions(docs, text_col))
-    keyed = docs.withColumn("_canon", canonical(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_digest", digest(F.col("_canon")))
-    return _with_ordinal(keyed, clash, "_digest", "_canon", "fingerprint").drop("_canon", "_digest")
+    keyed = docs.select(F.struct("*").alias("row"), canonical(F.coalesce(F.col(text_col), F.lit(""))).alias("own")).withColumn("own_digest", digest(F.col("own")))
+    out = _with_ordinal(keyed, clash, "own_digest", "own", "fingerprint")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "fingerprint"], "fingerprint")
 
 
 def _with_ordinal(df: DataFrame, clash: DataFrame, digest_col: str, canon_col: str, out: str) -> DataFrame:
@@ -116,7 +117,7 @@ def edited_fingerprints(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left(F.col("text"), F.length("text") - half), F.left(F.coalesce("next_text", F.lit("")), half))
     out = paired.withColumns({"n_chars": F.length("text").cast("long"), "edited": edited})
-    out = out.select("doc_id", "n_chars", "edited", *[canonical(F.col(c)).alias(f"c{k}") for k, c in enumerate(("text", "edited", "next_text"))])
+    out = out.select("doc_id", "n_chars", "edited", *[canonical(F.coalesce(F.col(c), F.lit(""))).alias(f"c{k}") for k, c in enumerate(("text", "edited", "next_text"))])
     out = out.withColumns({f"d{k}": digest(F.col(f"c{k}")) for k in range(3)})
     for k in range(3):
         out = _with_ordinal(out, clash, f"d{k}", f"c{k}", f"f{k}")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import batches, only
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -94,9 +94,9 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(frames):
         counter = Counter(read_vocabulary(model_path))
-        for frame in frames:
+        for frame in batches(frames):
             texts = frame["text"].tolist()
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_chars": [len(t or "") for t in texts], "n_tokens": [counter.of_text(t) for t in texts]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_chars": [len(t or "") for t in texts], "n_tokens": [counter.of_text(t) for t in texts]})
 
     out = only(docs, doc_id="string", text="string").mapInPandas(run, "doc_id string, n_chars long, n_tokens long")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, release
 
 FIT_ROWS = 4_000
 TERMS, PHRASES = 2_000, 2_000
@@ -86,16 +86,21 @@ def learn_terms(texts: list[str], labels: list[int]) -> list[tuple[str, float]]:
     """Patterns (" word " or " stem") and weights from folded texts."""
     words: list[Counter] = [Counter(), Counter()]
     stems: list[Counter] = [Counter(), Counter()]
-    heads: list[set] = [set(), set()]
     n = [0, 0]
-    for text, y in zip(texts, labels):
-        if text[:96] in heads[y] or text[-96:] in heads[y]:
-            continue
-        heads[y] |= {text[:96], text[-96:]}
-        n[y] += 1
-        own = set(text.split())
-        words[y].update(own)
-        stems[y].update({w[:k] for w in own for k in range(STEM, min(len(w), 12) + 1)})
+    for y in (1, 0):  # what few texts of label 1 have can be no term, and is not counted in those of label 0
+        seen: set[str] = set()
+        for text in (t for t, label in zip(texts, labels) if label == y):
+            if text[:96] in seen or text[-96:] in seen:
+                continue
+            seen |= {text[:96], text[-96:]}
+            n[y] += 1
+            own = set(text.split())
+            words[y].update(own if y else own & words[1].keys())
+            begins = {w[:k] for w in own for k in range(STEM, min(len(w), 12) + 1)}
+            stems[y].update(begins if y else begins & stems[1].keys())
+        for counts in (words[y], stems[y]):
+            for rare in [w for w, k in counts.items() if k < SUPPORT and y]:
+                del counts[rare]
     nc, nt = n
     if not nc or not nt:
         return []
@@ -221,6 +226,7 @@ def train(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS) -> Lex
     def fit(frame):
         frame = frame.sort_values(["id", "text"])
         terms, phrases, model = learn(frame["text"].tolist(), frame["toxic"].tolist())
+        release()
         return pd.DataFrame([(0, p, w) for p, w in terms] + [(1, p, 0.0) for p in phrases] + [(2, "", b) for b in model], columns=["kind", "pattern", "value"])
 
     rows = sample(labelled, docs, fit_rows).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "kind int, pattern string, value double").collect()
