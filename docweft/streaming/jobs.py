@@ -33,12 +33,12 @@ def run_now(stream: DataFrame, mode: str, key: list[str]) -> DataFrame:
     out = shared_folder(spark)
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/n={n}")
+        batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/{n}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     columns, schema = stream.columns, stream.withColumn("_batch", F.lit(0)).schema
-    spark.createDataFrame([], schema).write.mode("append").parquet(f"{out}/rows/n=-1")  # there may have been nothing to read
-    rows = spark.read.schema(schema).parquet(f"{out}/rows")
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{out}/rows/none")  # there may have been nothing to read
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/rows")
     if not key:
         return rows.select(columns)
     last = rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in columns if c not in key]), "_batch").alias("_last"))
