@@ -23,10 +23,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, drop_cut, mix, partitions, rolling
+from .common import Words, batches, cut, mix, partitions, release, rolling
 from .graph import components
 
 SIGNATURE = 64
@@ -78,28 +78,42 @@ def extend(paths: np.ndarray, owner: np.ndarray, tokens: np.ndarray, threshold:
     most = np.uint64(min((1 << 64) - 1, int((1 << 64) / (threshold * SIGNATURE))))
     place = np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     found, whose = [], []
-    for k in range(0, len(paths), 20_000):
-        h = mix(paths[k : k + 20_000, None] * np.uint64(0xD1342543DE82EF95) + tokens[owner[k : k + 20_000]] + place)
+    for k in range(0, len(paths), 4_000):
+        h = mix(paths[k : k + 4_000, None] * np.uint64(0xD1342543DE82EF95) + tokens[owner[k : k + 4_000]] + place)
         row, col = np.nonzero(mix(h ^ np.uint64(0x5851F42D4C957F2D)) < most)
         found.append(h[row, col])
-        whose.append(owner[k : k + 20_000][row])
+        whose.append(owner[k : k + 4_000][row])
     return (np.concatenate(found), np.concatenate(whose)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def tokens_of(packed) -> np.ndarray:
-    """A byte of each token, a row per signature."""
-    return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, SIGNATURE)
+    """A byte of each token, a row per signature; they travel as eight to a number."""
+    return np.array(packed.tolist(), np.int64).view(np.uint8).reshape(-1, SIGNATURE)
 
 
-def brute_edges(tokens: np.ndarray) -> list[tuple[int, int]]:
-    """Loose links among the rows of a bucket, as edges to rows that stand for others."""
-    left, out = np.arange(len(tokens)), []
+def _folded(shift: int):
+    return lambda v: v.bitwiseOR(F.shiftrightunsigned(v, shift))
+
+
+def alike(a: str, b: str) -> Column:
+    """Share of the tokens that two signatures have in common: of the numbers' differences, the bytes that are zero are counted."""
+    x = F.zip_with(a, b, lambda p, q: p.bitwiseXOR(q))
+    for shift in (4, 2, 1):  # brings all bits of a byte together in its lowest one
+        x = F.transform(x, _folded(shift))
+    differ = F.aggregate(x, F.lit(0), lambda total, v: total + F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101))))
+    return 1 - differ / SIGNATURE
+
+
+def brute_roots(tokens: np.ndarray) -> np.ndarray:
+    """Of each row of a bucket the least row that it is loosely linked with, over any number of links."""
+    left, ones, others = np.arange(len(tokens)), [], []
     while len(left) > 1:
         lead, left = left[0], left[1:]
         alike = (tokens[left] == tokens[lead]).mean(axis=1)
-        out += [(int(k), int(lead)) for k in left[alike >= LOOSE]]
+        ones.append(left[alike >= LOOSE])
+        others.append(np.full(len(ones[-1]), lead))
         left = left[alike < NEAR]
-    return out
+    return roots(len(tokens), np.concatenate(ones), np.concatenate(others)) if ones else left
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -177,7 +191,7 @@ class Join:
         def run(frames):
             import xxhash
 
-            for frame in frames:
+            for frame in batches(frames):
                 sets = shingle_sets(frame["text"], width)
                 tokens = signatures(sets)
                 paths = np.tile(mix(np.arange(1, runs + 1, dtype=np.uint64)), len(sets))
@@ -188,28 +202,25 @@ class Join:
                 limits = np.searchsorted(owner[order], np.arange(len(sets) + 1))
                 paths = paths[order].view(np.int64)
                 yield pd.DataFrame({
-                    "doc_id": frame["doc_id"], "node": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "tokens": [t.tobytes() for t in tokens.astype(np.uint8)],
+                    "doc_id": frame["doc_id"].to_numpy(), "node": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                    "tokens": list(np.ascontiguousarray(tokens.astype(np.uint8)).view(np.int64)),
                     "paths": [np.unique(paths[a:b]) if len(s) else np.zeros(0, np.int64) for s, a, b in zip(sets, limits[:-1], limits[1:])],
                 })
 
-        return rows.mapInPandas(run, "doc_id string, node binary, tokens binary, paths array<long>")
+        return rows.mapInPandas(run, "doc_id string, node binary, tokens array<long>, paths array<long>")
 
     def _candidates(self) -> DataFrame:
         """Loose links between nodes: a, b."""
         threshold = self.threshold
 
-        @F.pandas_udf("double")
-        def alike(a, b):
-            return pd.Series((tokens_of(a) == tokens_of(b)).mean(axis=1)) if len(a) else pd.Series([], dtype=float)
-
         def brute(frame):
-            out = []
+            out = set()  # a row has one edge in a bucket, and the same edges come again in other buckets
             for _, bucket in frame.groupby("path", sort=False):
                 if len(bucket) > 1:
                     names = bucket["node"].tolist()
-                    out += [(names[i], names[j]) for i, j in brute_edges(tokens_of(bucket["tokens"]))]
-            return pd.DataFrame(out, columns=["a", "b"])
+                    out |= {(names[i], names[j]) for i, j in enumerate(brute_roots(tokens_of(bucket["tokens"]))) if i != j}
+            release()
+            return pd.DataFrame(sorted(out), columns=["a", "b"])
 
         def split(frames):
             for frame in frames:
@@ -250,7 +261,7 @@ class Join:
         def sets(frames):
             import xxhash
 
-            for frame in frames:
+            for frame in batches(frames):
                 found = shingle_sets(frame["text"], width)
                 own = [xxhash.xxh3_128_digest(s.tobytes()) == node for s, node in zip(found, frame["node"])]
                 frame = frame.drop(columns="text").assign(shingles=[s.tobytes() for s in found])
@@ -281,6 +292,7 @@ class Join:
                     a, b = x[a], y[b]
                 root = roots(len(names), a, b)
                 out += [(names[k], int(links[k]), names[root[k]]) for k in range(len(names)) if links[k]]
+            release()
             return pd.DataFrame(out, columns=["node", "links", "peer"])
 
         cols = ["node", "root", "i", "j", "block", "copies", "shingles"]
@@ -298,5 +310,7 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, reca
 def keep_one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
     """The rows of ``docs``, of each class only that with the least id; rows with a missing id stay. Ids are taken to be unique."""
     classes = link_documents(docs, width, threshold, recall)
-    drop = classes.filter("doc_id != class_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    drop = classes.filter("doc_id != class_id").select(F.col("doc_id").alias("id"))
+    # the row travels as one value, so none of its columns can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
+    return rows.join(drop, "id", "left_anti").select("row.*")
