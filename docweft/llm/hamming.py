@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, partitions
+from .common import cut, partitions
 
 #: Open queries that are compared with all codes at a time.
 QUERY_BLOCK = 2_000
@@ -49,6 +49,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = 64) -> DataF
     """query_id, rank, neighbor_id, distance from rows and queries (id, code)."""
     rows = rows.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).filter("id is not null and code is not null")
     queries = cut(queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long").alias("q")).filter("query_id is not null and q is not null"))
+    spark = rows.sparkSession
     need = k + 1  # the query itself may be among them
     by_code = Window.partitionBy("code").orderBy("id")
     least = cut(rows.withColumn("n", F.row_number().over(by_code)).filter(F.col("n") <= need).drop("n"))
@@ -66,10 +67,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = 64) -> DataF
         if sum(math.comb(w, radius) for _, w in cuts) > max(64, n_codes) or radius > max(w for _, w in cuts):
             done.append(_compare_all(codes, open_, need))
             break
-        masks = [F.array(*[F.lit(sum(1 << b for b in turned)).cast("long") for turned in itertools.combinations(range(w), radius)]) for _, w in cuts]
-        probes = open_.select("q", F.inline(part(F.col("q")))).withColumn("mask", F.explode(F.element_at(F.array(*masks), F.col("s") + 1) if len({w for _, w in cuts}) == 1 else _choose(masks)))
+        masks = {w: _long_array([sum(1 << b for b in turned) for turned in itertools.combinations(range(w), radius)]) for _, w in cuts}
+        probes = open_.repartition(partitions(spark), "q").select("q", F.inline(part(F.col("q"))))
+        probes = probes.withColumn("mask", F.explode(_choose([masks[w] for _, w in cuts])))
         probes = probes.select("q", "s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
-        hits = probes.join(index, ["s", "v"]).select("q", "code", "copies", "first", distance(F.col("q"), F.col("code")).alias("d"))
+        # Spark can't foresee how many values there are, so it is told not to broadcast them
+        hits = probes.hint("merge").join(index, ["s", "v"]).select("q", "code", "copies", "first", distance(F.col("q"), F.col("code")).alias("d"))
         fresh = best(hits.distinct())
         found_now = cut(best(found.unionByName(fresh).distinct()) if found is not None else fresh)
         covered = len(cuts) * (radius + 1) - 1
@@ -89,6 +92,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = 64) -> DataF
     return each.select("query_id", F.posexplode("near").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("neighbor_id"), F.col("x.d").cast("int").alias("distance"))
 
 
+def _long_array(values: list[int]) -> Column:
+    """A constant array, as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _choose(masks: list[Column]) -> Column:
     out = F.when(F.col("s") == 0, masks[0])
     for s, m in enumerate(masks[1:], 1):
