@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import math
 import tempfile
@@ -34,11 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str = "none") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docweft/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docweft_path = path
     return out
@@ -152,6 +153,40 @@ def rolling(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def batches(frames, most: int = 2_000_000):
+    """Rows of pandas frames again, in runs of about so many characters of text, so that what is made of them stays small."""
+    for frame in frames:
+        run = (frame["text"].str.len().fillna(0).cumsum() // most).to_numpy()
+        limits = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(frame)]
+        for a, b in zip(limits[:-1], limits[1:]):
+            if b > a:
+                yield frame.iloc[a:b]
+        release()
+
+
+def release() -> None:
+    """Give freed memory back: a Python worker lives on beside the next stage's, and would keep its peak."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(function):
+    """A function of two arguments that gives back its memory when it is done."""
+
+    def run(a, b):
+        try:
+            return function(a, b)
+        finally:
+            release()
+
+    return run
+
+
 # ---------------------------------------------------------------- packed keys
 
 
@@ -203,7 +238,7 @@ def bits_for(n_keys: int) -> int:
     return min(62, max(40, math.ceil(math.log2(max(2, n_keys))) + 14))
 
 
-def chunked(docs: DataFrame, chars_each: int = 10_000_000) -> tuple[DataFrame, int]:
+def chunked(docs: DataFrame, chars_each: int = 6_000_000) -> tuple[DataFrame, int]:
     """doc_id (as text, null stays null), text and further named columns, dealt to chunks of whole documents; and the number of characters.
 
     Every user of the chunks names the same exchange, so Spark shuffles the texts once a query.

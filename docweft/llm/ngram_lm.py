@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunked, mix, pack, partitions, shard_bounds, squeeze, unpack, unsqueeze
+from .common import Words, batches, chunked, lean, mix, pack, partitions, shard_bounds, squeeze, unpack, unsqueeze
 
 A, B = 0.25, 0.2
 KEY_BITS = 56
@@ -90,7 +90,7 @@ def vocabulary(docs: DataFrame) -> tuple[int, int]:
     def distinct(frames):
         seen, n = np.zeros(0, np.uint64), 0
         fresh: list[np.ndarray] = []
-        for frame in frames:
+        for frame in batches(frames):
             s = Words(frame["text"].tolist(), lower=True)
             n += len(s.hash) + len(frame)
             fresh.append(np.unique(s.hash))
@@ -142,7 +142,7 @@ def score(docs: DataFrame, is_train: Column) -> DataFrame:
             "base_score": s.per_text(root), "score": s.per_text(step),
         })
 
-    asked = dealt.groupBy("chunk").applyInPandas(ask, "chunk int, shard int, keys binary, counts binary")
-    told = asked.groupBy("shard").applyInPandas(answer, "chunk int, shard int, totals binary")
-    out = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(read, "doc_id string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = dealt.groupBy("chunk").applyInPandas(lean(ask), "chunk int, shard int, keys binary, counts binary")
+    told = asked.groupBy("shard").applyInPandas(lean(answer), "chunk int, shard int, totals binary")
+    out = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(lean(read), "doc_id string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -23,10 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import batches, only
 
 WINDOW = 2048
-SENTENCE, HARD, STRIDE = 4, 48, 64
+SENTENCE, HARD, STRIDE = 1, 12, 16
 RUN = 1 << 19
 END_ID = 1
 
@@ -150,7 +150,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, digest=None,
             stops[k] = piece[-1:] in (b".", b"!", b"?", b"\n")
 
         def tokenised():
-            for frame in frames:
+            for frame in batches(frames, 1_000_000):
                 for name, text in zip(frame["doc_id"], frame["text"]):
                     ids = np.array([*coder.encode_ordinary(text or ""), END_ID], np.uint32)
                     yield name, ids, stops[ids]
@@ -159,7 +159,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, digest=None,
         rows: list[tuple] = []
         for name, start, ids, whole, seq, offset in pack_stream(tokenised(), first):
             rows.append((name, start, len(ids), digest(ids) if digest else ids.astype(np.int32), whole, seq, offset))
-            if len(rows) >= 5_000:
+            if len(rows) >= 1_000:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
         if rows:

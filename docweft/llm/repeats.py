@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bits_for, chunked, ids_of, pack, partitions, rolling, shard_bounds, squeeze, unpack, unsqueeze
+from .common import Words, bits_for, chunked, ids_of, lean, pack, partitions, rolling, shard_bounds, squeeze, unpack, unsqueeze
 
 WINDOW = 13
 
@@ -142,10 +142,10 @@ def _scan(docs: DataFrame, window: int):
                 rows.append((chunk, pack(a[keep]), b[keep].tobytes(), squeeze(low[keep].view(np.uint64))))
         return pd.DataFrame(rows, columns=["chunk", "first", "second", "least"])
 
-    asked = dealt.groupBy("chunk").applyInPandas(probe, "chunk int, shard int, keys binary, marks binary")
-    anchors = asked.groupBy("shard").applyInPandas(meet, "chunk int, anchors binary")
-    near = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInPandas(extend, "chunk int, shard int, first binary, second binary, least binary, most binary")
-    return dealt, near.groupBy("shard").applyInPandas(judge, "chunk int, first binary, second binary, least binary")
+    asked = dealt.groupBy("chunk").applyInPandas(lean(probe), "chunk int, shard int, keys binary, marks binary")
+    anchors = asked.groupBy("shard").applyInPandas(lean(meet), "chunk int, anchors binary")
+    near = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInPandas(lean(extend), "chunk int, shard int, first binary, second binary, least binary, most binary")
+    return dealt, near.groupBy("shard").applyInPandas(lean(judge), "chunk int, first binary, second binary, least binary")
 
 
 def removed_words(left: pd.DataFrame, right: pd.DataFrame, window: int) -> tuple[Words, np.ndarray]:
@@ -199,7 +199,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         lost = np.bincount(w.doc[gone], minlength=len(n))
         return pd.DataFrame({"doc_id": left["doc_id"], "n_words": n, "n_removed": lost, "kept_sha256": [hashlib.sha256(t).hexdigest() for t in kept_texts(w, gone)]})
 
-    out = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(finish, "doc_id string, n_words long, n_removed long, kept_sha256 string")
+    out = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(lean(finish), "doc_id string, n_words long, n_removed long, kept_sha256 string")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -221,7 +221,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         stays = ~lost | np.array([len(b) > 0 for b in cleaned], bool)
         return pd.DataFrame({"doc_id": left["doc_id"], "text": text, "others": left["others"]})[stays]
 
-    out = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(finish, "doc_id string, text string, others string")
+    out = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(lean(finish), "doc_id string, text string, others string")
     kinds = {f.name: f.dataType for f in docs.schema}
     from pyspark.sql import types as T
 
