@@ -170,5 +170,27 @@ SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN can AND p > 0
 """
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) ELSE [array_to_string(ws, ' ')] END)) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT c.doc_id, c.class_id, coalesce(d.n, 0) AS n_links FROM (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a) c LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) d ON d.a = c.doc_id
+"""
+
+REPEATS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+m AS (SELECT win, min(doc_id) AS low FROM g GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM (SELECT g.doc_id, g.i, unnest(range(13)) AS k FROM g JOIN m ON m.win = g.win AND m.low < g.doc_id)),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+k AS (SELECT u.doc_id, count(*) AS n, count(gone.j) AS lost, string_agg(word, ' ' ORDER BY u.j) FILTER (gone.j IS NULL) AS kept FROM u LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.j = u.j GROUP BY u.doc_id)
+SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(lost, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_hamming_topk": HAMMING_SQL, "op2_mixing": MIXING_SQL, "op10_warc_revisits": WARC_SQL}
+    return {"op1_hamming_topk": HAMMING_SQL, "op2_mixing": MIXING_SQL, "op4_jaccard_join": JACCARD_SQL, "op8_substring_dedup": REPEATS_SQL, "op10_warc_revisits": WARC_SQL}
