@@ -40,13 +40,13 @@ def list_run_collapse(spark, d):
     return rows.groupBy("conv_id", "island").agg(F.min("role").alias("role"), F.min("turn").alias("first"), F.count("*").alias("n"), F.sha1(text).alias("hash"))
 
 
-@query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber - l_partkey % 3 AS num FROM lineitem), r AS (SELECT *, l_linenumber - num AS run FROM n), i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - row_number() OVER (PARTITION BY l_orderkey, run ORDER BY l_linenumber, l_partkey, l_suppkey) AS isl FROM r)
+@query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_linenumber - l_partkey % 3 AS num FROM lineitem), r AS (SELECT *, l_linenumber - num AS run FROM n), i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - row_number() OVER (PARTITION BY l_orderkey, run ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS isl FROM r)
 SELECT l_orderkey, min(l_linenumber) AS first, count(*) AS n FROM i GROUP BY l_orderkey, run, isl HAVING count(*) >= 2""")
 def numbered_run_collapse(spark, d):
     """Runs of two and more consecutive rows that number themselves n, n + 1, ..."""
-    n = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_linenumber") - F.col("l_partkey") % 3).alias("num"))
+    n = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", (F.col("l_linenumber") - F.col("l_partkey") % 3).alias("num"))
     run = F.col("l_linenumber") - F.col("num")
-    rows = W.islands(n, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], run)
+    rows = W.islands(n, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"], run)
     return rows.groupBy("l_orderkey", "island").agg(F.min("l_linenumber").alias("first"), F.count("*").alias("n")).filter("n >= 2").drop("island")
 
 
