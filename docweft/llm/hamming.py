@@ -2,8 +2,9 @@
 
 A code of ``bits`` bits is cut into m segments of about log2(number of codes) bits. Codes within distance m (r + 1) - 1 of each
 other agree in some segment up to r bits. So segments are probed with growing radius r, candidates are verified by their whole
-distance, and a query is done as soon as k verified rows lie within the distance that its radius covers. Where a further radius
-would probe more values than there are codes, the open queries are compared with all codes in blocks instead.
+distance, and a query is done as soon as k verified rows lie within the distance that its radius covers. Where looking up a
+further radius' values would cost more than comparing all codes, which happens in small tables, the open queries are compared
+with all codes in blocks instead.
 
 Equal codes are one code with a number of rows and its least ids, so a code that many rows share is searched and found once.
 Ranks are by distance, then id; a row is not its own neighbour. Nulls: a null code or id is neither found nor searched for.
@@ -24,6 +25,8 @@ from .common import cut, partitions
 
 #: Open queries that are compared with all codes at a time.
 QUERY_BLOCK = 2_000
+#: Looking up a value costs about as much as comparing so many codes.
+LOOKUP = 64
 
 
 def sign_code(vector: Column) -> Column:
@@ -64,7 +67,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = 64) -> DataF
     found, done, radius = None, [], 0
     while not open_.isEmpty():
         # values at this distance: each segment's value with so many bits turned over
-        if sum(math.comb(w, radius) for _, w in cuts) > max(64, n_codes) or radius > max(w for _, w in cuts):
+        if LOOKUP * sum(math.comb(w, radius) for _, w in cuts) > max(1_000, n_codes) or radius > max(w for _, w in cuts):
             done.append(_compare_all(codes, open_, need))
             break
         masks = {w: _long_array([sum(1 << b for b in turned) for turned in itertools.combinations(range(w), radius)]) for _, w in cuts}
@@ -117,11 +120,13 @@ def _compare_all(codes: DataFrame, open_: DataFrame, need: int) -> DataFrame:
                 c, first = frame["code"].to_numpy(), frame["first"].to_numpy()
                 for low in range(0, len(q), 64):
                     d = np.bitwise_count((q[low : low + 64, None] ^ c[None, :]).view(np.uint64)).astype(np.int64)
-                    for i, row in enumerate(d):
+                    picks = []
+                    for row in d:
                         limit = np.partition(row, need - 1)[need - 1] if len(row) > need else 64
                         pick = np.flatnonzero(row <= limit)
-                        pick = pick[np.lexsort((first[pick], row[pick]))][:need]
-                        yield pd.DataFrame({"q": q[low + i], "code": c[pick], "copies": frame["copies"].to_numpy()[pick], "first": first[pick], "d": row[pick]})
+                        picks.append(pick[np.lexsort((first[pick], row[pick]))][:need])
+                    pick, which = np.concatenate(picks), np.repeat(np.arange(len(d)), list(map(len, picks)))
+                    yield pd.DataFrame({"q": q[low + which], "code": c[pick], "copies": frame["copies"].to_numpy()[pick], "first": first[pick], "d": d[which, pick]})
 
         part = codes.mapInPandas(nearest, "q long, code long, copies long, first long, d int")
         part = cut(part.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= need).drop("n"))

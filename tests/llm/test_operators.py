@@ -27,9 +27,13 @@ def some(df, *columns):
 # ---------------------------------------------------------------- 1
 
 
-def test_hamming_is_exact(spark):
+@pytest.mark.parametrize("lookup", [64, 0])
+def test_hamming_is_exact(spark, monkeypatch, lookup):
+    """By blocks (a small table), and by probing alone."""
     import random
 
+    monkeypatch.setattr(hamming, "LOOKUP", lookup)
+
     rng = random.Random(5)
     near = rng.getrandbits(64)
     codes = [rng.getrandbits(64) for _ in range(150)] + [near] * 30 + [near ^ (1 << k) for k in range(20)]
