@@ -175,7 +175,7 @@ class Join:
         depth = max(2, 2 + math.ceil(math.log(max(1, n) / 1e6, 16)))
         runs = math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
         self.documents = cut(self._embed(rows, depth, runs))
-        self.copies = cut(self.documents.groupBy("node").agg(F.count("*").alias("copies"), F.first("tokens").alias("tokens"), F.first("paths").alias("paths"), F.min(F.col("doc_id").cast("long")).alias("first_id")))
+        self.copies = cut(self.documents.groupBy("node").agg(F.count("*").alias("copies"), F.first("tokens").alias("tokens"), F.first("paths").alias("paths"), F.min(F.col("doc_id").cast("long")).alias("first_id"), F.min("doc_id").alias("doc_id")))
         groups = components(self._candidates())
         found = cut(self._compare(rows, groups))
         ends = components(found.filter("node != peer").select(F.col("node").alias("a"), F.col("peer").alias("b")))
@@ -254,9 +254,8 @@ class Join:
         sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
         member = groups.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        # one text stands for a node: that of the least document id with this set
-        one = self.documents.join(member, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("root").alias("root"), F.first("blocks").alias("blocks"), F.first("block").alias("block"))
-        one = one.join(self.copies.select("node", "copies"), "node")
+        # one text stands for a node: that of a document with this set, chosen when copies were counted, so copies never meet again
+        one = self.copies.select("node", "copies", "doc_id").join(member, "node")
 
         def sets(frames):
             import xxhash
