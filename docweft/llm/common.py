@@ -60,11 +60,6 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most_rows`` rows; beyond that Spark joins it by shuffle."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def held_out(doc_id, remainder: int):
     """crc32 of the id as text, modulo 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == remainder, F.lit(False))

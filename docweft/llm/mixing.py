@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut
 
 #: Cells per source and level.
 CELLS = 1024
 LEVELS = 2
+#: Sources up to this number are broadcast with their targets.
+FEW = 10_000
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -63,14 +65,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     have the same odds, and odds differ between sources only. No document is copied more than ``most`` times, rounded down.
     """
     sized = cut(_sized(docs, odds_col))
-    out = _decide(sized, _marks(sized, weights, most, seed), most, seed)
+    out = _decide(sized, *_marks(sized, weights, most, seed), most, seed)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, odds_col: str | None = None) -> DataFrame:
     """The rows of the mix: each row of ``docs`` as often as it is taken, with all its columns."""
     rows = _sized(docs, odds_col, F.struct("*").alias("row"))
-    out = _decide(rows, _marks(cut(rows.drop("row")), weights, most, seed), most, seed).filter("copies > 0")
+    out = _decide(rows, *_marks(cut(rows.drop("row")), weights, most, seed), most, seed).filter("copies > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
@@ -79,57 +81,59 @@ def _sized(docs: DataFrame, odds_col: str | None, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), wish.alias("wish"), *more)
 
 
-def _marks(sized: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
-    """One row per source: source_size, target, wished, and up to which rank its documents are taken (all below ``low``, then up to ``last``)."""
+def _marks(sized: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> tuple[DataFrame, bool]:
+    """One row per source: source_size, target, wished, and up to which rank its documents are taken (all below ``low``, then up to ``last``); and whether sources are few."""
     per = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("wish")).alias("wished")))
+    few = per.count() <= FEW
     targets = source_targets(per.select("source", "source_size"), weights, most)
     targets = cut(targets.join(per.select(F.col("source").alias("s"), "wished"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    rows = _ranked(sized, targets, most, seed)
+    rows = _ranked(sized, targets, few, most, seed)
     sure = rows.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))
     marks = targets.join(sure, F.col("source").eqNullSafe(F.col("s")), "left")
     marks = marks.select("source", (F.col("target") - F.coalesce("sure", F.lit(0))).alias("need"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
     for _ in range(LEVELS):
-        marks = cut(_refine(rows, marks))
-    edge = _join_source(rows.filter("can"), marks).filter("rank >= low and rank < high")
+        marks = cut(_refine(rows, marks, few))
+    edge = _join_source(rows.filter("can"), marks, few).filter("rank >= low and rank < high")
     line = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
     edge = edge.withColumn("run", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     # a document is taken if that brings the sum nearer to the target than leaving it out
     last = edge.filter(F.col("run") - F.col("size") / 2.0 <= F.col("need")).groupBy("source").agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"))
     marks = targets.select(F.col("source").alias("src"), "source_size", "target", "wished").join(marks.select(F.col("source").alias("s"), "low"), F.col("src").eqNullSafe(F.col("s")))
-    return cut(marks.join(last, F.col("src").eqNullSafe(F.col("source")), "left").select(F.col("src").alias("source"), "source_size", "target", "wished", "low", "last"))
+    return cut(marks.join(last, F.col("src").eqNullSafe(F.col("source")), "left").select(F.col("src").alias("source"), "source_size", "target", "wished", "low", "last")), few
 
 
-def _ranked(rows: DataFrame, targets: DataFrame, most: float, seed: int) -> DataFrame:
+def _ranked(rows: DataFrame, targets: DataFrame, few: bool, most: float, seed: int) -> DataFrame:
     """The rows with their source's row, their certain copies ``whole``, their ``rank`` in (0, 1), and whether they ``can`` be taken once more."""
     share = F.when(F.col("wished") > 0, F.col("target") * F.col("wish") / F.col("wished")).otherwise(0.0)
-    rows = _join_source(rows, targets).withColumn("share", F.least(share, F.lit(float(int(most)))))
+    rows = _join_source(rows, targets, few).withColumn("share", F.least(share, F.lit(float(int(most)))))
     p, u = F.col("share") - F.floor("share"), uniform(seed)
     odds = (u / (1 - u)) / (p / (1 - p))
     return rows.withColumns({"whole": F.floor("share"), "rank": F.when(p <= 0, 1.0).otherwise(odds / (1 + odds)), "can": (F.col("share") < int(most)) & (F.col("size") > 0)})
 
 
-def _decide(rows: DataFrame, marks: DataFrame, most: float, seed: int) -> DataFrame:
+def _decide(rows: DataFrame, marks: DataFrame, few: bool, most: float, seed: int) -> DataFrame:
     """The rows with ``copies``."""
-    rows = _ranked(rows, marks, most, seed)
+    rows = _ranked(rows, marks, few, most, seed)
     extra = F.col("can") & ((F.col("rank") < F.col("low")) | F.coalesce(F.struct("rank", "doc_id", "size") <= F.col("last"), F.lit(False)))
     return rows.withColumn("copies", (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("long"))
 
 
-def _join_source(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Each row with its source's row in ``table``: broadcast up to ten thousand sources, beyond that by shuffle."""
-    table = small(table.withColumnRenamed("source", "s"), 10_000)
+def _join_source(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+    """Each row with its source's row in ``table``: broadcast if the sources are few, otherwise by shuffle."""
+    table = table.withColumnRenamed("source", "s")
+    table = F.broadcast(table) if few else table
     return rows.join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
-def _refine(rows: DataFrame, marks: DataFrame) -> DataFrame:
+def _refine(rows: DataFrame, marks: DataFrame, few: bool) -> DataFrame:
     """Narrow each source's [low, high) to the cell in which the words above ``low`` reach ``need``; ``need`` is then counted from there."""
-    inside = _join_source(rows.filter("can"), marks).filter("rank >= low and rank < high")
+    inside = _join_source(rows.filter("can"), marks, few).filter("rank >= low and rank < high")
     cell = F.least(F.floor((F.col("rank") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS), F.lit(CELLS - 1)).cast("int")
     cells = inside.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("words"))
     line = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("run", F.sum("words").over(line))
     # the first cell at whose end the need is met; if none is, the source's last place is beyond all its ranks
-    met = _join_source(cells, marks.select("source", "need")).filter(F.col("run") >= F.col("need")).groupBy("source").agg(F.min(F.struct("cell", "words", "run")).alias("m"))
+    met = _join_source(cells, marks.select("source", "need"), few).filter(F.col("run") >= F.col("need")).groupBy("source").agg(F.min(F.struct("cell", "words", "run")).alias("m"))
     out = marks.withColumnRenamed("source", "src").join(met, F.col("src").eqNullSafe(F.col("source")), "left")
     step = (F.col("high") - F.col("low")) / CELLS
     beyond = F.col("m").isNull()
