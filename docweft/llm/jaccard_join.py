@@ -4,11 +4,13 @@ A document is the set of its shingles of ``width`` words. Documents with one set
 sampled tokens (minima of hash functions). In each run a node chooses some of its tokens by a hash that all nodes share, on
 average 1 / threshold of them, then further ones by a hash of the path so far: nodes with one path share all tokens on it. Pairs
 at the threshold keep at least one common path in a run with a probability that is known for each depth, and there are as many
-runs as give ``recall``; the depth grows with the logarithm of the number of nodes.
+runs as give ``recall``; the depth grows with the logarithm of the number of nodes. Where buckets are split, paths get longer: the
+nodes of all split buckets get further runs, until there are as many as give ``recall`` at the greatest depth that was reached.
 
 In each bucket (path) the least node is compared with all others by signature. Those far above the loose bound are done with, as
 whatever is near them is within the bound of the least node as well (distances obey the triangle inequality); among those that
-are left, small buckets are compared by brute force, and large ones are split by further tokens. Loose links join nodes to
+are left, small buckets are compared by brute force, and large ones are split by further tokens, unless all in them are linked to
+the least node anyway. Loose links join nodes to
 candidate groups; inside a group all pairs of nodes are compared exactly, block against block of at most BLOCK sets, so that a
 large group spreads over tasks. No pair is written: a task returns each node's number of links and one edge to its component.
 
@@ -73,6 +75,16 @@ def survival(depth: int) -> float:
     return p
 
 
+def runs_for(recall: float, depth: int) -> int:
+    """Runs after which a pair at the threshold has had a common path of this depth with a chance of ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
+
+
+def starts(first: int, last: int) -> np.ndarray:
+    """Paths of no token, one for each of the runs from first to last."""
+    return mix(np.arange(first, last + 1, dtype=np.uint64))
+
+
 def extend(paths: np.ndarray, owner: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Each path of a node (row ``owner`` of ``tokens``), longer by each token that the path's hash chooses."""
     most = np.uint64(min((1 << 64) - 1, int((1 << 64) / (threshold * SIGNATURE))))
@@ -173,10 +185,10 @@ class Join:
         rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
         n = rows.count()
         depth = max(2, 2 + math.ceil(math.log(max(1, n) / 1e6, 16)))
-        runs = math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
+        runs = runs_for(recall, depth)
         self.documents = cut(self._embed(rows, depth, runs))
         self.copies = cut(self.documents.groupBy("node").agg(F.count("*").alias("copies"), F.first("tokens").alias("tokens"), F.first("paths").alias("paths"), F.min(F.col("doc_id").cast("long")).alias("first_id"), F.min("doc_id").alias("doc_id")))
-        groups = components(self._candidates())
+        groups = components(self._candidates(depth, runs, recall))
         found = cut(self._compare(rows, groups))
         ends = components(found.filter("node != peer").select(F.col("node").alias("a"), F.col("peer").alias("b")))
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -194,7 +206,7 @@ class Join:
             for frame in batches(frames):
                 sets = shingle_sets(frame["text"], width)
                 tokens = signatures(sets)
-                paths = np.tile(mix(np.arange(1, runs + 1, dtype=np.uint64)), len(sets))
+                paths = np.tile(starts(1, runs), len(sets))
                 owner = np.repeat(np.arange(len(sets)), runs)
                 for _ in range(depth):
                     paths, owner = extend(paths, owner, tokens, threshold)
@@ -209,7 +221,7 @@ class Join:
 
         return rows.mapInPandas(run, "doc_id string, node binary, tokens array<long>, paths array<long>")
 
-    def _candidates(self) -> DataFrame:
+    def _candidates(self, depth: int, runs: int, recall: float) -> DataFrame:
         """Loose links between nodes: a, b."""
         threshold = self.threshold
 
@@ -228,8 +240,21 @@ class Join:
                 paths, owner = extend(frame["path"].to_numpy().view(np.uint64), np.arange(len(frame)), tokens.astype(np.uint64), threshold)
                 yield pd.DataFrame({"path": paths.view(np.int64), "node": frame["node"].to_numpy()[owner]})
 
+        def further(first, last):
+            def run(frames):
+                for frame in frames:
+                    tokens = tokens_of(frame["tokens"]).astype(np.uint64)
+                    paths, owner = np.tile(starts(first, last), len(frame)), np.repeat(np.arange(len(frame)), last - first + 1)
+                    for _ in range(depth):
+                        paths, owner = extend(paths, owner, tokens, threshold)
+                    yield pd.DataFrame({"path": paths.view(np.int64), "node": frame["node"].to_numpy()[owner]}).drop_duplicates()
+
+            return run
+
         sign = self.copies.select("node", "tokens")
-        rows, found = self.copies.select("node", F.explode("paths").alias("path")), []
+        rows, found, halved = self.copies.select("node", F.explode("paths").alias("path")), [], None
+        bundle = F.pmod(F.xxhash64("path"), F.lit(8 * partitions(self.spark)))
+        at = deepest = depth
         while True:
             heads = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1")
             star = rows.join(heads, "path").filter("node != lead")
@@ -237,12 +262,28 @@ class Join:
             star = cut(star.withColumn("alike", alike("tokens", "lead_tokens")).filter(f"alike >= {LOOSE} or n > 2").select("path", "node", "lead", "tokens", "n", "alike"))
             found.append(star.filter(F.col("alike") >= LOOSE).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
             rest = star.filter((F.col("alike") < NEAR) & (F.col("n") > 2))
-            bundle = F.pmod(F.xxhash64("path"), F.lit(8 * partitions(self.spark)))
-            found.append(rest.filter(F.col("n") <= SMALL).withColumn("bundle", bundle).groupBy("bundle").applyInPandas(brute, "a binary, b binary"))
-            large = rest.filter(F.col("n") > SMALL)
-            if large.isEmpty():
+            small, large = [rest.filter(F.col("n") <= SMALL)], rest.filter(F.col("n") > SMALL)
+            more = not large.isEmpty()
+            if more:  # only those left count; where the lead has linked all of them, their pairs are in one candidate group
+                left = large.groupBy("path").agg(F.count("*").alias("left"), F.min("alike").alias("least")).filter(f"left > 1 and least < {LOOSE}")
+                large = cut(large.join(left, "path").select("path", "node", "tokens", "left"))
+                small.append(large.filter(F.col("left") <= SMALL))
+                large = large.filter(F.col("left") > SMALL)
+                more = not large.isEmpty()
+            for part in small:
+                found.append(part.select("path", "node", "tokens").withColumn("bundle", bundle).groupBy("bundle").applyInPandas(brute, "a binary, b binary"))
+            if more:
+                at += 1
+                deepest = max(deepest, at)
+                if halved is None:  # what is split further, or in further runs, are some of these
+                    halved = cut(large.select("node").distinct())
+                rows = cut(large.select("path", "node", "tokens").mapInPandas(split, "path long, node binary"))
+                continue
+            wanted = runs_for(recall, deepest)
+            if wanted <= runs:
                 break
-            rows = cut(large.select("path", "node", "tokens").mapInPandas(split, "path long, node binary"))
+            again = sign.join(halved, "node")
+            rows, runs, at = cut(again.mapInPandas(further(runs + 1, wanted), "path long, node binary")), wanted, depth
         out = found[0]
         for more in found[1:]:
             out = out.union(more)

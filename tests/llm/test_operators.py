@@ -180,6 +180,28 @@ def test_jaccard_join_splits_buckets_and_blocks(spark, monkeypatch):
     assert some(jaccard_join.link_documents(docs, recall=0.9999), "doc_id", "class_id", "n_links") == brute_links(docs.collect())
 
 
+def crowd(seed, pairs):
+    """Texts of ten passages, each of which stands in a fifth of all; two and two have nine in common, others mostly one to three."""
+    import random
+
+    rng = random.Random(seed)
+    pool = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(30)) for _ in range(50)]
+    out = []
+    for _ in range(pairs):
+        *nine, last, other = rng.sample(pool, 11)
+        out += [" ".join([*nine, last]), " ".join([*nine, other])]
+    return out
+
+
+def test_jaccard_join_keeps_its_recall_where_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    texts = crowd(1, 600)
+    assert all(0.8 < len(a & b) / len(a | b) < 0.83 for a, b in zip(map(shingles, texts[::2]), map(shingles, texts[1::2])))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    found = {r.doc_id: r.class_id for r in jaccard_join.link_documents(docs).collect()}
+    assert sum(found[k + 1] == found[k] for k in range(0, len(texts), 2)) >= 0.99 * 600
+
+
 def test_jaccard_keep_one(spark):
     docs = data.documents(spark, unique=True).cache()
     out = jaccard_join.keep_one_of_each(docs)
