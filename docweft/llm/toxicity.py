@@ -7,8 +7,8 @@ does not count. A text's features are its weighted hits by length, their number
 logistic function of them is the score.
 
 The lexicon, the phrases and the logistic function are learnt from labelled rows, at most ``FIT_ROWS`` of each label, the first
-by a hash of their id: that bound is a parameter. Document frequencies count texts that begin alike once, so that a term does not
-gain weight by copies. The lexicon has at most ``TERMS`` terms and is all that is sent to the executors.
+by a hash of their id: that bound is a parameter. Document frequencies count families of near copies once, each with the words of
+all its members, so that a term does not gain weight by copies. The lexicon has at most ``TERMS`` terms and is all that is sent to the executors.
 
 Nulls: a null or empty text scores like a text without hits. A null label or id is not learnt from. Very long texts: whole.
 Repeated rows: scored alike. Empty table: empty result; without labels of both kinds all scores are 0. Further columns are ignored.
@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, release
+from .jaccard_join import SIGNATURE, shingle_sets, signatures
 
 FIT_ROWS = 4_000
 TERMS, PHRASES = 2_000, 2_000
-#: A term occurs in so many texts of label 1, has so high a log odds ratio, and so high a log likelihood ratio.
-#: The last is at least this share of the strongest term's, which keeps out words of one family of near copies.
-SUPPORT, ODDS, EVIDENCE, SHARE = 4, 2.5, 25.0, 0.05
+#: A term occurs in so many families of label 1, has so high a log odds ratio, and so high a log likelihood ratio.
+SUPPORT, ODDS, EVIDENCE = 4, 2.5, 25.0
 STEM = 4
+#: Texts that share so many of their shingles of so many words, by signature, with a family's first are of that family.
+FAMILY, WIDTH = 0.7, 5
 
 # Letters that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKES = {
@@ -82,6 +84,23 @@ def _evidence(t: float, c: float, nt: int, nc: int) -> float:
     return 2 * (part(t, nt, t / nt) + part(c, nc, c / nc) - part(t, nt, p) - part(c, nc, p)) if 0 < p < 1 else 0.0
 
 
+def families(texts: list[str]) -> list[list[int]]:
+    """Places of the texts in families of near copies; equal texts are of one family."""
+    first: dict[str, list[int]] = {}
+    for k, text in enumerate(texts):
+        first.setdefault(text, []).append(k)
+    same = list(first.values())
+    tokens = np.zeros((len(same), SIGNATURE), np.uint8)
+    for k in range(0, len(same), 200):  # few at a time, as texts may be long
+        tokens[k : k + 200] = signatures(shingle_sets([texts[g[0]] for g in same[k : k + 200]], WIDTH)).astype(np.uint8)
+    left, out = np.arange(len(same)), []
+    while len(left):
+        alike = (tokens[left] == tokens[left[0]]).mean(axis=1) >= FAMILY
+        out.append([k for g in left[alike] for k in same[g]])
+        left = left[~alike]
+    return out
+
+
 def learn_terms(texts: list[str], labels: list[int]) -> list[tuple[str, float]]:
     """Patterns (" word " or " stem") and weights from folded texts."""
     words: list[Counter] = [Counter(), Counter()]
@@ -89,12 +108,15 @@ def learn_terms(texts: list[str], labels: list[int]) -> list[tuple[str, float]]:
     n = [0, 0]
     for y in (1, 0):  # what few texts of label 1 have can be no term, and is not counted in those of label 0
         seen: set[str] = set()
+        some = []
         for text in (t for t, label in zip(texts, labels) if label == y):
             if text[:96] in seen or text[-96:] in seen:
                 continue
             seen |= {text[:96], text[-96:]}
+            some.append(text)
+        for family in families(some):
             n[y] += 1
-            own = set(text.split())
+            own = {w for k in family for w in some[k].split()}
             words[y].update(own if y else own & words[1].keys())
             begins = {w[:k] for w in own for k in range(STEM, min(len(w), 12) + 1)}
             stems[y].update(begins if y else begins & stems[1].keys())
@@ -116,9 +138,8 @@ def learn_terms(texts: list[str], labels: list[int]) -> list[tuple[str, float]]:
         # a stem that nearly always goes on in one way says no more than its continuation, or the whole word
         if t >= SUPPORT and longer.get(s, 0) < 0.9 * t and words[1][s] < 0.9 * t and good(t, c := stems[0][s]):
             found[f" {s}"] = _evidence(t, c, nt, nc), _weight(t, c, nt, nc)
-    least = SHARE * max((e for e, _ in found.values()), default=0.0)
     kept: dict[str, float] = {}
-    for pattern, (_, weight) in sorted(((k, v) for k, v in found.items() if v[0] >= least), key=lambda x: (-x[1][0], x[0]))[: 4 * TERMS]:
+    for pattern, (_, weight) in sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[: 4 * TERMS]:
         if not any(pattern[:k] in kept for k in range(STEM + 1, len(pattern))):
             kept[pattern] = weight
     return sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:TERMS]

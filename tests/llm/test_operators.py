@@ -138,6 +138,23 @@ def test_toxicity_learns_and_spares(spark):
     assert toxicity.keep_clean(docs.limit(0), lexicon).count() == 0
 
 
+def filler(rng, n=30):
+    return " ".join(f"{a}{b}" for a, b in zip(rng.choices(["ka", "lo", "mi", "ru"], k=n), rng.choices(["ta", "ne", "so", "pi", "du"], k=n)))
+
+
+def test_toxicity_keeps_terms_beside_a_frequent_one():
+    """A term of one text in fifty beside one of every other text; words of one family of near copies count once."""
+    import random
+
+    rng = random.Random(6)
+    copy = filler(rng, 200)
+    toxic = [filler(rng) + (" vilethug" if k % 2 else "") + (" grubhead" if k % 50 == 0 else "") for k in range(1000)]
+    toxic += [f"{filler(rng, 20)} {copy} onlyhere {filler(rng, 20)}" for _ in range(40)]
+    texts = [f" {t} " for t in toxic + [filler(rng) for _ in range(1000)]]
+    found = {p.strip() for p, _ in toxicity.learn_terms(texts, [1] * len(toxic) + [0] * 1000)}
+    assert {"vilethug", "grubhead"} <= found and "onlyhere" not in found
+
+
 # ---------------------------------------------------------------- 4
 
 
