@@ -107,13 +107,7 @@ def learn_terms(texts: list[str], labels: list[int]) -> list[tuple[str, float]]:
     stems: list[Counter] = [Counter(), Counter()]
     n = [0, 0]
     for y in (1, 0):  # what few texts of label 1 have can be no term, and is not counted in those of label 0
-        seen: set[str] = set()
-        some = []
-        for text in (t for t, label in zip(texts, labels) if label == y):
-            if text[:96] in seen or text[-96:] in seen:
-                continue
-            seen |= {text[:96], text[-96:]}
-            some.append(text)
+        some = [t for t, label in zip(texts, labels) if label == y]
         for family in families(some):
             n[y] += 1
             own = {w for k in family for w in some[k].split()}

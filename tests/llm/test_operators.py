@@ -155,6 +155,15 @@ def test_toxicity_keeps_terms_beside_a_frequent_one():
     assert {"vilethug", "grubhead"} <= found and "onlyhere" not in found
 
 
+def test_toxicity_learns_behind_a_common_header_and_footer():
+    import random
+
+    rng = random.Random(8)
+    header, footer = filler(rng, 30), filler(rng, 30)
+    texts = [f" {header} {filler(rng, 80)}{' vilethug' if k % 2 else ''} {filler(rng, 80)} {footer} " for k in range(200)]
+    assert [p for p, _ in toxicity.learn_terms(texts, [k % 2 for k in range(200)])] == [" vilethug "]
+
+
 # ---------------------------------------------------------------- 4
 
 
