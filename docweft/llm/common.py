@@ -8,7 +8,6 @@
 from __future__ import annotations
 
 import contextlib
-import functools
 import math
 import tempfile
 import uuid
@@ -26,9 +25,11 @@ MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in tests, where it is unset, a folder of this session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset and all is on one machine, a folder of this session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(spark, "_docweft_dir", None)
         if found is None:
             found = spark._docweft_dir = "file://" + tempfile.mkdtemp(prefix="docweft-")
@@ -69,24 +70,6 @@ def held_out(doc_id, remainder: int):
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-#: Bytes that are hashed at a time; a longer word is hashed by itself.
-_BLOCK = 1 << 20
-
-
-@functools.lru_cache(maxsize=4)
-def _tables(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = (0x9E3779B97F4A7C15 * (2 * seed + 1)) & MASK | 5
-    return _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,9 +82,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of many texts: ``hash`` of each word, its byte range in ``data``, and ``first`` word of each text (one more than texts)."""
+    """The words of many texts: ``hash`` of each word (64 bits of xxh3), its byte range in ``data``, and ``first`` word of each text.
+
+    ``first`` has one place more than there are texts. With ``wide``, ``other`` has 64 further bits of each word's digest.
+    """
+
+    def __init__(self, texts: list[str | None], lower: bool = False, wide: bool = False):
+        import xxhash
 
-    def __init__(self, texts: list[str | None], lower: bool = False, seed: int = 0):
         raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = b" ".join(raw) + b" "
         buf = np.frombuffer(self.data, np.uint8)
@@ -113,27 +101,13 @@ class Words:
         self.start, self.end = at[::2], at[1::2]
         ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
         self.first = np.concatenate([[0], np.searchsorted(self.start, ends)])
-        self._hash(buf, lower, seed)
         self.doc = np.repeat(np.arange(len(raw)), np.diff(self.first))
-
-
-    def _hash(self, buf: np.ndarray, lower: bool, seed: int) -> None:
-        """Polynomial hashes from running sums, over some megabytes at a time so that the tables of powers stay small."""
-        self.hash = np.empty(len(self.start), np.uint64)
-        k = 0
-        while k < len(self.start):
-            low = self.start[k]
-            n = max(k + 1, int(np.searchsorted(self.end, low + _BLOCK, "right")))
-            part = buf[low : self.end[n - 1]]
-            if lower:
-                part = _LOWER[part]
-            power, inverse = _tables(seed, 1 << max(_BLOCK.bit_length() - 1, len(part).bit_length()))
-            total = np.empty(len(part) + 1, np.uint64)
-            total[0] = 0
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], dtype=np.uint64, out=total[1:])
-            start, end = self.start[k:n] - low, self.end[k:n] - low
-            self.hash[k:n] = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-            k = n
+        parts = (self.data.lower() if lower else self.data).split()  # the same words: bytes are split at the same characters
+        if wide:
+            both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), ">u8").reshape(-1, 2).astype(np.uint64)
+            self.hash, self.other = np.ascontiguousarray(both[:, 1]), np.ascontiguousarray(both[:, 0])
+        else:
+            self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
 
 
 def rolling(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
@@ -222,6 +196,18 @@ def unsqueeze(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), f"<u{blob[0]}").astype(np.uint64)
 
 
+#: Characters of text whose keys one shard adds up, on average.
+SHARD_CHARS = 16_000_000
+
+
+def shards_for(chars: int) -> int:
+    """Number of shards; it follows the text, so that a shard's keys stay as many as they are.
+
+    No more messages are sent than there are keys, as a chunk sends nothing to a shard of which it has no key.
+    """
+    return max(1, math.ceil(chars / SHARD_CHARS))
+
+
 def shard_bounds(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
     """Where in sorted keys of so many bits each shard begins, and the end."""
     limits = [min((k << bits) // shards, MASK) for k in range(1, shards)]
@@ -241,8 +227,9 @@ def chunked(docs: DataFrame, chars_each: int = 6_000_000) -> tuple[DataFrame, in
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     chunks = max(partitions(spark), math.ceil(chars / chars_each))
-    # by a hash of id and content: rows with equal or missing ids spread too
-    chunk = F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(chunks)).cast("int")
+    # by a hash of id, content and input partition: rows with equal or missing ids spread, and so do repeated rows
+    mark = F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64), F.spark_partition_id())
+    chunk = F.pmod(mark, F.lit(chunks)).cast("int")
     return docs.withColumn("chunk", chunk).repartition(partitions(spark), "chunk"), chars
 
 

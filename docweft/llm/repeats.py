@@ -3,8 +3,8 @@
 A repeat is a run of at least ``window`` words whose every window also starts in a document with a smaller id; windows are
 judged on the input. Each text is cut into non-overlapping reference blocks of ``(window + 1) // 2`` words, so any window holds
 one whole block. Blocks are the index, every rolling stretch of block length is a probe, and a stretch that meets a block
-elsewhere is an anchor. Around anchors, and only there, whole windows are compared by 96-bit hashes of their words against the
-least id that has them; overlapping repeated windows join to maximal exact repeats, whose words are removed.
+elsewhere is an anchor. Around anchors, and only there, whole windows are compared by 96 bits, made of two independent digests of
+each word, against the least id that has them; overlapping repeated windows join to maximal exact repeats, whose words are removed.
 
 Documents are dealt to chunks, keys to shards by hash range. A chunk sends each distinct key once, so a passage that a third of
 all documents share is no hot spot: a shard gets it once a chunk. Anchor keys are short, as a false anchor only costs a comparison.
@@ -22,8 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Words, bits_for, chunked, ids_of, lean, pack, partitions, rolling, shard_bounds, squeeze, unpack, unsqueeze
+from .common import Words, bits_for, chunked, ids_of, lean, pack, rolling, shard_bounds, shards_for, squeeze, unpack, unsqueeze
 
 WINDOW = 13
 
@@ -33,7 +34,7 @@ class Passages:
 
     def __init__(self, texts, window: int, bits: int):
         self.window, self.block = window, (window + 1) // 2
-        self.words = w = Words(list(texts))
+        self.words = w = Words(list(texts), wide=True)
         self.probe = rolling(w.hash, self.block) >> np.uint64(64 - bits)
         n = len(self.probe)
         self.whole = w.doc[:n] == w.doc[self.block - 1 : self.block - 1 + n]  # within one text
@@ -64,12 +65,8 @@ class Passages:
         return self.words.doc[:m] == self.words.doc[self.window - 1 :] if m > 0 else np.zeros(0, bool)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each window, of 64 and 32 bits."""
-        return rolling(self.words.hash, self.window, 1), (rolling(mixed(self.words.hash), self.window, 2) >> np.uint64(32)).astype(np.uint32)
-
-
-def mixed(hashes: np.ndarray) -> np.ndarray:
-    return (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        """Two hashes of each window, of 64 and 32 bits, from different digests of its words."""
+        return rolling(self.words.hash, self.window, 1), (rolling(self.words.other, self.window, 2) >> np.uint64(32)).astype(np.uint32)
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:
@@ -80,17 +77,34 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+#: Columns of the messages from chunks to shards.
+PROBES = {"chunk": "int", "shard": "int", "keys": "binary", "marks": "binary"}
+WINDOWS = {"chunk": "int", "shard": "int", "first": "binary", "second": "binary", "least": "binary", "most": "binary"}
+
+
+def ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
+
+
+def arrow(values: list, columns: dict[str, str]):
+    """An Arrow table of these columns."""
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    return pa.table({name: pa.array(v, kinds[kind]) for (name, kind), v in zip(columns.items(), values)})
+
+
 def _scan(docs: DataFrame, window: int):
     """The chunks of documents, and what the windows around their anchors share: chunk, first, second, least (packed arrays)."""
-    spark = docs.sparkSession
     dealt, chars = chunked(docs)
-    bits, shards = bits_for(chars // 6), partitions(spark)
+    bits, shards = bits_for(chars // 6), shards_for(chars)
 
-    def probe(key, frame):
-        keys, marks = Passages(frame["text"], window, bits).keys()
+    def probe(key, table):
+        keys, marks = Passages(table["text"].to_pylist(), window, bits).keys()
         at = shard_bounds(keys, bits, shards)
         full = np.flatnonzero(np.diff(at))
-        return pd.DataFrame({"chunk": key[0], "shard": full, "keys": [pack(keys[at[k] : at[k + 1]]) for k in full], "marks": [squeeze(marks[at[k] : at[k + 1]]) for k in full]})
+        part = [slice(at[k], at[k + 1]) for k in full]
+        return arrow([[key[0].as_py()] * len(full), full, [pack(keys[x]) for x in part], [squeeze(marks[x]) for x in part]], PROBES)
 
     def meet(key, frame):
         """Anchors: keys of a block that also stand elsewhere."""
@@ -104,13 +118,13 @@ def _scan(docs: DataFrame, window: int):
         return pd.DataFrame({"chunk": frame["chunk"], "anchors": [pack(k) for k in found]})[[len(k) > 0 for k in found]]
 
     def extend(left, right):
-        p = Passages(left["text"], window, bits)
-        anchors = np.sort(np.concatenate([unpack(b) for b in right["anchors"]])) if len(right) else np.zeros(0, np.uint64)
+        p = Passages(left["text"].to_pylist(), window, bits)
+        anchors = np.sort(np.concatenate([unpack(b) for b in right["anchors"].to_pylist()])) if len(right) else np.zeros(0, np.uint64)
         start = p.near(anchors)
         if not len(start):
-            return pd.DataFrame(columns=["chunk", "shard", "first", "second", "least", "most"])
+            return arrow([[]] * len(WINDOWS), WINDOWS)
         one, two = (x[start] for x in p.windows())
-        ids = ids_of(left["doc_id"])[p.words.doc[start]]
+        ids = ids_of(left["doc_id"].to_pylist())[p.words.doc[start]]
         order = np.lexsort((ids, two, one))
         one, two, ids = one[order], two[order], ids[order]
         at = runs(one, two)
@@ -119,10 +133,10 @@ def _scan(docs: DataFrame, window: int):
         limit = shard_bounds(one, 64, shards)
         full = np.flatnonzero(np.diff(limit))
         part = [slice(limit[k], limit[k + 1]) for k in full]
-        return pd.DataFrame({
-            "chunk": left["chunk"].iloc[0], "shard": full, "first": [pack(one[s]) for s in part], "second": [two[s].tobytes() for s in part],
-            "least": [squeeze(least[s].view(np.uint64)) for s in part], "most": [squeeze((most[s] - least[s]).view(np.uint64)) for s in part],
-        })
+        chunk = [left["chunk"][0].as_py()] * len(full)
+        low = [squeeze(least[s].view(np.uint64)) for s in part]
+        span = [squeeze((most[s] - least[s]).view(np.uint64)) for s in part]
+        return arrow([chunk, full, [pack(one[s]) for s in part], [two[s].tobytes() for s in part], low, span], WINDOWS)
 
     def judge(key, frame):
         """The windows of each chunk that stand in a document with a smaller id than one of the chunk's."""
@@ -142,15 +156,15 @@ def _scan(docs: DataFrame, window: int):
                 rows.append((chunk, pack(a[keep]), b[keep].tobytes(), squeeze(low[keep].view(np.uint64))))
         return pd.DataFrame(rows, columns=["chunk", "first", "second", "least"])
 
-    asked = dealt.groupBy("chunk").applyInPandas(lean(probe), "chunk int, shard int, keys binary, marks binary")
+    asked = dealt.groupBy("chunk").applyInArrow(lean(probe), ddl(PROBES))
     anchors = asked.groupBy("shard").applyInPandas(lean(meet), "chunk int, anchors binary")
-    near = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInPandas(lean(extend), "chunk int, shard int, first binary, second binary, least binary, most binary")
+    near = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(lean(extend), ddl(WINDOWS))
     return dealt, near.groupBy("shard").applyInPandas(lean(judge), "chunk int, first binary, second binary, least binary")
 
 
-def removed_words(left: pd.DataFrame, right: pd.DataFrame, window: int) -> tuple[Words, np.ndarray]:
+def removed_words(texts: list, doc_ids: list, right: pd.DataFrame, window: int) -> tuple[Words, np.ndarray]:
     """The words of a chunk's texts, and which of them repeated windows cover."""
-    p = Passages(left["text"], window, 62)
+    p = Passages(texts, window, 62)
     w = p.words
     gone = np.zeros(len(w.hash) + 1, np.int64)
     if len(right):
@@ -161,7 +175,7 @@ def removed_words(left: pd.DataFrame, right: pd.DataFrame, window: int) -> tuple
         a, b, low = a[order], b[order], low[order]
         one, two = p.windows()
         at = np.searchsorted(a, one)
-        ids = ids_of(left["doc_id"])[w.doc[: len(one)]]
+        ids = ids_of(doc_ids)[w.doc[: len(one)]]
         hit = np.zeros(len(one), bool)
         for step in range(int(np.max(np.diff(np.append(runs(a), len(a)))))):  # windows that share their first hash; almost always one
             k = np.minimum(at + step, len(a) - 1)
@@ -194,7 +208,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     dealt, shared = _scan(_rows(docs), window)
 
     def finish(left, right):
-        w, gone = removed_words(left, right, window)
+        w, gone = removed_words(left["text"].tolist(), left["doc_id"].tolist(), right, window)
         n = np.diff(w.first)
         lost = np.bincount(w.doc[gone], minlength=len(n))
         return pd.DataFrame({"doc_id": left["doc_id"], "n_words": n, "n_removed": lost, "kept_sha256": [hashlib.sha256(t).hexdigest() for t in kept_texts(w, gone)]})
@@ -206,27 +220,33 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows with their repeated words removed from ``text``; texts without repeats stay as they are, and texts of which nothing stays go.
 
-    All other columns are carried along unchanged; ``n_chars``, if there is one, is counted anew.
+    All other columns are carried along unchanged, in their own types; ``n_chars``, if there is one, is counted anew.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = _rows(docs, F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("others") if others else F.lit(0).alias("others"))
-    rows = rows.withColumn("others", F.to_json("others")) if others else rows.withColumn("others", F.lit("{}"))
+    # they travel as one value, so that none of their names can clash, and as Arrow, so that no type is changed
+    carried = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)])
+    rows = _rows(docs, carried.alias("others"))
     dealt, shared = _scan(rows, window)
 
     def finish(left, right):
-        w, gone = removed_words(left, right, window)
-        lost = np.bincount(w.doc[gone], minlength=len(left)) > 0
+        import pyarrow as pa
+
+        texts = left["text"].to_pylist()
+        w, gone = removed_words(texts, left["doc_id"].to_pylist(), right.to_pandas(), window)
+        lost = np.bincount(w.doc[gone], minlength=len(texts)) > 0
         cleaned = kept_texts(w, gone)
-        text = [b.decode("utf-8", "surrogatepass") if cut else t for t, b, cut in zip(left["text"], cleaned, lost)]
+        text = [b.decode("utf-8", "surrogatepass") if cut else t for t, b, cut in zip(texts, cleaned, lost)]
         stays = ~lost | np.array([len(b) > 0 for b in cleaned], bool)
-        return pd.DataFrame({"doc_id": left["doc_id"], "text": text, "others": left["others"]})[stays]
+        out = left.select(["doc_id", "text", "others"])
+        out = out.set_column(1, "text", pa.array(text, out.schema.field("text").type))
+        return out.filter(pa.array(stays))
 
-    out = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(lean(finish), "doc_id string, text string, others string")
     kinds = {f.name: f.dataType for f in docs.schema}
-    from pyspark.sql import types as T
-
-    o = F.from_json("others", T.StructType([T.StructField(f"c{k}", kinds[c]) for k, c in enumerate(others)])) if others else None
-    cols = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.col("text").cast(kinds["text"])} | {c: o[f"c{k}"] for k, c in enumerate(others)}
+    names = ["doc_id", "text", "others"]
+    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in names])
+    out = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(lean(finish), schema)
+    cols = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.col("text").cast(kinds["text"])}
+    cols |= {c: F.col(f"others.c{k}") for k, c in enumerate(others)}
     if "n_chars" in cols:
         cols["n_chars"] = F.length("text").cast(kinds["n_chars"])
     return out.select(*[cols[c].alias(c) for c in docs.columns])
