@@ -1,10 +1,13 @@
 """Exact top-k search in binary codes by incremental multi-index hashing.
 
-A code of ``bits`` bits is cut into m segments of about log2(number of codes) bits. Codes within distance m (r + 1) - 1 of each
-other agree in some segment up to r bits. So segments are probed with growing radius r, candidates are verified by their whole
-distance, and a query is done as soon as k verified rows lie within the distance that its radius covers. Where looking up a
-further radius' values would cost more than comparing all codes, which happens in small tables, the open queries are compared
-with all codes in blocks instead.
+A code of ``bits`` bits is cut into m segments of about log2(number of codes) bits. If the first a + 1 segments were probed up to
+radius r and the others up to r - 1, all codes within distance m r + a are known: a code farther in each segment than it was
+probed is at least m r + a + 1 away. So radii grow by one; candidates are verified by their whole distance, and the kth verified
+distance of a query bounds what it still has to probe: in round r just the segments a with m r + a up to that bound. A query is
+done once its kth distance is covered. There is no other path: small and large tables are searched alike.
+
+A code is taken only by the first of the segments in which it is nearest to the query, so it is found once without a distinct.
+Segment values that many codes share are dealt to parts of at most about PART codes, each probed by itself.
 
 Equal codes are one code with a number of rows and its least ids, so a code that many rows share is searched and found once.
 Ranks are by distance, then id; a row is not its own neighbour. Nulls: a null code or id is neither found nor searched for.
@@ -16,17 +19,13 @@ from __future__ import annotations
 import itertools
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions
 
-#: Open queries that are compared with all codes at a time.
-QUERY_BLOCK = 2_000
-#: Looking up a value costs about as much as comparing so many codes.
-LOOKUP = 64
+#: Codes of one segment value that are looked up together.
+PART = 10_000
 
 
 def sign_code(vector: Column) -> Column:
@@ -50,53 +49,99 @@ def segments(bits: int, n_codes: int) -> list[tuple[int, int]]:
 
 def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = 64) -> DataFrame:
     """query_id, rank, neighbor_id, distance from rows and queries (id, code)."""
-    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).filter("id is not null and code is not null")
-    queries = cut(queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long").alias("q")).filter("query_id is not null and q is not null"))
-    spark = rows.sparkSession
+    some = lambda df, i, c: df.select(F.col("id").cast("long").alias(i), F.col("code").cast("long").alias(c)).dropna()
+    rows, queries = some(rows, "id", "code"), cut(some(queries, "query_id", "q"))
     need = k + 1  # the query itself may be among them
     by_code = Window.partitionBy("code").orderBy("id")
     least = cut(rows.withColumn("n", F.row_number().over(by_code)).filter(F.col("n") <= need).drop("n"))
     codes = cut(least.groupBy("code").agg(F.count("*").alias("copies"), F.min("id").alias("first")))
-    n_codes = codes.count()
-    cuts = segments(bits, n_codes)
-    part = lambda c: F.array(*[F.struct(F.lit(s).alias("s"), F.shiftrightunsigned(c, a).bitwiseAND(F.lit((1 << w) - 1)).alias("v")) for s, (a, w) in enumerate(cuts)])
-    index = cut(codes.select("code", "copies", "first", F.inline(part(F.col("code")))))
-    best_of = Window.partitionBy("q").orderBy("d", "first", "code")
-    best = lambda c: c.withColumn("n", F.row_number().over(best_of)).filter(F.col("n") <= need).drop("n")
-    open_ = cut(queries.select("q").distinct())
+    near = nearest_codes(codes, queries.select("q").distinct(), need, bits)
+    # codes to rows, once for each query code, then to the queries that have it
+    top = Window.partitionBy("q").orderBy("d", "id")
+    near = near.join(least, "code").withColumn("n", F.row_number().over(top)).filter(F.col("n") <= need)
+    lists = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("near"))  # need rows at most
+    others = F.filter("near", lambda x: x["id"] != F.col("query_id"))
+    each = queries.join(lists, "q").select("query_id", F.posexplode(F.slice(others, 1, k)).alias("p", "x"))
+    distance_ = F.col("x.d").cast("int").alias("distance")
+    return each.select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("neighbor_id"), distance_)
+
+
+def nearest_codes(codes: DataFrame, queries: DataFrame, need: int, bits: int = 64) -> DataFrame:
+    """q, code, copies, first, d, radius: of each query code the nearest codes (code, copies, first) that hold ``need`` rows.
+
+    ``radius`` is the segment radius with which the query was done.
+    """
+    spark = codes.sparkSession
+    cuts = segments(bits, codes.count())
+    m, widest = len(cuts), max(w for _, w in cuts)
+    index = codes.select("code", "copies", "first", F.inline(_values(F.col("code"), cuts)))
+    crowds = cut(index.groupBy("s", "v").count().filter(F.col("count") > PART).select("s", "v", F.ceil(F.col("count") / PART).cast("int").alias("parts")))
+    crowded = not crowds.isEmpty()
+    if crowded:
+        index = index.join(crowds, ["s", "v"], "left").withColumn("part", F.pmod(F.xxhash64("code"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    index = cut(index)
+    best = Window.partitionBy("q").orderBy("d", "first", "code")
+    run = F.sum("copies").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    open_ = cut(queries.select("q", F.lit(None).cast("int").alias("bound")))
+    columns = ["q", "code", "copies", "first", "d"]
     found, done, radius = None, [], 0
     while not open_.isEmpty():
-        # values at this distance: each segment's value with so many bits turned over
-        if LOOKUP * sum(math.comb(w, radius) for _, w in cuts) > max(1_000, n_codes) or radius > max(w for _, w in cuts):
-            done.append(_compare_all(codes, open_, need))
-            break
-        masks = {w: _long_array([sum(1 << b for b in turned) for turned in itertools.combinations(range(w), radius)]) for _, w in cuts}
-        probes = open_.repartition(partitions(spark), "q").select("q", F.inline(part(F.col("q"))))
-        probes = probes.withColumn("mask", F.explode(_choose([masks[w] for _, w in cuts])))
-        probes = probes.select("q", "s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
+        probes = _probes(open_.repartition(partitions(spark), "q"), cuts, radius)
+        if crowded:
+            probes = probes.join(crowds, ["s", "v"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
         # Spark can't foresee how many values there are, so it is told not to broadcast them
-        hits = probes.hint("merge").join(index, ["s", "v"]).select("q", "code", "copies", "first", distance(F.col("q"), F.col("code")).alias("d"))
-        fresh = best(hits.distinct())
-        found_now = cut(best(found.unionByName(fresh).distinct()) if found is not None else fresh)
-        covered = len(cuts) * (radius + 1) - 1
-        state = open_.join(found_now.filter(F.col("d") <= covered).groupBy("q").agg(F.sum("copies").alias("rows")), "q", "left")
-        ready = state.filter(F.col("rows") >= need).select("q")
-        left = cut(state.filter(F.coalesce("rows", F.lit(0)) < need).select("q"))
-        done.append(found_now.join(ready, "q", "left_semi"))
-        found, open_, radius = cut(found_now.join(left, "q", "left_semi")), left, radius + 1
-    out = done[0] if done else index.limit(0).select(F.col("code").alias("q"), "code", "copies", "first", F.lit(0).alias("d"))
-    for more in done[1:]:
+        hits = probes.hint("merge").join(index, ["s", "v", "part"] if crowded else ["s", "v"])
+        hits = hits.filter(_first_segment(cuts, radius)).withColumn("d", distance(F.col("q"), F.col("code")))
+        hits = hits.filter(F.col("bound").isNull() | (F.col("d") <= F.col("bound"))).select(*columns)
+        both = hits if found is None else hits.unionByName(found)
+        found = cut(both.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= need).drop("n"))
+        kth = found.withColumn("run", run).filter(F.col("run") >= need).groupBy("q").agg(F.min("d").alias("kth"))
+        covered = F.least(F.lit(m * radius + m - 1), F.coalesce("bound", F.lit(bits)))
+        state = cut(open_.join(kth, "q", "left").select("q", "kth", (F.coalesce(F.col("kth") <= covered, F.lit(False)) | F.lit(radius >= widest)).alias("ready")))
+        done.append(found.join(state.filter("ready").select("q"), "q", "left_semi").withColumn("radius", F.lit(radius)))
+        open_ = state.filter("not ready").select("q", F.col("kth").alias("bound"))
+        found, radius = found.join(open_.select("q"), "q", "left_semi"), radius + 1
+    out = codes.limit(0).select(F.lit(0).cast("long").alias("q"), "code", "copies", "first", F.lit(0).alias("d"), F.lit(0).alias("radius"))
+    for more in done:
         out = out.unionByName(more)
-    # codes to rows, once for each query code, then to the queries that have it
-    top = Window.partitionBy("q").orderBy("d", "id")
-    near = out.join(least, "code").withColumn("n", F.row_number().over(top)).filter(F.col("n") <= need).select("q", "id", "d")
-    lists = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("near"))  # need rows at most
-    each = queries.join(lists, "q").select("query_id", F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k).alias("near"))
-    return each.select("query_id", F.posexplode("near").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("neighbor_id"), F.col("x.d").cast("int").alias("distance"))
+    return out
+
+
+def _values(code: Column, cuts: list[tuple[int, int]]) -> Column:
+    """(s, v) of each segment of a code."""
+    value = lambda a, w: F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << w) - 1))
+    return F.array(*[F.struct(F.lit(s).alias("s"), value(a, w).alias("v")) for s, (a, w) in enumerate(cuts)])
+
+
+def _probes(open_: DataFrame, cuts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """q, bound, s, v: the values at this distance from the query's, in the segments that its bound leaves."""
+    masks = {w: _long_array([sum(1 << b for b in turned) for turned in itertools.combinations(range(w), radius)]) for _, w in cuts}
+    out = open_.select("q", "bound", F.inline(_values(F.col("q"), cuts)))
+    out = out.filter(F.col("bound").isNull() | (F.col("s") + len(cuts) * radius <= F.col("bound")))
+    mask = F.explode(_choose([masks[w] for _, w in cuts]))
+    return out.withColumn("mask", mask).select("q", "bound", "s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
+
+
+def _first_segment(cuts: list[tuple[int, int]], radius: int) -> Column:
+    """Whether ``s`` is the first segment in which the code is at ``radius`` from the query, and it is nearer in none."""
+    x = F.col("q").bitwiseXOR(F.col("code"))
+    apart = [F.bit_count(x.bitwiseAND(F.lit(_signed(((1 << w) - 1) << a)))) for a, w in cuts]
+    none_nearer = F.lit(True)
+    first = F.lit(True)
+    for s, d in enumerate(apart):
+        none_nearer = none_nearer & (d >= radius)
+        first = first & ((F.col("s") <= s) | (d > radius))
+    return none_nearer & first
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >= 1 << 63 else value
 
 
 def _long_array(values: list[int]) -> Column:
-    """A constant array, as one literal."""
+    """A constant array, as one literal; empty where a segment has fewer bits than are to be turned."""
+    if not values:
+        return F.array().cast("array<bigint>")
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
@@ -105,30 +150,3 @@ def _choose(masks: list[Column]) -> Column:
     for s, m in enumerate(masks[1:], 1):
         out = out.when(F.col("s") == s, m)
     return out
-
-
-def _compare_all(codes: DataFrame, open_: DataFrame, need: int) -> DataFrame:
-    """The nearest codes of each open query: blocks of queries against all codes; a task returns its own nearest."""
-    blocks = max(1, math.ceil(open_.count() / QUERY_BLOCK))
-    best = Window.partitionBy("q").orderBy("d", "first", "code")
-    out = None
-    for b in range(blocks):
-        q = np.array([r.q for r in open_.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()], np.int64)
-
-        def nearest(frames, q=q):
-            for frame in frames:
-                c, first = frame["code"].to_numpy(), frame["first"].to_numpy()
-                for low in range(0, len(q), 64):
-                    d = np.bitwise_count((q[low : low + 64, None] ^ c[None, :]).view(np.uint64)).astype(np.int64)
-                    picks = []
-                    for row in d:
-                        limit = np.partition(row, need - 1)[need - 1] if len(row) > need else 64
-                        pick = np.flatnonzero(row <= limit)
-                        picks.append(pick[np.lexsort((first[pick], row[pick]))][:need])
-                    pick, which = np.concatenate(picks), np.repeat(np.arange(len(d)), list(map(len, picks)))
-                    yield pd.DataFrame({"q": q[low + which], "code": c[pick], "copies": frame["copies"].to_numpy()[pick], "first": first[pick], "d": d[which, pick]})
-
-        part = codes.mapInPandas(nearest, "q long, code long, copies long, first long, d int")
-        part = cut(part.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= need).drop("n"))
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -27,12 +27,12 @@ def some(df, *columns):
 # ---------------------------------------------------------------- 1
 
 
-@pytest.mark.parametrize("lookup", [64, 0])
-def test_hamming_is_exact(spark, monkeypatch, lookup):
-    """By blocks (a small table), and by probing alone."""
+@pytest.mark.parametrize("part", [10_000, 3])
+def test_hamming_is_exact(spark, monkeypatch, part):
+    """With whole segment values, and with values of which each part holds few codes."""
     import random
 
-    monkeypatch.setattr(hamming, "LOOKUP", lookup)
+    monkeypatch.setattr(hamming, "PART", part)
 
     rng = random.Random(5)
     near = rng.getrandbits(64)
@@ -54,6 +54,36 @@ def test_hamming_small_tables(spark):
     assert hamming.search(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_hamming_probes_alone_answer(spark):
+    """Each query is done by its segment radius: the covered distance reaches its kth neighbour, and no radius before covers it."""
+    import random
+
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    codes = {c for b in base for c in [b, *[b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(20)]]} | {rng.getrandbits(64) for _ in range(300)}
+    signed = sorted(c - (1 << 64) if c >= BIG else c for c in codes)
+    df = spark.createDataFrame([(c, 1, k) for k, c in enumerate(signed)], "code long, copies long, first long")
+    queries = signed[::20]
+    rows = hamming.nearest_codes(df, spark.createDataFrame([(q,) for q in queries], "q long"), 6).collect()
+    m = len(hamming.segments(64, len(signed)))
+    found, radius = defaultdict(list), {}
+    for r in rows:
+        found[r.q].append(r.d)
+        radius[r.q] = r.radius
+    for q in queries:
+        want = sorted((q ^ c).bit_count() if (q ^ c) >= 0 else ((q ^ c) + (1 << 64)).bit_count() for c in signed)[:6]
+        assert sorted(found[q]) == want
+        assert want[-1] <= m * radius[q] + m - 1 and (radius[q] == 0 or want[-1] > m * (radius[q] - 1))
+    assert len(set(radius.values())) > 1
+
+
+def test_hamming_repeated_rows(spark):
+    """Repeated rows and ids: each counts; a row is no neighbour of rows with its own id."""
+    df = spark.createDataFrame([(0, 5), (0, 5), (1, 5), (1, 5), (2, 7)], "id long, code long")
+    got = some(hamming.search(df, df.filter("id = 2"), 3), "query_id", "rank", "neighbor_id", "distance")
+    assert got == [(2, 1, 0, 1), (2, 2, 0, 1), (2, 3, 1, 1)]
+
+
 def test_sign_code(spark):
     df = spark.createDataFrame([([1.0, -1.0, 0.0, float("nan")] + [2.0] * 60,), (None,), ([],)], "v array<double>")
     assert [r[0] for r in df.select(hamming.sign_code(F.col("v"))).collect()] == [((1 << 63) | ((1 << 60) - 1)) - (1 << 64), None, None]
