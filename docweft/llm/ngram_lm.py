@@ -29,7 +29,7 @@ from .common import Words, batches, bits_for, chunked, lean, mix, pack, shard_bo
 
 ORDER = 3
 #: Mass of the unseen after histories of one token, of two tokens, ...: A, B.
-MASS = ((0.25, 0.2), (0.5, 0.7))
+MASS = ((0.25, 0.2), (0.3, 0.4))
 #: Tokens of a text that are read in one stretch.
 STRETCH = 512
 _END, _BEGIN = np.uint64(0x51ED270B3A2C7F11), np.uint64(0x2545F4914F6CDD1D)

@@ -284,26 +284,36 @@ def test_bucket_parts():
 # ---------------------------------------------------------------- 6
 
 
-def test_lm(spark):
+def brute_lm(texts, learn, order):
+    """Of each text: tokens, known tokens, and log10 of the base's and the model's probability, from counts of tuples."""
+    tokens = [["<s>", *data.words((t or "").translate(LOW)), None] for t in texts]
+    c = Counter(tuple(t[k : k + n]) for t, y in zip(tokens, learn) if y for n in range(1, order + 1) for k in range(len(t) - n + 1))
+    total = sum(v for g, v in c.items() if len(g) == 1 and g != ("<s>",))
+    z = total + 0.5 * (sum(len(g) == 1 and g != ("<s>",) for g in c) + 1)
+
+    def p(history, w):
+        if not history:
+            return (c[(w,)] + 0.5) / z
+        if not c[history]:
+            return p(history[1:], w)
+        a, b = ngram_lm.MASS[len(history) - 1]
+        m = 1 / (1 + a * c[history] ** b)
+        return (1 - m) * c[(*history, w)] / c[history] + m * p(history[1:], w)
+
+    out = []
+    for t in tokens:
+        score = sum(math.log10(p(tuple(t[max(0, k - order + 1) : k]), t[k])) for k in range(1, len(t)))
+        out.append((len(t) - 1, sum(c[(w,)] > 0 for w in t[1:]), total, round(sum(math.log10(p((), w)) for w in t[1:]), 6), round(score, 6)))
+    return out
+
+
+def test_lm(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "STRETCH", 7)  # so that texts are read in several stretches
     docs = data.documents(spark)
     out = held_out(F.col("doc_id"), 1)
     rows = docs.collect()
-    tokens = [[*data.words((r.text or "").translate(LOW)), None] for r in rows]
     learn = [r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 != 1 for r in rows]
-    c, pair, state = Counter(), Counter(), Counter()
-    for t, y in zip(tokens, learn):
-        if y:
-            c.update(t)
-            pair.update(zip(["<s>", *t], t))
-            state["<s>"] += 1
-    state.update(c)
-    n, z = sum(c.values()), sum(c.values()) + 0.5 * (len(c) + 1)
-    want = []
-    for r, t in zip(rows, tokens):
-        base = [(c[w] + 0.5) / z for w in t]
-        mass = [1 / (1 + ngram_lm.A * state[h] ** ngram_lm.B) for h in ["<s>", *t][:-1]]
-        p = [(1 - m) * pair[h, w] / max(1, state[h]) + m * b for m, h, w, b in zip(mass, ["<s>", *t], t, base)]
-        want.append((r.doc_id, len(t), sum(c[w] > 0 for w in t), n, round(sum(map(math.log10, base)), 6), round(sum(map(math.log10, p)), 6)))
+    want = [(r.doc_id, *x) for r, x in zip(rows, brute_lm([r.text for r in rows], learn, ngram_lm.ORDER))]
     got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in ngram_lm.score(docs, ~out).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
@@ -315,22 +325,47 @@ def test_lm_without_training(spark):
     assert ngram_lm.score(data.empty(spark), F.lit(True)).count() == 0
 
 
-def test_lm_sums_to_one():
-    """After any history the known words, the end and the one unknown place have probability 1."""
+def reading(train, texts, order=3):
+    """The automaton for ``texts`` learnt from ``train``, and their log10 weights by token."""
     import numpy as np
 
-    texts = ["a b a c", "b a", "c c c a"]
-    s = ngram_lm.Stream(texts)
-    keys, counts = s.distinct(np.ones(3, bool))
-    for history in ("a", "b", "c"):
-        total = 0.0
-        for word in ("a", "b", "c", None, "zz"):
-            t = ngram_lm.Stream([history if word is None else f"{history} {word}"])
-            own, _ = t.distinct(np.zeros(1, bool))
-            known = dict(zip(keys.tolist(), counts.tolist()))
-            machine = ngram_lm.Automaton(own, np.array([known.get(k, 0) for k in own.tolist()], np.uint64), 13, 4)
-            total += 10 ** machine.read(t)[2][1]
-        assert total == pytest.approx(1.0)
+    learnt = ngram_lm.Stream(train, 60, order)
+    known = dict(zip(*(x.tolist() for x in learnt.distinct(np.ones(len(train), bool)))))
+    words = Counter(w for t in train for w in [*t.split(), None])
+    s = ngram_lm.Stream(texts, 60, order)
+    keys, _ = s.distinct(np.zeros(len(texts), bool))
+    machine = ngram_lm.Automaton(s, keys, np.array([known.get(k, 0) for k in keys.tolist()], np.uint64), sum(words.values()), len(words))
+    return machine, machine.read(s)
+
+
+def test_lm_states_sum_to_one():
+    """After any history the known words, the end and the one unknown place have probability 1."""
+    train = ["a b a c", "b a", "c c c a", "a b c"]
+    for history in ("", "a", "a b", "c c", "b zz", "zz a", "a b a", "c b"):
+        n = len(history.split())
+        total = sum(10 ** reading(train, [f"{history} {word}".strip()])[1][n + 1] for word in ("a", "b", "c", "zz"))
+        total += 10 ** reading(train, [history])[1][n + 1]
+        assert total == pytest.approx(1.0), history
+
+
+def test_lm_failure_arcs():
+    """States are n-grams seen in training; failure arcs lead to suffixes and at last to the root."""
+    machine, _ = reading(["a b a c", "b a"], ["a b a zz a b"])
+    # begin mark, a, b; begin a, a b, b a
+    assert len(machine.fail) == 1 + 3 + 3
+    assert machine.fail[0] == 0 and all(machine.fail[1:4] == 0) and all(machine.fail[4:] > 0)
+
+
+def test_lm_knows_what_was_seen_twice():
+    """By token a held-out copy of a text seen twice is likelier than one seen once, and that than an unseen one."""
+    import random
+
+    rng = random.Random(1)
+    texts = [filler(rng, 60) for _ in range(60)]
+    _, once = reading(texts, texts[:1])
+    _, twice = reading([*texts, texts[0]], texts[:1])
+    _, never = reading(texts[1:], texts[:1])
+    assert twice.sum() > once.sum() + 1 > never.sum() + 2
 
 
 # ---------------------------------------------------------------- 7
@@ -456,6 +491,33 @@ def test_fingerprints_compare_bytes(spark, monkeypatch):
     assert some(fingerprint.fingerprints(docs), "doc_id", "fingerprint") == [(1, "d-1"), (2, "d-0"), (3, "d-0"), (4, "d-2")]
 
 
+def test_edited_fingerprints_compare_bytes(spark, monkeypatch):
+    """Edited texts too are told apart by their bytes, among themselves and from the documents'."""
+    monkeypatch.setattr(fingerprint, "digest", lambda c: F.concat(F.lit("d"), F.left(c, F.lit(0))))
+    docs = spark.createDataFrame([(4, "ab"), (3, "cd"), (2, "AC"), (1, "ab")], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs, bucket_rows=2).collect()}
+    texts = {4: ("ab", "ac"), 3: ("cd", "ca"), 2: ("ac", "aa"), 1: ("ab", "aa")}
+    name = {}
+    for k, (own, edited) in texts.items():
+        for text, found in ((own, got[k].fingerprint), (edited, got[k].edited_fingerprint)):
+            assert name.setdefault(text, found) == found
+        assert (got[k].near_edited, got[k].near_next) == (0.0, float(k == 1))
+    assert len(set(name.values())) == len(name) == 5
+
+
+def test_fingerprints_of_repeated_and_missing_ids(spark):
+    """A third of all rows are one row without id, a third one id with many texts; ranges stay small, and successors are right."""
+    rows = [(None, "same")] * 90 + [(50, f"text {k % 45}") for k in range(90)] + [(k, f"own {k}") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprint.edited_fingerprints(docs, bucket_rows=10).collect()
+    assert len(got) == 270
+    assert sum(r.near_next for r in got if r.doc_id is None) == 89
+    assert sum(r.near_next for r in got if r.doc_id == 50) == 45
+    halves = {r.doc_id: r.edited_sha256 for r in got if r.doc_id in (89, 49, 0)}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert halves == {89: sha("ownown"), 49: sha("ownown"), 0: sha("ownsa")}
+
+
 # ---------------------------------------------------------------- 10
 
 
