@@ -172,7 +172,12 @@ def filler(rng, n=30):
     return " ".join(f"{a}{b}" for a, b in zip(rng.choices(["ka", "lo", "mi", "ru"], k=n), rng.choices(["ta", "ne", "so", "pi", "du"], k=n)))
 
 
-def test_toxicity_keeps_terms_beside_a_frequent_one():
+def learnt(spark, texts, labels):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return toxicity.train(spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"), docs), docs
+
+
+def test_toxicity_keeps_terms_beside_a_frequent_one(spark):
     """A term of one text in fifty beside one of every other text; words of one family of near copies count once."""
     import random
 
@@ -180,18 +185,77 @@ def test_toxicity_keeps_terms_beside_a_frequent_one():
     copy = filler(rng, 200)
     toxic = [filler(rng) + (" vilethug" if k % 2 else "") + (" grubhead" if k % 50 == 0 else "") for k in range(1000)]
     toxic += [f"{filler(rng, 20)} {copy} onlyhere {filler(rng, 20)}" for _ in range(40)]
-    texts = [f" {t} " for t in toxic + [filler(rng) for _ in range(1000)]]
-    found = {p.strip() for p, _ in toxicity.learn_terms(texts, [1] * len(toxic) + [0] * 1000)}
+    lexicon, _ = learnt(spark, toxic + [filler(rng) for _ in range(1000)], [1] * len(toxic) + [0] * 1000)
+    found = {p.strip() for p in lexicon.terms}
     assert {"vilethug", "grubhead"} <= found and "onlyhere" not in found
 
 
-def test_toxicity_learns_behind_a_common_header_and_footer():
+def test_toxicity_learns_behind_a_common_header_and_footer(spark):
+    """Whatever texts have in common, all of them are learnt from; so the toxic ones are found."""
     import random
 
     rng = random.Random(8)
     header, footer = filler(rng, 30), filler(rng, 30)
-    texts = [f" {header} {filler(rng, 80)}{' vilethug' if k % 2 else ''} {filler(rng, 80)} {footer} " for k in range(200)]
-    assert [p for p, _ in toxicity.learn_terms(texts, [k % 2 for k in range(200)])] == [" vilethug "]
+    texts = [f"{header} {filler(rng, 80)}{' vilethug' if k % 2 else ''} {filler(rng, 80)} {footer}" for k in range(200)]
+    lexicon, docs = learnt(spark, texts, [k % 2 for k in range(200)])
+    assert list(lexicon.terms) == [" vilethug "]
+    got = {r.doc_id: r.score for r in toxicity.score(docs, lexicon).collect()}
+    assert all((got[k] >= 0.5) == bool(k % 2) for k in got)
+
+
+@pytest.mark.parametrize("place", [lambda k: k % 2, lambda k: k < 100, lambda k: k % 4 == 0], ids=["parity", "first", "quarter"])
+def test_toxicity_does_not_depend_on_the_order_of_ids(spark, place):
+    import random
+
+    rng = random.Random(4)
+    labels = [int(place(k)) for k in range(300)]
+    lexicon, docs = learnt(spark, [filler(rng) + (" you vilethug" if y else "") for y in labels], labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, lexicon).collect()}
+    assert [int(got[k] >= 0.5) for k in range(300)] == labels
+
+
+def brute_score(lexicon, text):
+    """By looking for each pattern in the folded text."""
+    folded = toxicity.fold(text)
+    every = lambda p: [k for k in range(len(folded)) if folded.startswith(p, k)]
+    spared = [(k, k + len(p)) for p in lexicon.phrases for k in every(p)]
+    total = sum(w for p, w in lexicon.terms.items() for k in every(p) if not any(a <= k and k + len(p) <= b for a, b in spared))
+    x = [min(20.0, 100 * total / folded.count(" ")), math.log1p(total), 1.0] if total else [0.0] * 3
+    return 1 / (1 + math.exp(-(lexicon.model[0] + sum(a * b for a, b in zip(lexicon.model[1:], x)))))
+
+
+def test_toxicity_against_brute_force(spark):
+    """Terms by counting sets of words, and scores by plain search; repeated rows, very long, empty and null texts among them."""
+    import random
+
+    rng = random.Random(11)
+    bad = ["vilethug", "grubhead", "slimemaw"]
+    texts, labels = [], []
+    for k in range(400):
+        y = int(k % 4 == 0)
+        more = [rng.choice(bad), *rng.sample(["rare1", "xx" + rng.choice("abc")], rng.randint(0, 2))] if y else ["tiny", "grubhead"] if k % 100 == 1 else []
+        texts.append(f"{filler(rng, rng.randint(5, 60))} {' '.join(more)} {filler(rng, 9)}")
+        labels.append(y)
+    lexicon, _ = learnt(spark, texts, labels)
+    have = [Counter(), Counter()]
+    for t, y in zip(texts, labels):
+        words = set(toxicity.fold(t).split())
+        have[y].update({f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(toxicity.STEM, min(12, len(w)) + 1)})
+    nt, nc = sum(labels), 400 - sum(labels)
+
+    def clear(p):
+        t, c = have[1][p], have[0][p]
+        loglik = lambda k, n, q: (k * math.log(q) if k else 0) + ((n - k) * math.log(1 - q) if n > k else 0)
+        q = (t + c) / (nt + nc)
+        evidence = 2 * (loglik(t, nt, t / nt) + loglik(c, nc, c / nc) - loglik(t, nt, q) - loglik(c, nc, q))
+        return t >= 4 and math.log((t + 0.5) / (nt + 1) / ((c + 0.5) / (nc + 1))) >= toxicity.ODDS and evidence >= toxicity.EVIDENCE
+
+    assert {p for p in have[1] if p.endswith(" ") and clear(p)} == {p for p in lexicon.terms if p.endswith(" ")}
+    odd = [None, "", " ", texts[0], texts[0], "a VILETHUG! " * 5000, "gru bhead grubheads", "tiny grubhead tiny", filler(rng, 20_000) + " slimemaw"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, lexicon).collect()}
+    assert all(got[k] == pytest.approx(brute_score(lexicon, t)) for k, t in enumerate(odd))
+    assert any(len(p.split()) == 2 for p in lexicon.phrases)
 
 
 # ---------------------------------------------------------------- 4
