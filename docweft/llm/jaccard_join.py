@@ -10,13 +10,15 @@ nodes of all split buckets get further runs, until there are as many as give ``r
 In each bucket (path) the least node is compared with all others by signature. Those far above the loose bound are done with, as
 whatever is near them is within the bound of the least node as well (distances obey the triangle inequality); among those that
 are left, small buckets are compared by brute force, and large ones are split by further tokens, unless all in them are linked to
-the least node anyway. Loose links join nodes to
-candidate groups; inside a group all pairs of nodes are compared exactly, block against block of at most BLOCK sets, so that a
-large group spreads over tasks. No pair is written: a task returns each node's number of links and one edge to its component.
+the least node anyway. Loose links join nodes to candidate groups; inside a group all pairs of nodes are compared exactly, block
+against block of about BLOCK sets or BLOCK_SHINGLES shingles, whichever are fewer, so that a large group, or one of long texts,
+spreads over tasks; small groups share tasks of about BLOCK_SHINGLES. A task holds two blocks at most, and a single longer text
+whole. No pair is written: a task returns each node's number of links and one edge to its component.
 
 Words are folded to lower case (A-Z). A text of fewer words than a shingle has one shingle of all its words. Nulls: a null text is
 empty, and texts without words are copies of each other. Very long texts: whole. Repeated rows and equal ids: each row is a
-document. Empty table: empty result. Further columns are ignored by ``link_documents`` and kept by ``keep_one_of_each``.
+document; of rows that are equal in id and text ``keep_one_of_each`` keeps one at most. Missing ids stand after all others.
+Empty table: empty result. Further columns are ignored by ``link_documents`` and kept by ``keep_one_of_each``.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, cut, mix, partitions, release, rolling
+from .common import Words, batches, cut, mix, release, rolling
 from .graph import components
 
 SIGNATURE = 64
@@ -36,7 +38,9 @@ SIGNATURE = 64
 NEAR, LOOSE = 0.75, 0.4
 #: Buckets up to this size are compared by brute force.
 SMALL = 2_000
-BLOCK = 1_500
+#: Rows of such buckets that share a task, on average.
+BUNDLE = 10_000
+BLOCK, BLOCK_SHINGLES = 1_000, 400_000
 _A = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, SIGNATURE + 1001, dtype=np.uint64))
 
@@ -182,12 +186,15 @@ class Join:
 
     def __init__(self, docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.99):
         self.spark, self.width, self.threshold = docs.sparkSession, width, threshold
-        rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        text = F.col("text").cast("string")
+        rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
         n = rows.count()
         depth = max(2, 2 + math.ceil(math.log(max(1, n) / 1e6, 16)))
         runs = runs_for(recall, depth)
         self.documents = cut(self._embed(rows, depth, runs))
-        self.copies = cut(self.documents.groupBy("node").agg(F.count("*").alias("copies"), F.first("tokens").alias("tokens"), F.first("paths").alias("paths"), F.min(F.col("doc_id").cast("long")).alias("first_id"), F.min("doc_id").alias("doc_id")))
+        first = [F.first(c).alias(c) for c in ("tokens", "paths", "size")]
+        ids = [F.min(F.col("doc_id").cast("long")).alias("first_id"), F.min("doc_id").alias("doc_id")]
+        self.copies = cut(self.documents.groupBy("node").agg(F.count("*").alias("copies"), *first, *ids))
         groups = components(self._candidates(depth, runs, recall))
         found = cut(self._compare(rows, groups))
         ends = components(found.filter("node != peer").select(F.col("node").alias("a"), F.col("peer").alias("b")))
@@ -214,12 +221,13 @@ class Join:
                 limits = np.searchsorted(owner[order], np.arange(len(sets) + 1))
                 paths = paths[order].view(np.int64)
                 yield pd.DataFrame({
-                    "doc_id": frame["doc_id"].to_numpy(), "node": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                    "doc_id": frame["doc_id"].to_numpy(), "mark": frame["mark"].to_numpy(),
+                    "node": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "size": list(map(len, sets)),
                     "tokens": list(np.ascontiguousarray(tokens.astype(np.uint8)).view(np.int64)),
                     "paths": [np.unique(paths[a:b]) if len(s) else np.zeros(0, np.int64) for s, a, b in zip(sets, limits[:-1], limits[1:])],
                 })
 
-        return rows.mapInPandas(run, "doc_id string, node binary, tokens array<long>, paths array<long>")
+        return rows.mapInPandas(run, "doc_id string, mark long, node binary, size long, tokens array<long>, paths array<long>")
 
     def _candidates(self, depth: int, runs: int, recall: float) -> DataFrame:
         """Loose links between nodes: a, b."""
@@ -253,7 +261,6 @@ class Join:
 
         sign = self.copies.select("node", "tokens")
         rows, found, halved = self.copies.select("node", F.explode("paths").alias("path")), [], None
-        bundle = F.pmod(F.xxhash64("path"), F.lit(8 * partitions(self.spark)))
         at = deepest = depth
         while True:
             heads = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1")
@@ -271,7 +278,9 @@ class Join:
                 large = large.filter(F.col("left") > SMALL)
                 more = not large.isEmpty()
             for part in small:
-                found.append(part.select("path", "node", "tokens").withColumn("bundle", bundle).groupBy("bundle").applyInPandas(brute, "a binary, b binary"))
+                part = part.select("path", "node", "tokens")
+                bundle = F.pmod(F.xxhash64("path"), F.lit(math.ceil(part.count() / BUNDLE) or 1))
+                found.append(part.withColumn("bundle", bundle).groupBy("bundle").applyInPandas(brute, "a binary, b binary"))
             if more:
                 at += 1
                 deepest = max(deepest, at)
@@ -292,8 +301,11 @@ class Join:
     def _compare(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
         """node, links (documents of other nodes that are linked), peer (a node of its component) from each task that has the node."""
         threshold, width = self.threshold, self.width
-        sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-        member = groups.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        weighed = groups.join(self.copies.select("node", "size"), "node")
+        sizes = weighed.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
+        sizes = cut(sizes.select("root", "weight", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / BLOCK_SHINGLES, F.lit(1))).cast("int").alias("blocks")))
+        shared = sizes.filter("blocks = 1").agg(F.sum("weight").alias("w")).first()["w"] or 0
+        member = groups.join(sizes.drop("weight"), "root")
         member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         # one text stands for a node: that of a document with this set, chosen when copies were counted, so copies never meet again
         one = self.copies.select("node", "copies", "doc_id").join(member, "node")
@@ -312,7 +324,7 @@ class Join:
         # small groups share tasks; of a large one each pair of blocks is a task
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         dealt = full.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(16 * partitions(self.spark)))).otherwise(F.xxhash64("root", "i", "j"))
+        task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(math.ceil(shared / BLOCK_SHINGLES) or 1))).otherwise(F.xxhash64("root", "i", "j"))
 
         def compare(frame):
             out = []
@@ -348,9 +360,14 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8, reca
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """The rows of ``docs``, of each class only that with the least id; rows with a missing id stay. Ids are taken to be unique."""
-    classes = link_documents(docs, width, threshold, recall)
-    drop = classes.filter("doc_id != class_id").select(F.col("doc_id").alias("id"))
+    """The rows of ``docs``, of each class only one: that with the least id."""
+    j = Join(docs, width, threshold, recall)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("mark"), name.alias("name"))
+    least = j.documents.join(j.nodes.select("node", "root"), "node").groupBy("root").agg(F.min(order).alias("least"))
+    keep = least.select("least.name", "least.mark")
     # the row travels as one value, so none of its columns can clash
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
-    return rows.join(drop, "id", "left_anti").select("row.*")
+    rows = docs.select(name.alias("name"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.struct("*").alias("row"))
+    if not j.documents.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
+        rows = rows.groupBy("name", "mark").agg(F.first("row").alias("row"))
+    return rows.join(keep, ["name", "mark"], "left_semi").select("row.*")

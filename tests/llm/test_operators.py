@@ -330,6 +330,38 @@ def test_jaccard_keep_one(spark):
     assert jaccard_join.link_documents(data.empty(spark)).count() == 0 and jaccard_join.keep_one_of_each(data.empty(spark)).count() == 0
 
 
+def test_jaccard_keeps_one_of_repeated_rows_and_ids(spark):
+    """Equal rows, one id with two texts, missing ids, and columns named like the operator's own: of each class one row stays."""
+    docs = data.documents(spark).cache()
+    rows = docs.collect()
+    out = jaccard_join.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    sets = [shingles(r.text) for r in rows]
+    root = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+    classes = defaultdict(set)
+    for r, c in zip(rows, root):
+        classes[c].add((BIG if r.doc_id is None else r.doc_id, r.text or ""))
+    kept = [(BIG if r.doc_id is None else r.doc_id, r.text or "") for r in out.collect()]
+    assert len(kept) == len(classes) and all(sum(k in c for k in kept) == 1 for c in classes.values())
+    assert sorted(k for k, _ in kept) == sorted(min(c)[0] for c in classes.values())
+
+
+def test_jaccard_long_texts_in_one_group(spark, monkeypatch):
+    """Near copies of long texts: blocks are cut by shingles, and links are exact."""
+    import random
+
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 9_000)
+    rng = random.Random(3)
+    long = filler(rng, 4000).split()
+    texts = [" ".join("changed" if k % 400 == 7 * n else w for k, w in enumerate(long)) for n in range(8)] + ["short one"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    assert some(jaccard_join.link_documents(docs), "doc_id", "class_id", "n_links") == brute_links(docs.collect())
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
