@@ -146,8 +146,9 @@ def char_windows(c: Column, size: int = 10, step: int = 5) -> Column:
 
 def containment(part: Column, whole: Column, size: int = 10, step: int = 5) -> Column:
     """Share of the windows of ``part`` that stand in ``whole``; null without windows."""
-    w = char_windows(part, size, step)
-    return F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.contains(whole, x))) / F.size(w))
+    w = F.array_distinct(char_windows(part, size, step))
+    found = F.array_intersect(w, char_windows(whole, size, 1))  # a hash set of all windows: linear in both
+    return F.when(F.size(w) > 0, F.size(F.filter(char_windows(part, size, step), lambda x: F.array_contains(found, x))) / F.size(char_windows(part, size, step)))
 
 
 def coverage(part: Column, whole: Column) -> Column:

@@ -46,13 +46,38 @@ def first_by(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_nth = 1").drop("_nth")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: list[str], at: str, value: str) -> DataFrame:
-    """Each left row with the ``value`` of the latest right row of its key at or before it: a running last over the union."""
-    both = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_left": F.lit(1)}).unionByName(
-        right.select(*key, at, F.col(value).alias("_v"), F.lit(0).alias("_left")), allowMissingColumns=True
-    )
-    line = Window.partitionBy(*key).orderBy(at, "_left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(line)).filter("_left = 1").drop("_v", "_left")
+def asof_backward(left: DataFrame, right: DataFrame, key: list[str], at: str, value: str, width: int = 16) -> DataFrame:
+    """Each left row with the ``value`` of the latest right row of its key at or before it: a running last over the union.
+
+    The numbers ``at`` are cut to cells of ``width``; the value runs within a cell of a key, and each cell takes over the last
+    value of the cells before. So a key with many rows is no hot spot. Values are not null.
+    """
+    kind = right.schema[value].dataType
+    cell = F.floor(F.col(at) / width).cast("long")
+    r = right.select(*key, at, F.col(value).alias("_v")).withColumn("_cell", cell)
+    both = left.withColumns({"_v": F.lit(None).cast(kind), "_left": F.lit(1), "_cell": cell}).unionByName(r.withColumn("_left", F.lit(0)), allowMissingColumns=True)
+    line = Window.partitionBy(*key, "_cell").orderBy(at, "_left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = both.withColumn("_own", F.last("_v", ignorenulls=True).over(line)).filter("_left = 1").drop("_v", "_left")
+    # a row for each cell of a key
+    marks = r.groupBy(*key, "_cell").agg(F.max_by("_v", at).alias("_end")).unionByName(
+        run.select(*key, "_cell").distinct().withColumn("_end", F.lit(None).cast(kind))
+    ).groupBy(*key, "_cell").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    past = Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.withColumn("_past", F.last("_end", ignorenulls=True).over(past)).drop("_end")
+    return run.join(marks, [*key, "_cell"], "left").withColumn(value, F.coalesce("_own", "_past")).drop("_own", "_past", "_cell")
+
+
+def overlapping(df: DataFrame, key: list[str], ident: str, low: str, high: str, least: int, width: int = 16) -> DataFrame:
+    """a, b, shared: pairs of ids, a < b, of one key whose ranges share ``least`` numbers or more.
+
+    Ranges are dealt to cells, so only those of one cell meet, and a pair counts in the first cell that both have.
+    """
+    cell = lambda c: F.floor(F.col(c) / width).cast("long")
+    r = df.filter(F.col(low) <= F.col(high)).withColumn("_first", cell(low)).withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
+    side = lambda n: r.select(*key, "_cell", F.col(ident).alias(n), F.col(low).alias(f"_{n}0"), F.col(high).alias(f"_{n}1"), F.col("_first").alias(f"_{n}f"))
+    shared = F.least("_a1", "_b1") - F.greatest("_a0", "_b0") + 1
+    pairs = side("a").join(side("b"), [*key, "_cell"])
+    return pairs.filter((F.col("a") < F.col("b")) & (F.col("_cell") == F.greatest("_af", "_bf")) & (shared >= least)).select("a", "b", shared.alias("shared"))
 
 
 def full_diff(old: DataFrame, new: DataFrame, key: list[str], fields: list[str], keep: Column | None = None) -> DataFrame:

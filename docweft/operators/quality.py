@@ -18,36 +18,55 @@ def reject_reason(df: DataFrame, text: Column, phrases: list[str], least: int =
     return df.withColumn("reason", reason)
 
 
-def local_checks(df: DataFrame, source: str, extracted: str) -> DataFrame:
-    """The rows with ``failures`` and ``score``: word ratio, numbers, equations, last and first sentence, sampled sentences.
+# Fixed value: a numbered heading that a text begins with.
+HEADING = r"^\s*[0-9]+(?:\.[0-9]+){0,2}[.):\-\s]+[^\n]{1,120}\n+"
 
-    Numbers are looked for as substrings. Of the extraction's long sentences about five are looked up by their first five words.
-    """
-    flat = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
-    df = df.withColumns({"_s": X.strip(F.col(source)), "_e": X.strip(F.col(extracted))})
-    df = df.withColumns({
-        "_fs": flat(F.col("_s")), "_fe": flat(F.col("_e")), "_ss": X.sentences(F.col("_s")),
-        "_ls": F.filter(X.sentences(F.col("_e")), lambda s: X.word_total(s) >= 8),
-    })
-    edge = lambda c, n: flat(F.left(c, F.lit(n)))
-    lost = lambda s: (F.length(s) > 15) & ~F.contains(F.col("_fe"), s)
-    step = F.greatest(F.lit(1), F.floor(F.size("_ls") / 5).cast("int"))
+
+def _flat(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"\s+", " "))
+
+
+def source_side(text: Column) -> dict[str, Column]:
+    """What a source is checked by, from its text; a numbered heading at its begin doesn't count. Computed before texts meet, once each."""
+    source = X.strip(F.regexp_replace(X.strip(text), HEADING, ""))
+    sentences = X.sentences(source)
+    edge = lambda s, n: F.coalesce(_flat(F.left(s, F.lit(n))), F.lit(""))
+    return {
+        "s_empty": X.strip(text) == "", "s_flat": _flat(source), "s_words": X.word_total(source), "s_numbers": X.numbers(source),
+        "s_equations": F.transform(X.equations(source), _flat), "s_terms": F.transform(X.key_terms(source), F.lower),
+        "s_last": edge(F.try_element_at(sentences, F.lit(-1)), 50), "s_first": edge(F.get(sentences, F.lit(0)), 40),
+    }
+
+
+def extracted_side(text: Column) -> dict[str, Column]:
+    """What an extraction is checked by: of its long sentences about five, evenly spread, by their first five words."""
+    own = X.strip(text)
+    long = F.filter(X.sentences(own), lambda s: X.word_total(s) >= 8)
+    step = F.greatest(F.lit(1), F.floor(F.size(long) / 5).cast("int"))
     head = lambda s: F.lower(F.array_join(F.slice(F.filter(F.split(s, r"\s+"), lambda w: w != ""), 1, 5), " "))
-    odd = F.filter(F.filter(F.col("_ls"), lambda s, i: i % step == 0), lambda s: (F.length(head(s)) > 10) & ~F.contains(F.col("_fs"), head(s)))
+    heads = F.transform(F.filter(long, lambda s, i: i % step == 0), head)
+    return {"e_text": own, "e_flat": _flat(own), "e_words": X.word_total(own), "e_heads": F.filter(heads, lambda h: F.length(h) > 10)}
+
+
+def local_checks(df: DataFrame) -> DataFrame:
+    """The rows with ``failures`` and ``score`` from both sides' columns: word ratio, numbers, equations, key terms, last and first sentence, sampled sentences.
+
+    Numbers are looked for as substrings.
+    """
+    lost = lambda s: (F.length(s) > 15) & ~F.contains(F.col("e_flat"), s)
     tests = {
-        "word count": X.word_total(F.col("_e")) / F.greatest(X.word_total(F.col("_s")), F.lit(1)) < 0.7,
-        "numbers missing": F.exists(X.numbers(F.col("_s")), lambda n: ~F.contains(F.col("_e"), n)),
-        "equations missing": F.exists(X.equations(F.col("_s")), lambda q: ~F.contains(F.col("_fe"), flat(q))),
-        "last sentence missing": (F.size("_ss") > 0) & lost(edge(F.element_at(F.col("_ss"), -1), 50)),
-        "opening missing": (F.size("_ss") > 0) & lost(edge(F.get("_ss", F.lit(0)), 40)),
-        "not in source": F.size(odd) > 0,
-    }
+        "word count": F.col("e_words") / F.greatest("s_words", F.lit(1)) < 0.7,
+        "numbers missing": F.exists("s_numbers", lambda n: ~F.contains(F.col("e_text"), n)),
+        "equations missing": F.exists("s_equations", lambda q: ~F.contains(F.col("e_flat"), q)),
+        "key terms missing": F.exists("s_terms", lambda t: ~F.contains(F.lower("e_text"), t)),
+        "last sentence missing": lost(F.col("s_last")), "opening missing": lost(F.col("s_first")),
+        "not in source": F.exists("e_heads", lambda h: ~F.contains(F.col("s_flat"), h)),
+    }
     found = F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
-    failures = F.when(F.col("_s") == "", F.array(F.lit("no source text"))).when(F.col("_e") == "", F.array(F.lit("empty extraction"))).otherwise(found)
-    empty = (F.col("_s") == "") | (F.col("_e") == "")
+    empty = F.col("s_empty") | (F.col("e_text") == "")
+    failures = F.when(F.col("s_empty"), F.array(F.lit("no source text"))).when(F.col("e_text") == "", F.array(F.lit("empty extraction"))).otherwise(found)
     df = df.withColumn("failures", failures)
-    df = df.withColumn("score", F.when(empty, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - 0.2 * F.size("failures")), 6)))
-    return df.drop("_s", "_e", "_fs", "_fe", "_ss", "_ls")
+    return df.withColumn("score", F.when(empty, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - 0.2 * F.size("failures")), 6)))
 
 
 def status_case(*cases: tuple[Column, str], default: str) -> Column:

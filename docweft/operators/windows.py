@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +67,26 @@ def remap(df: DataFrame, key: list[str], pos: str, keep: Column) -> DataFrame:
     return df.withColumns({"new_pos": F.when(keep, n - 1), "anchor": F.when(n - F.when(keep, 1).otherwise(0) > 0, n - 1 - F.when(keep, 1).otherwise(0))})
 
 
-def uniquify(df: DataFrame, key: list[str], name: str, *pos) -> DataFrame:
-    """The rows with ``unique_name``: further occurrences of a name get -2, -3, ..."""
-    n = F.row_number().over(Window.partitionBy(*key, name).orderBy(*pos))
-    return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat_ws("-", F.col(name), n.cast("string"))))
+def spread_rank(df: DataFrame, key: list[str], pos: Column, *order, out: str = "place") -> DataFrame:
+    """The rows with their number within the key, by ``pos`` and then ``order``; a key may have any share of the rows.
+
+    ``pos`` (a long) cuts a key to cells: rows are numbered within a cell, and a cell begins where those before it end.
+    """
+    cells = df.withColumn("_cell", pos)
+    n = cells.groupBy(*key, "_cell").agg(F.count("*").alias("_n"))
+    n = n.withColumn("_before", F.coalesce(F.sum("_n").over(before(key, "_cell")), F.lit(0))).drop("_n")  # one row a cell
+    n = n.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_cell").alias("_c"), "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    ranked = cells.withColumn(out, F.row_number().over(Window.partitionBy(*key, "_cell").orderBy(*order)))
+    ranked = ranked.join(n, reduce(lambda a, b: a & b, [*same, F.col("_cell").eqNullSafe(F.col("_c"))]))
+    return ranked.withColumn(out, F.col(out) + F.col("_before")).drop("_cell", "_c", "_before", *[f"_{k}" for k in key])
+
+
+def uniquify(df: DataFrame, key: list[str], name: str, pos: str, cell: int = 100_000) -> DataFrame:
+    """The rows with ``unique_name``: further occurrences of a name, by the number ``pos``, get -2, -3, ..."""
+    ranked = spread_rank(df, [*key, name], F.floor(F.col(pos) / cell), pos, out="_nth")
+    n = F.col("_nth")
+    return ranked.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat_ws("-", F.col(name), n.cast("string")))).drop("_nth")
 
 
 def ordered_list(df: DataFrame, key: list[str], pos: str, value: str, sep: str) -> DataFrame:

@@ -84,18 +84,23 @@ def asof_backward(spark, d):
 FROM {BLOCKS_SQL} b JOIN {SECTIONS_SQL} s ON s.book = b.book) WHERE nth = 1""")
 def nearest_interval(spark, d):
     """Each block to the nearest section of its book, by the distance of its page to the range."""
-    pairs = blocks(spark, d).join(sections(spark, d), "book").withColumn("dist", F.greatest(F.col("p0") - F.col("page"), F.col("page") - F.col("p1"), F.lit(0)))
-    return pairs.groupBy("block").agg(F.min(F.struct("dist", "id")).alias("m")).select("block", "m.id", "m.dist")
+    b, s = blocks(spark, d).select("book", "block", "page"), sections(spark, d)
+    inside = containing(spark, d).groupBy("block").agg(F.min(F.struct(F.lit(0).alias("dist"), "id")).alias("inside"))
+    # the last end before a page and the first start after it, each with the least id that has it
+    ends = s.groupBy("book", (F.col("p1") + 1).alias("page")).agg(F.struct(F.first("p1").alias("p"), F.min("id").alias("id")).alias("left"))
+    starts = s.groupBy("book", (1 - F.col("p0")).alias("page")).agg(F.struct(F.first("p0").alias("p"), F.min("id").alias("id")).alias("right"))
+    rows = J.asof_backward(b, ends, ["book"], "page", "left").withColumn("page", -F.col("page"))
+    rows = J.asof_backward(rows, starts, ["book"], "page", "right").withColumn("page", -F.col("page")).join(inside, "block", "left")
+    side = lambda c, dist: F.when(F.col(c).isNotNull(), F.struct(dist.alias("dist"), F.col(f"{c}.id")))
+    found = F.array_min(F.array_compact(F.array(F.col("inside"), side("left", F.col("page") - F.col("left.p")), side("right", F.col("right.p") - F.col("page")))))
+    return rows.withColumn("m", found).filter("m is not null").select("block", "m.id", "m.dist")
 
 
 @query(f"""SELECT a.id AS a, b.id AS b, least(a.p1, b.p1) - greatest(a.p0, b.p0) + 1 AS shared FROM {SECTIONS_SQL} a JOIN {SECTIONS_SQL} b ON a.book = b.book AND a.level = b.level AND a.id < b.id
 WHERE least(a.p1, b.p1) - greatest(a.p0, b.p0) + 1 >= 2""")
 def sibling_overlap(spark, d):
     """Sections of one level of a book that share two pages or more."""
-    a = sections(spark, d).select("book", "level", F.col("id").alias("a"), F.col("p0").alias("a0"), F.col("p1").alias("a1"))
-    b = sections(spark, d).select("book", "level", F.col("id").alias("b"), F.col("p0").alias("b0"), F.col("p1").alias("b1"))
-    shared = F.least("a1", "b1") - F.greatest("a0", "b0") + 1
-    return a.join(b, ["book", "level"]).filter((F.col("a") < F.col("b")) & (shared >= 2)).select("a", "b", shared.alias("shared"))
+    return J.overlapping(sections(spark, d), ["book", "level"], "id", "p0", "p1", 2)
 
 
 @query(f"""SELECT c.id AS child, p.id AS parent FROM {SECTIONS_SQL} c JOIN {SECTIONS_SQL} p ON p.book = c.book AND p.level = c.level - 1 AND p.id = (c.id // 7) * 7 + p.level WHERE c.p0 < p.p0 OR c.p1 > p.p1""")
@@ -151,13 +156,13 @@ def counts_left_default0(spark, d):
 
 
 
-@query("""WITH k AS (SELECT doc_id, lower(left(trim(coalesce(text, '')), 40)) AS t, source FROM documents), u AS (SELECT t, min(doc_id) AS target FROM k GROUP BY t HAVING count(*) = 1),
+@query("""WITH k AS (SELECT doc_id, lower(trim(coalesce(text, ''))) AS t, source FROM documents), u AS (SELECT t, min(doc_id) AS target FROM k GROUP BY t HAVING count(*) = 1),
 s AS (SELECT source, min(doc_id) AS target FROM k GROUP BY source)
 SELECT k.doc_id, coalesce(l.doc_id, u.target, s.target) AS target, CASE WHEN l.doc_id IS NOT NULL THEN 'key' WHEN u.target IS NOT NULL THEN 'title' ELSE 'source' END AS method, CASE WHEN l.doc_id IS NOT NULL THEN 0.95 WHEN u.target IS NOT NULL THEN 0.7 ELSE 0.4 END::DOUBLE AS confidence
 FROM k LEFT JOIN labels l ON l.doc_id = k.doc_id LEFT JOIN u ON u.t = k.t LEFT JOIN s ON s.source = k.source""")
 def cascade_key_join(spark, d):
     """The first of three keys that finds a target: id, unique title, source."""
-    k = table(spark, d, "documents").select("doc_id", F.lower(F.left(F.trim(X.text_or_empty(F.col("text"))), F.lit(40))).alias("t"), "source")
+    k = table(spark, d, "documents").select("doc_id", F.lower(F.trim(X.text_or_empty(F.col("text")))).alias("t"), "source")
     u = J.unique_key(k.select("t", F.col("doc_id").alias("by_title")), "t", "by_title")
     s = k.groupBy("source").agg(F.min("doc_id").alias("by_source"))
     rows = k.join(table(spark, d, "labels").select("doc_id", F.col("doc_id").alias("by_key")), "doc_id", "left").join(u, "t", "left").join(s, "source", "left")
@@ -165,11 +170,11 @@ def cascade_key_join(spark, d):
     return rows.select("doc_id", target.alias("target"), method.alias("method"), sure.alias("confidence"))
 
 
-@query("""WITH k AS (SELECT doc_id, lower(left(trim(coalesce(text, '')), 40)) AS t FROM documents)
+@query("""WITH k AS (SELECT doc_id, lower(trim(coalesce(text, ''))) AS t FROM documents)
 SELECT t, min(doc_id) AS target FROM k GROUP BY t HAVING count(*) = 1""")
 def unique_title_fallback(spark, d):
     """Titles that one document only has."""
-    k = table(spark, d, "documents").select(F.lower(F.left(F.trim(X.text_or_empty(F.col("text"))), F.lit(40))).alias("t"), F.col("doc_id").alias("target"))
+    k = table(spark, d, "documents").select(F.lower(F.trim(X.text_or_empty(F.col("text")))).alias("t"), F.col("doc_id").alias("target"))
     return J.unique_key(k, "t", "target")
 
 
@@ -202,7 +207,7 @@ def phrase_boundary(spark, d):
     clean = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     titles = titles.withColumn("phrase", clean(F.col("title")))
     most = titles.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
-    parts = table(spark, d, "part").withColumn("n_nationkey", (F.col("p_partkey") % 25).cast("int")).join(F.broadcast(nation.limit(25)), "n_nationkey")
+    parts = table(spark, d, "part").withColumn("n_nationkey", (F.col("p_partkey") % 25).cast("int")).join(nation, "n_nationkey")
     words = F.split(clean(F.concat_ws(" ", "p_name", "n_name")), " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, n), " "))))
     hits = parts.select("p_partkey", F.explode(F.array_distinct(runs)).alias("phrase")).join(titles, "phrase")
@@ -350,12 +355,13 @@ def witness_missing(spark, d):
     return docs.filter("doc_id % 2 = 0").join(have, ["doc_id", "n"], "left_anti")
 
 
-@query("""WITH a AS (SELECT doc_id, lower(left(coalesce(text, ''), 12)) AS stem FROM documents), g AS (SELECT stem, count(*) AS n FROM a GROUP BY stem HAVING count(*) BETWEEN 2 AND 50)
+@query(r"""WITH a AS (SELECT doc_id, regexp_extract((doc_id % 17) || '.' || (doc_id % 5) || '-' || coalesce(lang, ''), '^[0-9]+(\.[0-9]+)*') AS stem FROM documents), g AS (SELECT stem, count(*) AS n FROM a GROUP BY stem HAVING count(*) > 1)
 SELECT a.doc_id, g.n - 1 AS n_siblings FROM a JOIN g USING (stem)""")
 def shared_stem_siblings(spark, d):
-    """How many siblings of one stem a row has."""
-    a = table(spark, d, "documents").select("doc_id", F.lower(F.left(X.text_or_empty(F.col("text")), F.lit(12))).alias("stem"))
-    g = a.groupBy("stem").agg(F.count("*").alias("n")).filter("n between 2 and 50")
+    """How many siblings with one numeric stem of their ids a row has, however many these are: stems are counted, not paired."""
+    ident = F.concat_ws("-", F.concat_ws(".", F.col("doc_id") % 17, F.col("doc_id") % 5), X.text_or_empty(F.col("lang")))
+    a = table(spark, d, "documents").select("doc_id", F.regexp_extract(ident, r"^[0-9]+(\.[0-9]+)*", 0).alias("stem"))
+    g = a.groupBy("stem").agg(F.count("*").alias("n")).filter("n > 1")
     return a.join(g, "stem").select("doc_id", (F.col("n") - 1).alias("n_siblings"))
 
 

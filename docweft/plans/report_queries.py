@@ -32,13 +32,13 @@ def qc_avg_nonnull(spark, d):
 
 
 @query(f"""SELECT source, lang, count(*) AS n, count(*) FILTER (quality = 1) AS verbatim, count(*) FILTER (quality = 0) AS missed, count(*) FILTER (toxic = 1) AS flagged, round(avg(quality), 9) AS score,
-array_to_string(list_sort(list(d.doc_id) FILTER (quality = 0)), ',') AS failures FROM {L_SQL} GROUP BY source, lang""")
+min(d.doc_id) FILTER (quality = 0) AS first_failure, max(d.doc_id) FILTER (quality = 0) AS last_failure FROM {L_SQL} GROUP BY source, lang""")
 def qa_section_rollup(spark, d):
     """Tallies, mean score and the failures of each section."""
     q = F.col("quality")
     return labelled(spark, d).groupBy("source", "lang").agg(
         F.count("*").alias("n"), F.count_if(q == 1).alias("verbatim"), F.count_if(q == 0).alias("missed"), F.count_if(F.col("toxic") == 1).alias("flagged"),
-        F.round(F.avg("quality"), 9).alias("score"), F.array_join(F.nullif(F.array_sort(F.collect_list(F.when(q == 0, F.col("doc_id")))), F.array().cast("array<bigint>")), ",").alias("failures"),
+        F.round(F.avg("quality"), 9).alias("score"), F.min(F.when(q == 0, F.col("doc_id"))).alias("first_failure"), F.max(F.when(q == 0, F.col("doc_id"))).alias("last_failure"),
     )
 
 
@@ -108,9 +108,12 @@ def layout_vote(spark, d):
 
 @query("SELECT l_suppkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS median FROM lineitem GROUP BY l_suppkey")
 def upper_median(spark, d):
-    """The upper median: the element at half the size of the sorted list."""
-    q = F.sort_array(F.collect_list("l_quantity"))
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.get(q, F.floor(F.size(q) / 2).cast("int")).alias("median"))
+    """The upper median: the element at half the size of the sorted list. Equal values are counted first, so a key is as long as its distinct values are many."""
+    each = table(spark, d, "lineitem").groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("n"))
+    line = Window.partitionBy("l_suppkey").orderBy("l_quantity")
+    upto, every = line.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("l_suppkey")
+    each = each.withColumns({"upto": F.sum("n").over(upto), "half": F.floor(F.sum("n").over(every) / 2)})
+    return each.filter("upto > half").groupBy("l_suppkey").agg(F.min("l_quantity").alias("median"))
 
 
 @query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id // 3 AS doc_id FROM documents UNION ALL SELECT doc_id FROM labels) GROUP BY doc_id HAVING count(*) > 3")

@@ -126,11 +126,13 @@ def markdown_lines(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", R.render(F.col("role"), F.col("text")).alias("line"))
 
 
-@query("""SELECT source, '{"source":"' || source || '","ids":[' || string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) || ']}' AS json FROM documents WHERE source IS NOT NULL GROUP BY source""")
+@query("""SELECT source, doc_id // 1000 AS part, '{"source":"' || source || '","part":' || (doc_id // 1000) || ',"ids":[' || string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) || ']}' AS json
+FROM documents WHERE source IS NOT NULL GROUP BY source, part""")
 def json_documents(spark, d):
-    """Groups as JSON documents."""
-    g = table(spark, d, "documents").filter("source is not null").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return g.select("source", F.to_json(F.struct("source", "ids")).alias("json"))
+    """Groups as JSON documents, each in parts by a thousand ids, so that no group has to fit one row."""
+    part = F.floor(F.col("doc_id") / 1000).alias("part")
+    g = table(spark, d, "documents").filter("source is not null").groupBy("source", part).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    return g.select("source", "part", F.to_json(F.struct("source", "part", "ids")).alias("json"))
 
 
 @query("""SELECT doc_id, CASE WHEN contains(lower(text), 'the ') THEN 'theory' WHEN contains(text, '?') THEN 'questions' WHEN lang = 'en' THEN 'theory' ELSE 'other' END AS first FROM (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents)""")
@@ -190,23 +192,23 @@ def lock_expiry(spark, d):
     return e.select("user_id", "event_id", F.when((F.col("event_type") == "signup") & (F.col("ts") < F.lit(cut)), "free").otherwise("held").alias("lock"))
 
 
-@query("""WITH q AS (SELECT doc_id, source, lower(left(coalesce(text, ''), 20)) AS num FROM documents), e AS (SELECT * FROM q WHERE doc_id % 2 = 0), n AS (SELECT * FROM q WHERE doc_id % 2 = 1),
+@query("""WITH q AS (SELECT doc_id, source, lower(trim(coalesce(text, ''))) AS num FROM documents), e AS (SELECT * FROM q WHERE doc_id % 2 = 0), n AS (SELECT * FROM q WHERE doc_id % 2 = 1),
 f AS (SELECT min(doc_id) AS doc_id FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.source = n.source AND e.num = n.num) GROUP BY source, num)
 SELECT doc_id, 'existing' AS origin FROM e UNION ALL SELECT doc_id, 'new' FROM f""")
 def merge_insert_only(spark, d):
     """New rows are added by number; an existing one wins."""
-    q = table(spark, d, "documents").select("doc_id", "source", F.lower(F.left(X.text_or_empty(F.col("text")), F.lit(20))).alias("num"))
+    q = table(spark, d, "documents").select("doc_id", "source", F.lower(F.trim(X.text_or_empty(F.col("text")))).alias("num"))
     old, new = q.filter("doc_id % 2 = 0"), q.filter("doc_id % 2 = 1")
     fresh = new.join(old.select("source", "num"), ["source", "num"], "left_anti").groupBy("source", "num").agg(F.min("doc_id").alias("doc_id"))
     return old.select("doc_id", F.lit("existing").alias("origin")).unionByName(fresh.select("doc_id", F.lit("new").alias("origin")))
 
 
-@query("""WITH t AS (SELECT page_id, lower(left(regexp_extract(html, '<h1>([^<]*)', 1), 10)) AS h FROM pages), n AS (SELECT h, count(*) AS n, min(page_id) AS first FROM t WHERE h <> '' GROUP BY h)
+@query("""WITH t AS (SELECT page_id, lower(trim(regexp_extract(html, '<h1>([^<]*)', 1))) AS h FROM pages), n AS (SELECT h, count(*) AS n, min(page_id) AS first FROM t WHERE h <> '' GROUP BY h)
 SELECT a.page_id, CASE WHEN n.n IS NULL THEN 'phantom' WHEN n.n = 1 THEN CASE WHEN n.first = a.page_id THEN 'confirmed' ELSE 'correction' END WHEN EXISTS (SELECT 1 FROM t x WHERE x.h = a.h AND abs(x.page_id - a.page_id) <= 1) THEN 'confirmed' ELSE 'skip' END AS verdict
 FROM (SELECT page_id + CASE WHEN page_id % 6 = 0 THEN 3 ELSE 0 END AS page_id, h FROM t WHERE h <> '') a LEFT JOIN n USING (h)""")
 def title_page_check(spark, d):
     """Claimed pages of titles: confirmed nearby, corrected if there is one other place, skipped if there are many, else phantom."""
-    t = table(spark, d, "pages").select("page_id", F.lower(F.left(F.regexp_extract("html", "<h1>([^<]*)", 1), F.lit(10))).alias("h")).filter("h <> ''")
+    t = table(spark, d, "pages").select("page_id", F.lower(F.trim(F.regexp_extract("html", "<h1>([^<]*)", 1))).alias("h")).filter("h <> ''")
     claims = t.withColumn("page_id", F.col("page_id") + F.when(F.col("page_id") % 6 == 0, 3).otherwise(0))
     n = t.groupBy("h").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
     near = claims.withColumn("at", F.explode(F.sequence(F.col("page_id") - 1, F.col("page_id") + 1))).join(t.select("h", F.col("page_id").alias("at")), ["h", "at"]).select("page_id", "h", F.lit(True).alias("near")).distinct()

@@ -31,6 +31,14 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return left.join(right, "doc_id")
 
 
+def token_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, share: of each document's tokens those that the next one has; 1 without tokens."""
+    tokens = documents(spark, d).select("doc_id", X.token_set(F.col("text")).alias("src"))
+    other = documents(spark, d).select((F.col("doc_id") - 1).alias("doc_id"), X.token_set(F.col("text")).alias("ext"))
+    n = F.size("src")
+    return tokens.join(other, "doc_id").select("doc_id", F.when(n > 0, F.size(F.array_intersect("src", "ext")) / n).otherwise(1.0).alias("share"))
+
+
 def keep_first(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select("doc_id", "source", "lang", X.fingerprint(F.col("text")).alias("fp"))
     first = Window.partitionBy("source", "fp").orderBy(F.col("lang").asc_nulls_last(), "doc_id")
@@ -148,28 +156,37 @@ def ngram_containment(spark, d):
 
 @query(f"""SELECT doc_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 1 END, 9) AS share FROM (SELECT doc_id, {TOKENS_SQL.format('src')} AS a, {TOKENS_SQL.format('ext')} AS b FROM ({PAIRS_SQL}))""")
 def token_coverage(spark, d):
-    """Share of the source's tokens in the extraction."""
-    return pairs(spark, d).select("doc_id", F.round(X.coverage(F.col("src"), F.col("ext")), 9).alias("share"))
+    """Share of the source's tokens in the extraction: texts are cut to tokens once, and tokens meet, not texts."""
+    return token_pairs(spark, d).select("doc_id", F.round("share", 9).alias("share"))
+
+
+QUOTED_SQL = X.QUOTED.replace(chr(92) + '"', '"')
+SENTENCES_SQL = rf"list_filter(list_transform(regexp_extract_all({{0}}, '{X.SENTENCE}'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+TERMS_SQL = rf"list_concat(list_filter(regexp_extract_all(src, '{X.PHRASE}'), lambda t: length(t) > 5), regexp_extract_all(src, '{QUOTED_SQL}', 1))"
 
 
-@query(rf"""WITH p AS ({PAIRS_SQL}), t AS (SELECT doc_id, regexp_replace(src, '^\s+|\s+$', '', 'g') AS src, regexp_replace(ext, '^\s+|\s+$', '', 'g') AS ext FROM p),
-q AS (SELECT *, lower(regexp_replace(src, '\s+', ' ', 'g')) AS fs, lower(regexp_replace(ext, '\s+', ' ', 'g')) AS fe,
-  list_filter(list_transform(regexp_extract_all(src, '{X.SENTENCE}'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS ss,
-  list_filter(list_filter(list_transform(regexp_extract_all(ext, '{X.SENTENCE}'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''), lambda s: {WORDS_SQL.format('s')} >= 8) AS ls FROM t),
-c AS (SELECT doc_id, src = '' AS e1, ext = '' AS e2,
+@query(rf"""WITH p AS ({PAIRS_SQL}), h AS (SELECT doc_id, regexp_replace(src, '^\s+|\s+$', '', 'g') AS src0, regexp_replace(ext, '^\s+|\s+$', '', 'g') AS ext FROM p),
+t AS (SELECT doc_id, src0, ext, regexp_replace(regexp_replace(src0, '{quality.HEADING}', ''), '^\s+|\s+$', '', 'g') AS src FROM h),
+q AS (SELECT *, lower(regexp_replace(src, '\s+', ' ', 'g')) AS fs, lower(regexp_replace(ext, '\s+', ' ', 'g')) AS fe, {SENTENCES_SQL.format('src')} AS ss,
+  list_filter({SENTENCES_SQL.format('ext')}, lambda s: {WORDS_SQL.format('s')} >= 8) AS ls, {TERMS_SQL} AS ts FROM t),
+c AS (SELECT doc_id, src0 = '' AS e1, ext = '' AS e2,
   {WORDS_SQL.format('ext')} / greatest({WORDS_SQL.format('src')}, 1) < 0.7 AS f1,
   len(list_filter(list_distinct(regexp_extract_all(src, '{X.NUMBER}')), lambda n: NOT contains(ext, n))) > 0 AS f2,
   len(list_filter(list_transform(regexp_extract_all(src, '{X.EQUATION}'), lambda e: regexp_replace(e, '^\s+|\s+$', '', 'g')), lambda e: length(e) > 3 AND length(e) < 100 AND NOT contains(fe, lower(regexp_replace(e, '\s+', ' ', 'g'))))) > 0 AS f3,
-  CASE WHEN len(ss) > 0 THEN length(left(fl, 50)) > 15 AND NOT contains(fe, left(fl, 50)) ELSE false END AS f5,
-  CASE WHEN len(ss) > 0 THEN length(left(ff, 40)) > 15 AND NOT contains(fe, left(ff, 40)) ELSE false END AS f6,
+  len(list_filter(list_filter(ts, lambda t, i: list_position(ts, t) = i)[1:20], lambda t: NOT contains(lower(ext), lower(t)))) > 0 AS f4,
+  CASE WHEN len(ss) > 0 THEN length(fl) > 15 AND NOT contains(fe, fl) ELSE false END AS f5,
+  CASE WHEN len(ss) > 0 THEN length(ff) > 15 AND NOT contains(fe, ff) ELSE false END AS f6,
   len(list_filter(list_transform(list_filter(range(1, len(ls) + 1), lambda i: (i - 1) % greatest(1, len(ls) // 5) = 0), lambda i: lower(array_to_string(list_filter(string_split_regex(ls[i], '\s+'), lambda w: w <> '')[1:5], ' '))),
     lambda s: length(s) > 10 AND NOT contains(fs, s))) > 0 AS f7
- FROM (SELECT *, lower(regexp_replace(left(ss[len(ss)], 50), '\s+', ' ', 'g')) AS fl, lower(regexp_replace(left(ss[1], 40), '\s+', ' ', 'g')) AS ff FROM q))
-SELECT doc_id, CAST(CASE WHEN e1 OR e2 THEN 1 ELSE f1::INT + f2::INT + f3::INT + f5::INT + f6::INT + f7::INT END AS INTEGER) AS n_failures,
- round(CASE WHEN e1 OR e2 THEN 0 ELSE greatest(0, 1 - 0.2 * (f1::INT + f2::INT + f3::INT + f5::INT + f6::INT + f7::INT)) END, 6)::DOUBLE AS score FROM c""")
+ FROM (SELECT *, lower(regexp_replace(left(ss[len(ss)], 50), '\s+', ' ', 'g')) AS fl, lower(regexp_replace(left(ss[1], 40), '\s+', ' ', 'g')) AS ff FROM q)),
+n AS (SELECT doc_id, e1 OR e2 AS none, f1::INT + f2::INT + f3::INT + f4::INT + f5::INT + f6::INT + f7::INT AS n FROM c)
+SELECT doc_id, CAST(CASE WHEN none THEN 1 ELSE n END AS INTEGER) AS n_failures, round(CASE WHEN none THEN 0 ELSE greatest(0, 1 - 0.2 * n) END, 6)::DOUBLE AS score FROM n""")
 def qc_local_score(spark, d):
-    """Local checks of an extraction against its source: failures, and a score that falls by 0.2 for each."""
-    checked = quality.local_checks(pairs(spark, d), "src", "ext")
+    """The seven local checks of an extraction against its source: failures, and a score that falls by 0.2 for each."""
+    text = X.text_or_empty(F.col("text"))
+    left = documents(spark, d).select("doc_id", *[c.alias(n) for n, c in quality.source_side(text).items()])
+    right = documents(spark, d).select((F.col("doc_id") - 1).alias("doc_id"), *[c.alias(n) for n, c in quality.extracted_side(text).items()])
+    checked = quality.local_checks(left.join(right, "doc_id"))
     return checked.select("doc_id", F.size("failures").alias("n_failures"), "score")
 
 
@@ -179,7 +196,7 @@ def verdict_thresholds(spark, d):
     """Verdicts by threshold; the two callers use different ones."""
     s = F.col("s")
     verdict = lambda low: F.when(s >= 0.95, "verbatim").when(s >= low, "paraphrased").otherwise("not_verbatim")
-    rows = pairs(spark, d).select("doc_id", X.coverage(F.col("src"), F.col("ext")).alias("s"))
+    rows = token_pairs(spark, d).withColumnRenamed("share", "s")
     return rows.select("doc_id", F.round("s", 9).alias("share"), verdict(0.85).alias("fidelity"), verdict(0.80).alias("verifier"))
 
 
@@ -197,13 +214,13 @@ def page_label_finder(spark, d):
     return rows.filter("label <> ''")
 
 
-@query(r"""WITH l AS (SELECT DISTINCT page_id, regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '\s+', ' ', 'g'))), '^([0-9]+ )+', ''), '( [0-9]+)+$', '') AS k, left(split_part(url, '//', 2), 6) AS host FROM pages)
-SELECT host, left(k, 3) AS k, count(*) AS n_pages FROM l GROUP BY host, left(k, 3) HAVING count(*) >= 3""")
+@query(r"""WITH l AS (SELECT DISTINCT page_id, regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '\s+', ' ', 'g'))), '^([0-9]+ )+', ''), '( [0-9]+)+$', '') AS k, split_part(split_part(url, '//', 2), '/', 1) AS host FROM pages)
+SELECT host, k, count(*) AS n_pages FROM l GROUP BY host, k HAVING count(*) >= 3""")
 def furniture_repeat(spark, d):
-    """Begins of titles that a host's pages repeat: running heads are on three pages at least."""
+    """Titles, without numbers at their ends, that a host's pages repeat: running heads are on three pages at least."""
     key = X.furniture_key(F.regexp_extract("html", "<title>([^<]*)", 1))
-    rows = table(spark, d, "pages").select("page_id", key.alias("k"), F.left(F.split_part("url", F.lit("//"), F.lit(2)), F.lit(6)).alias("host")).distinct()
-    return rows.groupBy("host", F.left("k", F.lit(3)).alias("k")).agg(F.count("*").alias("n_pages")).filter("n_pages >= 3")
+    rows = table(spark, d, "pages").select("page_id", key.alias("k"), F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host")).distinct()
+    return rows.groupBy("host", "k").agg(F.count("*").alias("n_pages")).filter("n_pages >= 3")
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '') || '|' || coalesce(lang, '') || '|' || coalesce(source, '') || '|v1') AS key FROM documents")

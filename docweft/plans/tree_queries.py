@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import joins as J
 from ..operators import tree as T
 from ..sources.tables import table
 from .join_queries import SECTIONS_SQL, sections
@@ -89,8 +89,8 @@ def tree_parent_map(spark, d):
 @query(f"WITH n AS {NODES_SQL}, f AS (SELECT path, row_number() OVER (PARTITION BY path[1:2], title ORDER BY path) AS nth, title FROM n) SELECT {KEY_SQL.format('path')} AS node, title FROM f WHERE nth = 1")
 def tree_first_seen(spark, d):
     """Of nodes with one name in a nation the first of the walk."""
-    w = Window.partitionBy(F.slice("path", 1, 2), "title").orderBy("path")
-    return nodes(spark, d).withColumn("nth", F.row_number().over(w)).filter("nth = 1").select(key().alias("node"), "title")
+    first = nodes(spark, d).groupBy(F.slice("path", 1, 2).alias("top"), "title").agg(F.min("path").alias("path"))
+    return first.select(key().alias("node"), "title")
 
 
 @query(f"WITH n AS {NODES_SQL}, c AS (SELECT CAST(doc_id AS BIGINT) AS id, doc_id % 7 AS expected FROM documents) SELECT {KEY_SQL.format('n.path')} AS node, CAST(coalesce(c.expected, n.expected) AS BIGINT) AS expected FROM n LEFT JOIN c ON c.id = n.path[len(n.path)]")
@@ -133,8 +133,7 @@ def violations(spark, d):
     }
     found = s.select("id", F.explode(F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))).alias("type"))
     out = found.select("type", "id", F.lit("error").alias("severity"))
-    y = s.select("book", "level", F.col("id").alias("y"), F.col("a").alias("ya"), F.col("b").alias("yb"))
-    overlap = s.join(y, ["book", "level"]).filter((F.col("id") < F.col("y")) & (F.least("b", "yb") - F.greatest("a", "ya") + 1 >= 2))
+    overlap = J.overlapping(s.withColumnsRenamed({"a": "low", "b": "high"}), ["book", "level"], "id", "low", "high", 2).withColumnRenamed("a", "id")
     titles = s.filter("level = 1").join(s.filter("level = 2").select("book", "title"), ["book", "title"], "left_semi")
     out = out.unionByName(overlap.select(F.lit("sibling_overlap").alias("type"), "id", F.lit("error").alias("severity")).distinct())
     return out.unionByName(titles.select(F.lit("duplicate_title").alias("type"), "id", F.lit("warning").alias("severity")))

@@ -178,8 +178,8 @@ def never_drop(spark, d):
     """Items that were not emitted are given back to their section in order, or to the uncategorized ones."""
     emitted = table(spark, d, "labels").filter("quality = 1").select("doc_id")
     left = table(spark, d, "documents").select("doc_id", "source").join(emitted, "doc_id", "left_anti")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return left.select("doc_id", F.coalesce("source", F.lit("uncategorized")).alias("section"), place.alias("place"))
+    left = W.spread_rank(left, ["source"], F.floor(F.col("doc_id") / 100_000), "doc_id")
+    return left.select("doc_id", F.coalesce("source", F.lit("uncategorized")).alias("section"), "place")
 
 
 NUM_SQL = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN CAST(doc_id % 10 + 1 AS VARCHAR) || '.' || ['i', 'iv', 'ix', 'b'][doc_id % 4 + 1] WHEN 2 THEN 'Q' || (doc_id % 37) ELSE CAST(doc_id % 12 AS VARCHAR) END"
