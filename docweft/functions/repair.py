@@ -20,22 +20,19 @@ SIGNS = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsil
 OPERATORS = {"+": "plus", "=": "equals", "<": "less", ">": "greater", "×": "times", "÷": "divided", "≤": "leq", "≥": "geq", "±": "pm", "→": "to", "√": "sqrt"}
 
 
+_TOKEN = re.compile(r'(?s)"(?:[^"\\]|\\.)*(?:"|$)|[{}\[\]]')
+
+
 def first_json(text: str) -> str | None:
-    """The first balanced object or array; brackets inside strings don't count."""
-    depth, begin, quoted, skip = 0, None, False, False
-    for k, ch in enumerate(text):
-        if quoted:
-            quoted, skip = (skip or ch != '"'), (not skip and ch == "\\")
-            continue
-        if ch == '"' and begin is not None:
-            quoted, skip = True, False
-        elif ch in "{[":
-            begin = k if begin is None else begin
-            depth += 1
-        elif ch in "}]" and begin is not None:
-            depth -= 1
-            if not depth:
-                return text[begin : k + 1]
+    """The first object or array, up to the bracket that closes it; only brackets of its own kind count, and none inside strings."""
+    begin = min((k for k in (text.find("{"), text.find("[")) if k >= 0), default=None)
+    if begin is None:
+        return None
+    opening, closing, depth = text[begin], "}" if text[begin] == "{" else "]", 0
+    for token in _TOKEN.finditer(text, begin):
+        depth += (token[0] == opening) - (token[0] == closing)
+        if not depth:
+            return text[begin : token.end()]
     return None
 
 

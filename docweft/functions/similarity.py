@@ -10,38 +10,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-
-
-def _codes(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-
-
-def _sums(s: str) -> tuple[np.ndarray, np.ndarray]:
-    c = _codes(s)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(c), _BASE)]), dtype=np.uint64)
-    return np.concatenate([[np.uint64(0)], np.cumsum(c * power[:-1], dtype=np.uint64)]), power
-
-
 def longest_common_length(a: str, b: str) -> int:
-    """Length of the longest common substring: a binary search for the greatest length at which the two share a window."""
-    (x, p), (y, q) = _sums(a), _sums(b)
-    # windows at different places are brought to one power of the base
-    power = p if len(p) >= len(q) else q
-    last = len(power) - 1
-
-    def shared(n: int) -> bool:
-        u, v = ((t[n:] - t[:-n]) * power[last - np.arange(len(t) - n)] for t in (x, y))
-        return bool(np.isin(u, v).any())
-
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        if shared(mid):
-            low = mid
-        else:
-            high = mid - 1
-    return low
+    """Length of the longest common substring.
+
+    Stretches are named by doubling: the name of one of length 2n is the place of its two halves' names among all that occur, so
+    equal names are equal stretches, whatever the texts. The greatest power of two at which both texts share a stretch is then
+    extended by smaller powers.
+    """
+    codes = np.frombuffer((a + b).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    cut = len(a)
+
+    def names(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the stretches of length n in either text, from those of two parts of them."""
+        pair = np.concatenate([left[0] << np.int64(32) | right[0], left[1] << np.int64(32) | right[1]])
+        found = np.unique(pair, return_inverse=True)[1]
+        return found[: len(left[0])], found[len(left[0]) :]
+
+    def shared(pair: tuple[np.ndarray, np.ndarray]) -> bool:
+        return bool(len(pair[0]) and len(pair[1]) and np.isin(pair[0], pair[1]).any())
+
+    levels = [(codes[:cut], codes[cut:])]
+    if not shared(levels[0]):
+        return 0
+    n = 1
+    while 2 * n <= min(len(a), len(b)):
+        x, y = levels[-1]
+        doubled = names((x[:-n], y[:-n]), (x[n:], y[n:]), 2 * n)
+        if not shared(doubled):
+            break
+        levels.append(doubled)
+        n *= 2
+    best, length = levels[-1], n
+    for k in range(len(levels) - 1, -1, -1):
+        step = 1 << k
+        if length + step > min(len(a), len(b)):
+            continue
+        x, y = levels[k]
+        longer = names(tuple(t[: len(t) - step] for t in best), (x[length:], y[length:]), length + step)
+        if shared(longer):
+            best, length = longer, length + step
+    return length
 
 
 def lcs_share(a: str | None, b: str | None, of_shorter: bool = False) -> float:

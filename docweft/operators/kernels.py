@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from ..functions.similarity import matching_ratio
 
 
+#: Rows that share a call, on average.
+BUNDLE = 5_000
+
+
 def by_group(df: DataFrame, key: str, order: list[str], function, schema: str) -> DataFrame:
     """The function over each group: it gets the key and the group's rows, in order, as tuples, and returns tuples of ``schema``.
 
-    Many small groups share a call, as a call costs more than a group; the bundles follow the number of shuffle partitions.
+    Many small groups share a call, as a call costs more than a group: about BUNDLE rows, however many there are in all.
     """
-    bundles = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bundles = -(-df.select(key).count() // BUNDLE) or 1
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:

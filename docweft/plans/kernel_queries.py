@@ -24,7 +24,7 @@ def lcs_ratio(spark, d):
 @query()
 def sequence_ratio(spark, d):
     """Matching ratio of the titles (first lines) of each document and the next one."""
-    title = lambda c: F.left(F.split_part(c, F.lit("\n"), F.lit(1)), F.lit(200))
+    title = lambda c: F.split_part(c, F.lit("\n"), F.lit(1))
     return pairs(spark, d).select("doc_id", F.round(S.sequence_ratio(title("src"), title("ext")), 9).alias("ratio"))
 
 
@@ -104,11 +104,11 @@ def chip_question_claim(spark, d):
 
 @query()
 def anchor_cursor(spark, d):
-    """The opening words of each turn of a conversation are looked up among its turns, moving forward."""
+    """The first line of each turn of a conversation is looked up among its turns, moving forward."""
 
     def run(conv, rows):
         texts = [r.text or "" for r in rows]
-        return [(conv, r.turn, *hit) for r, hit in zip(rows, K.anchor_pages([" ".join(t.split()[:3]) for t in texts], texts))]
+        return [(conv, r.turn, *hit) for r, hit in zip(rows, K.anchor_pages([t.split("\n")[0].strip() for t in texts], texts))]
 
     return K.by_group(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", ["turn"], run, "conv_id long, turn long, page long, kind string")
 
@@ -120,7 +120,7 @@ def chunk_by_heading(spark, d):
 
     @F.pandas_udf(schema)
     def chunks(texts: pd.Series) -> pd.Series:
-        cut = lambda t: K.chunk_by_titles(t or "", [line[:24] for line in (t or "").split("\n")])
+        cut = lambda t: K.chunk_by_titles(t or "", (t or "").split("\n"))
         return texts.map(lambda t: [{"begin": a, "end": b, "found": f} for a, b, f in cut(t)])
 
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunks("text")).alias("nth", "c"))

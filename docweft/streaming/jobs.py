@@ -19,8 +19,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one only where the cluster names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docweft-")
+    """A new folder that driver and executors share; a temporary one only where none is named and all is on one machine, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="docweft-")
     return f"{base.rstrip('/')}/stream/{uuid.uuid4().hex}"
 
 

@@ -18,6 +18,16 @@ def test_longest_common_substring(a, b):
     assert similarity.longest_common_length(a, b) == want
 
 
+def test_longest_common_substring_of_words_made_to_collide():
+    """Two different words of letters a and b that any polynomial hash with a power of two as its modulus takes for one."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    want = SequenceMatcher(None, word, other, autojunk=False).find_longest_match().size
+    assert similarity.longest_common_length(word, other) == want < 2048
+
+
 @given(short, short)
 def test_window_share(a, b):
     own = [a[k : k + 10] for k in range(0, len(a) - 9, 5)]
@@ -65,6 +75,10 @@ def test_json_parsing():
     assert repair.parse_json('{"a": "} {"}') == '{"a": "} {"}'
     assert repair.parse_json(r'{"f": "\alpha"}') == r'{"f": "\\alpha"}'
     assert repair.parse_json("no json") is None and repair.parse_json(None) is None
+    assert repair.parse_json('Here is the answer:\n{"a": 1, "b": [2, 3]}') == '{"a": 1, "b": [2, 3]}'
+    assert repair.parse_json('```json\n{"pdf_type": "digital", "estimated_pages": 10}\n```') == '{"estimated_pages": 10, "pdf_type": "digital"}'
+    assert repair.first_json('{"msg": "value has } inside"}') == '{"msg": "value has } inside"}'
+    assert repair.first_json('x {"a": ]} y') == '{"a": ]}' and repair.first_json("[1, {2]}") == "[1, {2]" and repair.first_json('{"a": "open}') is None
 
 
 def test_rewriting():
