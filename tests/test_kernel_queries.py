@@ -275,13 +275,12 @@ def test_match_normalise(spark):
 def test_final_merge_doc(spark, turns):
     got = {r.conv_id: r.markdown for r in result(spark, "final_merge_doc")}
     wrap = {"system": "## {}", "user": "**{}**"}
-    capital = lambda c: c.upper() if len(c.upper()) == 1 else c
     for conv, t in turns.items():
         runs = []
         for r in t:
             if r.turn % 8 == 7 or (r.turn % 4 == 3 and r.text is None):
                 continue
-            text = " ".join(capital(w[:1]) + w[1:].lower() for w in (r.text or "").split(" ")) if r.turn % 4 == 3 else r.text or ""
+            text = " ".join(w[:1].title() + w[1:].lower() for w in (r.text or "").split(" ")) if r.turn % 4 == 3 else r.text or ""
             if runs and runs[-1][0] == r.role:
                 runs[-1][1].append(text)
             else:
