@@ -1,14 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
 Each source's target is its share by weight, at most ``most`` times its size; what is cut off is shared anew by weight until no
-source is above. A document's expected copies are its share of the source's target; its whole copies are certain, and the rest
-is its inclusion odds. Documents are ranked by random odds u/(1-u) divided by inclusion odds p/(1-p), and the source takes them
+source is above. Within a source documents have odds (``odds_col``): expected copies are in proportion to them, at most ``most``,
+and so high that the source's target is met. Whole copies are certain, and the rest is a document's inclusion probability. Documents are ranked by random odds u/(1-u) divided by inclusion odds p/(1-p), and the source takes them
 in that order until its words are as near the target as a prefix can come.
 
 The order is never sorted as a whole: documents fall into cells by rank, the cells' sums are scanned, and only the cell in which
 the target is met is refined, ``LEVELS`` times, then ranked. A source with a third of all rows spreads over all tasks.
 
-Nulls: a null text has size 0; a null source is a source of its own, last in order. Documents of size 0 and sources of size 0
+Odds are taken in steps of an eighth of an octave, so a source has some hundred different ones at most.
+
+Nulls: a null text has size 0; null odds are 1; a null source is a source of its own, last in order. Documents of size 0 and sources of size 0
 take 0. Ties in rank: by id, then size; rows that are equal throughout share what their place gives. Empty table: empty result.
 Further columns are ignored.
 """
@@ -62,7 +64,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     """doc_id, source, size, source_size, target, copies, taken for each row of ``docs`` (doc_id, source, text).
 
     ``odds_col`` names a positive column by which documents of one source are preferred; without it all documents of a source
-    have the same odds, and odds differ between sources only. No document is copied more than ``most`` times, rounded down.
+    have the same odds. No document is copied more than ``most`` times, rounded down.
     """
     sized = cut(_sized(docs, odds_col))
     out = _decide(sized, *_marks(sized, weights, most, seed), most, seed)
@@ -77,16 +79,17 @@ def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.
 
 
 def _sized(docs: DataFrame, odds_col: str | None, *more: Column) -> DataFrame:
-    wish = F.greatest(F.coalesce(F.col(odds_col).cast("double"), F.lit(1.0)), F.lit(1e-9)) if odds_col else F.lit(1.0)
+    odds = F.least(F.greatest(F.coalesce(F.col(odds_col).cast("double"), F.lit(1.0)), F.lit(1e-9)), F.lit(1e9)) if odds_col else F.lit(1.0)
+    wish = F.pow(F.lit(2.0), F.round(F.log2(odds) * 8) / 8) if odds_col else odds
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), wish.alias("wish"), *more)
 
 
 def _marks(sized: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> tuple[DataFrame, bool]:
     """One row per source: source_size, target, wished, and up to which rank its documents are taken (all below ``low``, then up to ``last``); and whether sources are few."""
-    per = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("wish")).alias("wished")))
-    few = per.count() <= FEW
-    targets = source_targets(per.select("source", "source_size"), weights, most)
-    targets = cut(targets.join(per.select(F.col("source").alias("s"), "wished"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    grades = cut(sized.groupBy("source", "wish").agg(F.sum("size").alias("words")))
+    targets = source_targets(grades.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    targets = cut(targets.join(_levels(grades, targets, float(int(most))), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
+    few = targets.count() <= FEW
     rows = _ranked(sized, targets, few, most, seed)
     sure = rows.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))
     marks = targets.join(sure, F.col("source").eqNullSafe(F.col("s")), "left")
@@ -98,13 +101,27 @@ def _marks(sized: DataFrame, weights: tuple[float, ...], most: float, seed: int)
     edge = edge.withColumn("run", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     # a document is taken if that brings the sum nearer to the target than leaving it out
     last = edge.filter(F.col("run") - F.col("size") / 2.0 <= F.col("need")).groupBy("source").agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"))
-    marks = targets.select(F.col("source").alias("src"), "source_size", "target", "wished").join(marks.select(F.col("source").alias("s"), "low"), F.col("src").eqNullSafe(F.col("s")))
-    return cut(marks.join(last, F.col("src").eqNullSafe(F.col("source")), "left").select(F.col("src").alias("source"), "source_size", "target", "wished", "low", "last")), few
+    marks = targets.select(F.col("source").alias("src"), "source_size", "target", "level").join(marks.select(F.col("source").alias("s"), "low"), F.col("src").eqNullSafe(F.col("s")))
+    return cut(marks.join(last, F.col("src").eqNullSafe(F.col("source")), "left").select(F.col("src").alias("source"), "source_size", "target", "level", "low", "last")), few
+
+
+def _levels(grades: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """s, level: the expected copies at odds of 1 of each source, with which min(level * odds, most) meets its target.
+
+    ``grades`` has a row for each source and odds. Those that reach ``most`` come first by falling odds, so running sums give the level.
+    """
+    rows = grades.filter("words > 0").join(targets.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s")))
+    order = Window.partitionBy("s").orderBy(F.col("wish").desc())
+    before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * most
+    open_ = F.sum(F.col("wish") * F.col("words")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = rows.withColumn("level", (F.col("target") - before) / open_)
+    return rows.filter(F.col("level") * F.col("wish") <= most).groupBy("s").agg(F.max("level").alias("level"))
 
 
 def _ranked(rows: DataFrame, targets: DataFrame, few: bool, most: float, seed: int) -> DataFrame:
     """The rows with their source's row, their certain copies ``whole``, their ``rank`` in (0, 1), and whether they ``can`` be taken once more."""
-    share = F.when(F.col("wished") > 0, F.col("target") * F.col("wish") / F.col("wished")).otherwise(0.0)
+    # without a level all documents of the source are taken as often as they may be
+    share = F.when(F.col("target") > 0, F.coalesce(F.col("level") * F.col("wish"), F.lit(most))).otherwise(0.0)
     rows = _join_source(rows, targets, few).withColumn("share", F.least(share, F.lit(float(int(most)))))
     p, u = F.col("share") - F.floor("share"), uniform(seed)
     odds = (u / (1 - u)) / (p / (1 - p))

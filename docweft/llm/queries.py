@@ -30,8 +30,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neig
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, sources weighing 5, 2, 1 in turn."""
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """All documents, sources weighing 5, 2, 1 in turn; within a source odds double from 8, 64 and 512 words on."""
+    docs = table(spark, sf_dir, "documents")
+    size = mixing.word_count(F.col("text"))
+    odds = F.when(size < 8, 1.0).when(size < 64, 2.0).when(size < 512, 4.0).otherwise(8.0)
+    return mixing.mix(docs.withColumn("_odds", odds), odds_col="_odds").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,17 +154,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 MIXING_SQL = """
-WITH sized AS (
+WITH counted AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+sized AS (SELECT *, CASE WHEN size < 8 THEN 1.0::DOUBLE WHEN size < 64 THEN 2.0::DOUBLE WHEN size < 512 THEN 4.0::DOUBLE ELSE 8.0::DOUBLE END AS wish FROM counted),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS nth FROM sized GROUP BY source),
 b AS (SELECT *, CASE (nth - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 3.0::DOUBLE * source_size AS bound FROM per),
 r AS (SELECT *, coalesce(sum(bound) OVER (ORDER BY bound / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bounds,
         sum(weight) OVER (ORDER BY bound / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
         CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM b),
 t AS (SELECT source, source_size, coalesce(least(bound, weight * (SELECT max((total - bounds) / open) FROM r WHERE bound / weight > (total - bounds) / open)), bound) AS target FROM r),
-s AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target * 1.0 / t.source_size, 3.0::DOUBLE) ELSE 0 END AS share,
+g AS (SELECT source, wish, sum(size) AS words FROM sized WHERE size > 0 GROUP BY ALL),
+v AS (SELECT g.source, wish, (t.target - 3.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY g.source ORDER BY wish DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(wish * words) OVER (PARTITION BY g.source ORDER BY wish DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM g JOIN t ON t.source IS NOT DISTINCT FROM g.source),
+l AS (SELECT source, max(level) AS level FROM v WHERE level * wish <= 3 GROUP BY source),
+s AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.target > 0 THEN least(coalesce(l.level * d.wish, 3.0::DOUBLE), 3.0::DOUBLE) ELSE 0 END AS share,
         (('0x' || substr(md5('17:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
-      FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+      FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN l ON l.source IS NOT DISTINCT FROM d.source),
 k AS (SELECT *, floor(share) AS whole, share - floor(share) AS p FROM s),
 o AS (SELECT *, CASE WHEN p <= 0 THEN 1.0::DOUBLE ELSE (u / (1 - u)) / (p / (1 - p)) END AS odds, share < 3 AND size > 0 AS can,
         sum(whole * size) OVER (PARTITION BY source) AS sure FROM k),
