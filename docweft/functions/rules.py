@@ -58,6 +58,27 @@ def unit_class(expected: Column, got: Column, failed: Column) -> Column:
     return F.when(failed, "failed").when(got == 0, "empty").when(got < expected, "partial").otherwise("complete")
 
 
+def next_action(stage: dict[str, Column], tries: dict[str, Column], finalized: Column, running: Column, most_tries: int = 1, most_running: int = 5) -> Column:
+    """What a book needs next, from the states of its stages (schema, theory, questions, figures): the first rule that holds.
+
+    A schema that is pending although later stages have got on counts as done. Theory waits while ``running`` other books are at it.
+    """
+    schema, theory, questions, figures = (stage[s] for s in ("schema", "theory", "questions", "figures"))
+    advanced = theory.isin("done", "needs_review", "partial") | questions.isin("done", "partial") | figures.isin("done", "partial")
+    again = lambda s: (stage[s] == "failed") & (F.coalesce(tries[s], F.lit(0)) < most_tries)
+    schema_pending = (schema == "pending") & ~advanced
+    ready = schema.isin("done", "needs_review") | ((schema == "pending") & advanced)
+    over = ["done", "failed", "partial", "needs_review"]
+    return (
+        F.when(schema_pending, "dispatch_analyse").when(again("schema"), "retry_analyse").when(~ready, "no_action")
+        .when((theory == "pending") & (running >= most_running), "no_action").when(theory == "pending", "dispatch_theory").when(theory == "running", "no_action")
+        .when(again("theory"), "retry_theory").when(theory == "failed", "finalize").when(~finalized, "no_action")
+        .when(again("questions"), "retry_questions").when(again("figures"), "retry_figures")
+        .when((questions == "pending") & (figures == "pending"), "dispatch_both").when(questions == "pending", "dispatch_questions").when(figures == "pending", "dispatch_figures")
+        .when(questions.isin(over) & figures.isin(over), "finalize").otherwise("no_action")
+    )
+
+
 def solution_flag(text: Column) -> Column:
     """A solution is there if its text is not blank."""
     return F.coalesce(F.trim(text) != "", F.lit(False))

@@ -264,6 +264,44 @@ def formula_text(spark, d):
     return rows.select("k", B.spaced_commands(F.col("t")).alias("spaced"), B.page_text(F.col("t")).alias("compared"))
 
 
+SIGNS_SQL = "regexp_replace(t, '\\\\([a-zA-Z]+)', '\\\\\\1' || chr(1), 'g')"
+for _a, _b in B.TEX_SIGNS.items():
+    SIGNS_SQL = f"regexp_replace({SIGNS_SQL}, '\\\\{_a}\\x01\\s?(?:\\{{\\}})?', {quoted(_b)}, 'g')"
+FORMULAS = ["\\theta{} + \\alpha\\beta", "\\frac{180-2\\theta}{2}", "x \\in A \\int f", "\\infty \\unknown{x}", "a \\leq b \\Rightarrow c", "no command"]
+
+
+@query(f"WITH t AS (SELECT p_partkey AS k, {sql_list(FORMULAS)}[p_partkey % {len(FORMULAS)} + 1] AS t FROM part) SELECT k, t, replace({SIGNS_SQL}, chr(1), '') AS signs FROM t")
+def export_signs(spark, d):
+    """Formulas for an export that knows signs but no commands."""
+    rows = parts(spark, d).select("k", pick(FORMULAS, F.col("k")).alias("t"))
+    return rows.select("k", "t", B.export_signs(F.col("t")).alias("signs"))
+
+
+STATES = ["pending", "running", "done", "failed", "needs_review", "partial"]
+
+
+def state_sql(n: int) -> str:
+    return f"{sql_list(STATES)}[c_custkey // {n} % 6 + 1]"
+
+
+@query(f"""WITH b AS (SELECT c_custkey AS book, ['done', 'done', {", ".join(map(quoted, STATES))}][c_custkey % 8 + 1] AS s, {state_sql(3)} AS t, {state_sql(5)} AS q, {state_sql(7)} AS f, c_custkey % 2 AS tries, c_custkey % 3 > 0 AS fin FROM customer),
+r AS (SELECT *, (SELECT count(*) FROM b WHERE t = 'running') - (t = 'running')::INT AS running, t IN ('done', 'needs_review', 'partial') OR q IN ('done', 'partial') OR f IN ('done', 'partial') AS advanced FROM b)
+SELECT book, CASE WHEN s = 'pending' AND NOT advanced THEN 'dispatch_analyse' WHEN s = 'failed' AND tries < 1 THEN 'retry_analyse' WHEN NOT (s IN ('done', 'needs_review') OR (s = 'pending' AND advanced)) THEN 'no_action'
+WHEN t = 'pending' THEN CASE WHEN running >= 5 THEN 'no_action' ELSE 'dispatch_theory' END WHEN t = 'running' THEN 'no_action' WHEN t = 'failed' THEN CASE WHEN tries < 1 THEN 'retry_theory' ELSE 'finalize' END WHEN NOT fin THEN 'no_action'
+WHEN q = 'failed' AND tries < 1 THEN 'retry_questions' WHEN f = 'failed' AND tries < 1 THEN 'retry_figures' WHEN q = 'pending' AND f = 'pending' THEN 'dispatch_both' WHEN q = 'pending' THEN 'dispatch_questions' WHEN f = 'pending' THEN 'dispatch_figures'
+WHEN q <> 'running' AND f <> 'running' THEN 'finalize' ELSE 'no_action' END AS action FROM r""")
+def next_actions(spark, d):
+    """The next step of each book by the states of its stages, with self-healing, retries and a bound on books at theory at once."""
+    k = F.col("book")
+    state = lambda n: F.get(F.array(*map(F.lit, STATES)), (F.floor(k / n) % 6).cast("int"))
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("book"))
+    b = b.select("book", pick(["done", "done", *STATES], k).alias("schema"), state(3).alias("theory"), state(5).alias("questions"), state(7).alias("figures"), (k % 2).alias("tries"), (k % 3 > 0).alias("fin"))
+    at_it = b.agg(F.count_if(F.col("theory") == "running").alias("n")).first()["n"]
+    others = F.lit(at_it) - F.when(F.col("theory") == "running", 1).otherwise(0)
+    names = ["schema", "theory", "questions", "figures"]
+    return b.select("book", R.next_action({n: F.col(n) for n in names}, {n: F.col("tries") for n in names}, F.col("fin"), others).alias("action"))
+
+
 @query("""WITH j AS (SELECT event_id, user_id, event_type, ts, epoch(ts) AS t, (SELECT max(epoch(ts)) FROM events) - 900 AS cut FROM events)
 SELECT event_id, coalesce((event_type = 'click' AND CASE WHEN event_id % 3 > 0 THEN t > cut ELSE t - 60 > cut END) OR (event_type = 'view' AND t > cut), false) AS fresh FROM j""")
 def fresh_jobs(spark, d):
