@@ -51,7 +51,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe() -> tuple[str, str]:
-    """The file of ranks and the pattern that splits a text before it."""
+    """The file of ranks and the pattern that splits a text before it: the vocabulary of byte_bpe_50k.json.
+
+    The ids are those that the library ``tokenizers`` gives with that file, where a special token's string in a text is ordinary
+    text (``encode_special_tokens``), as the tokenizers' README sets it; tiktoken takes less time for them.
+    """
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -71,7 +75,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, with the pieces and scores of the 32k vocabulary."""
+    """All documents, with the pieces and scores of the 32k vocabulary taken as a unigram model (its own BPE merges count differently)."""
     import public_tokenizers
 
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 UPDATES = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 # Query parameters that do not change a page.
 TRACKING = "utm_[a-z]+|ref|gclid|fbclid"
+#: Ranges of time: a URL is split into so many parts at most, each of which is sorted on disk if need be.
 RANGES = 64
 
 

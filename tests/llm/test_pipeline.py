@@ -53,6 +53,24 @@ def test_stages(spark, tables):
     check(mixed, stages[names[4]](spark, mixed, tables).collect(), [r.text for r in mixed.collect()])
 
 
+def test_stages_take_odd_rows(spark, tables, tmp_path):
+    """Repeated rows, equal and missing ids, nulls, further columns with clashing names, and empty tables go through each stage."""
+    odd = data.documents(spark)
+    for docs in (odd, data.empty(spark)):
+        at = docs
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, at, tables)
+            if name == "packing":
+                assert (out.count() > 0) == (at.count() > 0)
+                continue
+            assert out.columns == docs.columns, name
+            out.write.parquet(f"{tmp_path}/{docs.schema is odd.schema}-{k}-{id(docs)}")
+            at = spark.read.parquet(f"{tmp_path}/{docs.schema is odd.schema}-{k}-{id(docs)}")
+            assert at.count() <= 3 * docs.count()
+            if docs is odd:
+                assert at.filter("text is not null").count() > 0, name
+
+
 def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables)
     assert out.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
