@@ -384,3 +384,34 @@ def validator_content(spark, d):
     would = J.first_by(would, ["id"], F.col("level").desc(), F.col("other")).select("id", "other")
     placed = child.join(would, "id", "left")
     return found.unionByName(out(placed, "outside_theory", "warning", F.coalesce(F.col("other").cast("string"), F.lit("none"))))
+
+
+# ---------------------------------------------------------------- drafts
+
+
+@query("""WITH chip AS (SELECT o_custkey AS book, o_orderkey AS child, o_orderkey % 5 AS pos FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_custkey, o_orderkey, o_orderkey % 4 FROM orders WHERE o_orderkey % 6 = 0),
+used AS (SELECT book, child, min(pos) AS pos FROM chip GROUP BY ALL), slot AS (SELECT o_custkey AS book, o_orderkey AS child, coalesce(2 * u.pos + 2, 1000) AS slot FROM orders LEFT JOIN used u ON u.child = o_orderkey AND u.book = o_custkey),
+item AS (SELECT c_custkey AS book, 'heading' AS item, 0 AS slot, 0 AS child, 0 AS a, 0 AS b, 0 AS c FROM customer
+UNION ALL SELECT c_custkey, 'text ' || p, 2 * p + 1, 0, 0, 0, 0 FROM customer, range(0, 5) r(p) UNION ALL SELECT book, 'section ' || child, slot, child, 0, 0, 0 FROM slot
+UNION ALL SELECT book, 'block ' || l_linenumber || ' of ' || child, slot, child, l_linenumber, l_partkey, l_suppkey FROM slot JOIN lineitem ON l_orderkey = child)
+SELECT book, item, row_number() OVER (PARTITION BY book ORDER BY slot, child, a, b, c) AS place FROM item""")
+def draft_seed(spark, d):
+    """The items of a new draft: heading, texts, and at each reference the section that it names with its blocks, once; sections that nothing names come last."""
+    k = F.col("o_orderkey")
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("book"), "o_orderkey")
+    # a section stands at the first of its references: they are taken together before anything is placed
+    at = F.array_compact(F.array(F.when(k % 3 == 0, k % 5), F.when(k % 6 == 0, k % 4)))
+    slot = orders.select("book", k.alias("child"), F.coalesce(2 * F.array_min(at) + 2, F.lit(1000)).alias("slot"))
+    zero = F.lit(0).cast("long")
+    order = lambda *c: [x.cast("long").alias(n) for x, n in zip((*c, zero, zero, zero, zero, zero)[:5], ("slot", "child", "a", "b", "c"))]
+    book = table(spark, d, "customer").select(F.col("c_custkey").alias("book"))
+    text = book.select("book", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("p"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("child"), "l_linenumber", "l_partkey", "l_suppkey")
+    name = F.col("child").cast("string")
+    items = book.select("book", F.lit("heading").alias("item"), *order())
+    items = items.unionByName(text.select("book", F.concat(F.lit("text "), F.col("p").cast("string")).alias("item"), *order(2 * F.col("p") + 1)))
+    items = items.unionByName(slot.select("book", F.concat(F.lit("section "), name).alias("item"), *order(F.col("slot"), F.col("child"))))
+    of = slot.join(lines, "child")
+    block = F.concat(F.lit("block "), F.col("l_linenumber").cast("string"), F.lit(" of "), name)
+    items = items.unionByName(of.select("book", block.alias("item"), *order(F.col("slot"), F.col("child"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"))))
+    return items.select("book", "item", F.row_number().over(Window.partitionBy("book").orderBy("slot", "child", "a", "b", "c")).alias("place"))
