@@ -65,7 +65,7 @@ def test_hamming_probes_alone_answer(spark):
     df = spark.createDataFrame([(c, 1, k) for k, c in enumerate(signed)], "code long, copies long, first long")
     queries = signed[::20]
     rows = hamming.nearest_codes(df, spark.createDataFrame([(q,) for q in queries], "q long"), 6).collect()
-    m = len(hamming.segments(64, len(signed)))
+    m = len(hamming.segments(64, len(signed), 6))
     found, radius = defaultdict(list), {}
     for r in rows:
         found[r.q].append(r.d)
@@ -140,6 +140,31 @@ def test_mixing_odds_and_empty(spark):
     assert mixing.mix(data.empty(spark)).count() == 0 and mixing.take(data.empty(spark)).count() == 0
 
 
+def test_mixing_odds_meet_targets_and_probabilities(spark):
+    """Over many seeds a document's mean copies are min(3, level * odds), whole copies are certain, and targets are met."""
+    rows = [(k, "w " * 5, "abc"[k % 3 if k < 90 else 0], float(2 ** (k % 4))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, odds double").cache()
+    copies, n = Counter(), 12
+    for seed in range(n):
+        got = mixing.mix(docs, odds_col="odds", seed=seed).collect()
+        taken = Counter()
+        for r in got:
+            copies[r.doc_id] += r["copies"]
+            taken[r.source] += r.taken
+        assert all(abs(taken[r.source] - r.target) <= 2.5 + 1e-9 for r in got)
+    target = {r.source: r.target for r in got}
+    for s in "abc":
+        own = [(k, w) for k, _, source, w in rows if source == s]
+        low, high = 0.0, 10.0
+        for _ in range(60):  # by halving, where the operator uses running sums
+            level = (low + high) / 2
+            low, high = (level, high) if sum(5 * min(3.0, level * w) for _, w in own) < target[s] else (low, level)
+        for w in {w for _, w in own}:
+            mean = sum(copies[k] for k, x in own if x == w) / n / sum(x == w for _, x in own)
+            assert mean == pytest.approx(min(3.0, level * w), abs=0.25)
+            assert all(copies[k] >= n * math.floor(min(3.0, level * w) + 1e-9) for k, x in own if x == w)
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -540,6 +565,32 @@ def test_repeats_rows(spark):
     assert repeats.find_repeats(data.empty(spark)).count() == 0 and repeats.remove_repeats(data.empty(spark)).count() == 0
 
 
+def test_words_made_to_collide_are_told_apart():
+    """Two different words of 1,024 letters that a polynomial hash modulo a power of two takes for one."""
+    from docweft.llm.common import Words
+
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    w = Words([f"{word} {word.translate(str.maketrans('ab', 'ba'))} {word}"], wide=True)
+    assert w.hash[0] != w.hash[1] and w.hash[0] == w.hash[2] and w.other[0] != w.other[1]
+
+
+def test_repeats_keep_other_columns_as_they_are(spark):
+    """Microseconds, maps with number keys, nested values; a third of the ids are missing."""
+    docs = data.documents(spark).select("doc_id", "text").withColumn("doc_id", F.when(F.xxhash64("text") % 3 != 0, F.col("doc_id")))
+    docs = docs.withColumns({
+        "at": F.expr("timestamp'2024-05-06 07:08:09.123456'"), "m": F.expr("map(7, 'x')"), "n": F.expr("named_struct('others', array(1.5d), 'c0', null)"), "chunk": F.lit(1), "b": F.expr("x'00ff'"),
+    })
+    out = repeats.remove_repeats(docs)
+    assert out.columns == docs.columns
+    whole = docs.drop("doc_id", "text").first()
+    assert all(r["at"] == whole["at"] and r["m"] == {7: "x"} and r["n"] == whole["n"] and r["b"] == whole["b"] for r in out.collect())
+    want = [(d, k) for d, _, g, k in brute_repeats(docs.collect()) if g and k]
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert want and all(got[x] for x in want)
+
+
 # ---------------------------------------------------------------- 9
 
 
@@ -640,6 +691,13 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df).count() == 6 and warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_revisits_of_very_long_urls(spark):
+    long = "http://a.org/" + "x" * 200_000
+    rows = [("f", long + "#part", 1, 200, {"etag": "e"}), ("r", long, 2, 304, {"etag": "e"}), ("f2", long + "?utm_source=" + "y" * 100_000, 3, 200, {"etag": "e"}), ("r2", long, 4, 304, None)]
+    df = spark.createDataFrame(rows, "record_id string, url string, ts long, status int, headers map<string,string>")
+    assert {r.record_id: (r.target_id, r.verdict) for r in warc.resolve_revisits(df).collect()} == {"r": ("f", "resolved"), "r2": ("f2", "unchecked")}
+
+
 def test_revisits_against_brute_force(spark):
     import random
 
