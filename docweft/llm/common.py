@@ -160,26 +160,36 @@ def lean(function):
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct unsigned keys as differences of the least width in bytes."""
+    """Sorted distinct unsigned keys: their number, the first one, then differences byte by byte, of which the high ones compress well."""
+    import zstandard
+
     if not len(keys):
         return b""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    first, gaps = gaps[:1], gaps[1:]
+    gaps = np.diff(keys)
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    body = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + first.astype("<u8").tobytes() + body.tobytes()
+    planes = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    low = max(1, width - 2)  # lower bytes are noise
+    head = bytes([width]) + np.array([len(keys), keys[0]], "<u8").tobytes()
+    return head + planes[:low].tobytes() + zstandard.ZstdCompressor(1).compress(planes[low:].tobytes())
 
 
 def unpack(blob: bytes) -> np.ndarray:
     """The keys that ``pack`` was given."""
+    import zstandard
+
     if not blob:
         return np.zeros(0, np.uint64)
     width = blob[0]
-    body = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
-    gaps = np.zeros((len(body) + 1, 8), np.uint8)
-    gaps[1:, :width] = body
-    gaps[0] = np.frombuffer(blob, np.uint8, 8, 1)
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+    n, first = np.frombuffer(blob, "<u8", 2, 1).tolist()
+    low = max(1, width - 2)
+    noise = np.frombuffer(blob, np.uint8, low * (n - 1), 17)
+    rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[17 + low * (n - 1) :], max_output_size=max(1, (width - low) * (n - 1))), np.uint8)
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[1:, :low] = noise.reshape(low, n - 1).T
+    gaps[1:, low:width] = rest.reshape(width - low, n - 1).T
+    gaps = gaps.view("<u8").ravel()
+    gaps[0] = first
+    return np.cumsum(gaps, dtype=np.uint64)
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -196,6 +206,8 @@ def unsqueeze(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), f"<u{blob[0]}").astype(np.uint64)
 
 
+#: Tasks that chunks are dealt to: as many as there are chunks, up to so many.
+MOST_TASKS = 50_000
 #: Characters of text whose keys one shard adds up, on average.
 SHARD_CHARS = 16_000_000
 
@@ -230,7 +242,7 @@ def chunked(docs: DataFrame, chars_each: int = 6_000_000) -> tuple[DataFrame, in
     # by a hash of id, content and input partition: rows with equal or missing ids spread, and so do repeated rows
     mark = F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64), F.spark_partition_id())
     chunk = F.pmod(mark, F.lit(chunks)).cast("int")
-    return docs.withColumn("chunk", chunk).repartition(partitions(spark), "chunk"), chars
+    return docs.withColumn("chunk", chunk).repartition(min(chunks, max(partitions(spark), MOST_TASKS)), "chunk"), chars
 
 
 def ids_of(column) -> np.ndarray:

@@ -182,33 +182,45 @@ class Automaton:
         return out
 
 
-def vocabulary(docs: DataFrame) -> tuple[int, int]:
-    """Number of tokens and of distinct tokens of the training texts: each partition's distinct words are sent once."""
+def vocabulary(docs: DataFrame, shards: int) -> tuple[int, int]:
+    """Number of tokens and of distinct tokens of the training texts: runs of texts send each distinct word's hash once, to shards."""
 
     def distinct(frames):
         seen, n = np.zeros(0, np.uint64), 0
         fresh: list[np.ndarray] = []
         for frame in batches(frames):
-            s = Words(frame["text"].tolist(), lower=True)
-            n += len(s.hash) + len(frame)
-            fresh.append(np.unique(s.hash))
+            w = Words(frame["text"].tolist(), lower=True)
+            n += len(w.hash) + len(frame)
+            fresh.append(np.unique(w.hash))
             if sum(map(len, fresh)) > 2_000_000:
                 seen, fresh = np.unique(np.concatenate([seen, *fresh])), []
+            if len(seen) > 4_000_000:
+                yield sent(seen, n)
+                seen, n = seen[:0], 0
         seen = np.unique(np.concatenate([seen, *fresh]))
         if n:
-            yield pd.DataFrame({"key": np.append(seen, _END).view(np.int64), "n": [n, *[0] * len(seen)]})
+            yield sent(seen, n)
 
-    each = docs.filter("train").select("text").mapInPandas(distinct, "key long, n long")
-    found = each.groupBy("key").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).first()
+    def sent(seen, n):
+        keys = np.unique(np.append(seen, _END)) >> np.uint64(1)
+        at = shard_bounds(keys, 63, shards)
+        full = np.flatnonzero(np.diff(at))
+        return pd.DataFrame({"shard": full, "keys": [pack(keys[at[k] : at[k + 1]]) for k in full], "n": [n, *[0] * (len(full) - 1)]})
+
+    def add(key, frame):
+        return pd.DataFrame({"n": [frame["n"].sum()], "words": [len(np.unique(np.concatenate([unpack(b) for b in frame["keys"]])))]})
+
+    each = docs.filter("train").select("text").mapInPandas(distinct, "shard int, keys binary, n long")
+    found = each.groupBy("shard").applyInPandas(lean(add), "n long, words long").agg(F.sum("n").alias("tokens"), F.sum("words").alias("words")).first()
     return found["tokens"] or 0, found["words"] or 0
 
 
 def score(docs: DataFrame, is_train: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row; the model learns from those with ``is_train``."""
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), is_train.alias("train"))
-    n_train, n_distinct = vocabulary(rows)
     dealt, chars = chunked(rows)
     bits, shards = bits_for(ORDER * chars // 6), shards_for(chars)
+    n_train, n_distinct = vocabulary(rows, shards)
 
     def ask(key, frame):
         keys, counts = Stream(frame["text"], bits).distinct(frame["train"].to_numpy(bool))
