@@ -262,9 +262,11 @@ def train(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS) -> Lex
 
     seen = cut(rows.select("toxic", "text", "half").mapInPandas(read, "toxic int, x array<double>, around array<string>"))
     points = seen.select("toxic", "x").collect()  # 2 * fit_rows at most
-    model = fit_logistic(np.array([r.x for r in points]).reshape(-1, 3), np.array([r.toxic for r in points], float)) if points else []
-    if model:  # rows of each label were learnt from in different shares
-        model[0] += sum((1 if y else -1) * math.log(labels[y] / min(labels[y], fit_rows)) for y in (0, 1))
+    if len({r.toxic for r in points}) < 2:  # labels without documents teach nothing
+        return Lexicon([], [], [])
+    model = fit_logistic(np.array([r.x for r in points]).reshape(-1, 3), np.array([r.toxic for r in points], float))
+    # rows of each label were learnt from in different shares
+    model[0] += sum((1 if y else -1) * math.log(labels[y] / min(labels[y], fit_rows)) for y in (0, 1))
     # terms with a neighbour that stand in more texts of label 0 than of label 1, and in three at least
     phrases = seen.select("toxic", F.explode("around").alias("phrase")).groupBy("phrase").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("bad"))
     phrases = phrases.filter("clean >= 3 and clean > bad").orderBy(F.desc("clean"), "phrase").limit(PHRASES).collect()
