@@ -39,7 +39,7 @@ NEAR, LOOSE = 0.75, 0.4
 #: Buckets up to this size are compared by brute force.
 SMALL = 2_000
 #: Rows of such buckets that share a task, on average.
-BUNDLE = 10_000
+BUNDLE = 2_000
 BLOCK, BLOCK_SHINGLES = 1_000, 400_000
 _A = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, SIGNATURE + 1001, dtype=np.uint64))
