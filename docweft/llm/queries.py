@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, hamming, jaccard_join, mixing, ngram_lm, packing, repeats, token_count, toxicity, warc
+from . import bpe, collocations, fingerprint, hamming, importance, jaccard_join, mixing, ngram_lm, packing, repeats, token_count, toxicity, warc
 from .common import held_out
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -146,6 +147,66 @@ SELECT record_id, url_key, ts, target_id, verdict, CASE WHEN verdict IN ('resolv
 """
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, drawn towards all benchmark texts by words in 10,000 buckets."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+IMPORTANCE_SQL = r"""
+WITH bit AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+low AS (SELECT 0 AS kind, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        UNION ALL SELECT 1, NULL, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT kind, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM low),
+u AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM w),
+b AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+        lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8))) % 10000 AS bucket FROM u, bit),
+f AS (SELECT kind, doc_id, bucket FROM w JOIN b USING (word)),
+n AS (SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM f GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((t::DOUBLE + 1) * ((SELECT count(*) FROM f WHERE kind = 0)::DOUBLE + 10000)) / ((s::DOUBLE + 1) * ((SELECT count(*) FROM f WHERE kind = 1)::DOUBLE + 10000)))) AS BIGINT) AS gain FROM n),
+d AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN g USING (bucket) WHERE kind = 0 GROUP BY doc_id),
+s AS (SELECT documents.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || documents.doc_id), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+      FROM documents LEFT JOIN d USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS total FROM s WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * total // 100 THEN rank END AS rank FROM s LEFT JOIN r USING (doc_id)
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, phrases of 2 to 4 words that occur 30 times or more."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+COLLOCATIONS_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+o AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT lang, ws[i:i + k - 1] AS gram, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 30 OR len(gram) = 1),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(gram) = 1 GROUP BY lang),
+c AS (SELECT lang, gram, f AS a FROM f WHERE len(gram) >= 2 AND f >= 30),
+s AS (SELECT lang, gram[i:j] AS gram, max(a) AS longer FROM (SELECT lang, gram, a, i, unnest(range(i + 1, len(gram) + 1)) AS j FROM (SELECT *, unnest(range(1, len(gram))) AS i FROM c)) WHERE j - i + 1 < len(gram) GROUP BY ALL),
+k AS (SELECT c.*, unnest(range(1, len(c.gram))) AS k FROM c LEFT JOIN s ON s.lang = c.lang AND s.gram = c.gram WHERE longer IS NULL OR 100 * longer < 80 * a),
+x AS (SELECT k.lang, k.gram, a, k, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f + r.f) AS BIGINT) AS score FROM k
+      JOIN f l ON l.lang = k.lang AND l.gram = k.gram[1:k] JOIN f r ON r.lang = k.lang AND r.gram = k.gram[k + 1:]),
+b AS (SELECT *, array_to_string(gram, ' ') AS phrase FROM x QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+def byte_bpe_file() -> str:
+    """The tokenizer's file with its merges, on each executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again; a special token's string in a text is that token, as the library has it by default."""
+    path = byte_bpe_file()
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over all documents."""
     import corpus_pipeline
@@ -154,7 +215,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hamming_topk, op2_mixing, op3_toxicity, op4_jaccard_join, op5_packing, op6_lm_scoring, op7_token_counts, op8_substring_dedup, op9_fingerprint, op10_warc_revisits, pipeline)}
+    return {f.__name__: f for f in (op1_hamming_topk, op2_mixing, op3_toxicity, op4_jaccard_join, op5_packing, op6_lm_scoring, op7_token_counts, op8_substring_dedup, op9_fingerprint, op10_warc_revisits, op11_importance, op12_collocations, op13_bpe, pipeline)}
 
 
 MIXING_SQL = """
@@ -205,4 +266,4 @@ SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(lost, 0) AS n_removed, sha2
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_hamming_topk": HAMMING_SQL, "op2_mixing": MIXING_SQL, "op4_jaccard_join": JACCARD_SQL, "op8_substring_dedup": REPEATS_SQL, "op10_warc_revisits": WARC_SQL}
+    return {"op1_hamming_topk": HAMMING_SQL, "op2_mixing": MIXING_SQL, "op4_jaccard_join": JACCARD_SQL, "op8_substring_dedup": REPEATS_SQL, "op10_warc_revisits": WARC_SQL, "op11_importance": IMPORTANCE_SQL, "op12_collocations": COLLOCATIONS_SQL}
