@@ -180,11 +180,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 COLLOCATIONS_SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
-o AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
-f AS (SELECT lang, ws[i:i + k - 1] AS gram, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 30 OR len(gram) = 1),
+o AS (SELECT lang, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS gram FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+g AS (SELECT lang, gram, count(*) AS f FROM o GROUP BY lang, gram),
+f AS (SELECT * FROM g WHERE f >= 30 OR len(gram) = 1),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(gram) = 1 GROUP BY lang),
 c AS (SELECT lang, gram, f AS a FROM f WHERE len(gram) >= 2 AND f >= 30),
-s AS (SELECT lang, gram[i:j] AS gram, max(a) AS longer FROM (SELECT lang, gram, a, i, unnest(range(i + 1, len(gram) + 1)) AS j FROM (SELECT *, unnest(range(1, len(gram))) AS i FROM c)) WHERE j - i + 1 < len(gram) GROUP BY ALL),
+h AS (SELECT lang, gram[i:j] AS part, a FROM (SELECT lang, gram, a, i, unnest(range(i + 1, len(gram) + 1)) AS j FROM (SELECT *, unnest(range(1, len(gram))) AS i FROM c)) WHERE j - i + 1 < len(gram)),
+s AS (SELECT lang, part AS gram, max(a) AS longer FROM h GROUP BY lang, part),
 k AS (SELECT c.*, unnest(range(1, len(c.gram))) AS k FROM c LEFT JOIN s ON s.lang = c.lang AND s.gram = c.gram WHERE longer IS NULL OR 100 * longer < 80 * a),
 x AS (SELECT k.lang, k.gram, a, k, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f + r.f) AS BIGINT) AS score FROM k
       JOIN f l ON l.lang = k.lang AND l.gram = k.gram[1:k] JOIN f r ON r.lang = k.lang AND r.gram = k.gram[k + 1:]),
