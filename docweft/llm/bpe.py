@@ -34,6 +34,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import only, release
@@ -275,7 +276,7 @@ class Decoder:
 def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """In runs of about SLICE bytes of the column."""
     for batch in batches:
-        run = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), np.int64)) // SLICE
+        run = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), np.int64)) // SLICE
         limits = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(run)]
         for a, b in zip(limits[:-1], limits[1:]):
             if b > a:

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +109,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").fill_null("")
         batch = batch.set_column(batch.schema.get_field_index("text"), "text", texts)
-        run = np.cumsum(np.asarray(pa.compute.binary_length(texts), np.int64)) // CHARS
+        run = np.cumsum(np.asarray(pc.binary_length(texts), np.int64)) // CHARS
         limits = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(run)]
         for a, b in zip(limits[:-1], limits[1:]):
             if b > a:
