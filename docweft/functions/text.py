@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that don't count as tokens of a title.
@@ -139,16 +139,27 @@ def long_tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit("[a-z0-9]{4,}"), F.lit(0)))
 
 
-def char_windows(c: Column, size: int = 10, step: int = 5) -> Column:
-    """Windows of so many characters, one each step."""
-    return F.when(F.length(c) >= size, F.transform(F.sequence(F.lit(1), F.length(c) - size + 1, F.lit(step)), lambda i: F.substring(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+def char_windows(c: Column, size: int = 10) -> Column:
+    """All windows of so many characters, in one pass; none begins within a character of two UTF-16 units."""
+    return F.regexp_extract_all(text_or_empty(c), F.lit(rf"(?s)(?=([^\uDC00-\uDFFF].{{{size - 1}}}))"), F.lit(1))
 
 
-def containment(part: Column, whole: Column, size: int = 10, step: int = 5) -> Column:
-    """Share of the windows of ``part`` that stand in ``whole``; null without windows."""
-    w = F.array_distinct(char_windows(part, size, step))
-    found = F.array_intersect(w, char_windows(whole, size, 1))  # a hash set of all windows: linear in both
-    return F.when(F.size(w) > 0, F.size(F.filter(char_windows(part, size, step), lambda x: F.array_contains(found, x))) / F.size(char_windows(part, size, step)))
+def window_times(df: DataFrame, key: str, part: str, size: int = 10, step: int = 5) -> DataFrame:
+    """key, times: how often each window of ``part`` occurs in it, one window each ``step`` characters; texts without windows are left out."""
+    rows = df.select(key, F.posexplode(char_windows(F.col(part), size)).alias("_at", "_window")).filter(F.col("_at") % step == 0)
+    counted = rows.groupBy(key, "_window").agg(F.count("*").alias("_n"))
+    return counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_window", "_n"))).alias("times"))
+
+
+def containment(times: Column, whole: Column, size: int = 10) -> Column:
+    """Share of the windows of ``times``, a column of a table that was joined, that stand in ``whole``; null without windows.
+
+    The windows of ``whole`` meet those of ``times`` in one hash set, outside of any lambda.
+    """
+    found = F.array_intersect(F.map_keys(times), char_windows(whole, size))
+    add = lambda total, n: total + n
+    every = F.aggregate(F.map_values(times), F.lit(0).cast("long"), add)
+    return F.aggregate(found, F.lit(0).cast("long"), lambda total, w: total + F.element_at(times, w)) / every
 
 
 def coverage(part: Column, whole: Column) -> Column:

@@ -38,14 +38,18 @@ def source_side(text: Column) -> dict[str, Column]:
     }
 
 
-def extracted_side(text: Column) -> dict[str, Column]:
-    """What an extraction is checked by: of its long sentences about five, evenly spread, by their first five words."""
-    own = X.strip(text)
-    long = F.filter(X.sentences(own), lambda s: X.word_total(s) >= 8)
-    step = F.greatest(F.lit(1), F.floor(F.size(long) / 5).cast("int"))
+def extracted_side(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with what an extraction is checked by instead of its text: of its long sentences about five, evenly spread, by their first five words.
+
+    The sentences are a column of their own before some are taken, so that the text is searched once and not for each sentence.
+    """
+    df = df.withColumn(text, X.strip(F.col(text)))
+    df = df.withColumn("_long", F.filter(X.sentences(F.col(text)), lambda s: X.word_total(s) >= 8))
+    df = df.withColumn("_step", F.greatest(F.lit(1), F.floor(F.size("_long") / 5).cast("int")))
     head = lambda s: F.lower(F.array_join(F.slice(F.filter(F.split(s, r"\s+"), lambda w: w != ""), 1, 5), " "))
-    heads = F.transform(F.filter(long, lambda s, i: i % step == 0), head)
-    return {"e_text": own, "e_flat": _flat(own), "e_words": X.word_total(own), "e_heads": F.filter(heads, lambda h: F.length(h) > 10)}
+    heads = F.transform(F.filter("_long", lambda s, i: i % F.col("_step") == 0), head)
+    own = {"e_low": F.lower(text), "e_flat": _flat(F.col(text)), "e_words": X.word_total(F.col(text)), "e_heads": F.filter(heads, lambda h: F.length(h) > 10)}
+    return df.withColumns(own).drop(text, "_long", "_step")
 
 
 def local_checks(df: DataFrame) -> DataFrame:
@@ -56,15 +60,15 @@ def local_checks(df: DataFrame) -> DataFrame:
     lost = lambda s: (F.length(s) > 15) & ~F.contains(F.col("e_flat"), s)
     tests = {
         "word count": F.col("e_words") / F.greatest("s_words", F.lit(1)) < 0.7,
-        "numbers missing": F.exists("s_numbers", lambda n: ~F.contains(F.col("e_text"), n)),
+        "numbers missing": F.exists("s_numbers", lambda n: ~F.contains(F.col("e_low"), n)),
         "equations missing": F.exists("s_equations", lambda q: ~F.contains(F.col("e_flat"), q)),
-        "key terms missing": F.exists("s_terms", lambda t: ~F.contains(F.lower("e_text"), t)),
+        "key terms missing": F.exists("s_terms", lambda t: ~F.contains(F.col("e_low"), t)),
         "last sentence missing": lost(F.col("s_last")), "opening missing": lost(F.col("s_first")),
         "not in source": F.exists("e_heads", lambda h: ~F.contains(F.col("s_flat"), h)),
     }
     found = F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
-    empty = F.col("s_empty") | (F.col("e_text") == "")
-    failures = F.when(F.col("s_empty"), F.array(F.lit("no source text"))).when(F.col("e_text") == "", F.array(F.lit("empty extraction"))).otherwise(found)
+    empty = F.col("s_empty") | (F.col("e_low") == "")
+    failures = F.when(F.col("s_empty"), F.array(F.lit("no source text"))).when(F.col("e_low") == "", F.array(F.lit("empty extraction"))).otherwise(found)
     df = df.withColumn("failures", failures)
     return df.withColumn("score", F.when(empty, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - 0.2 * F.size("failures")), 6)))
 

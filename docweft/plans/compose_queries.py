@@ -57,7 +57,7 @@ def multi_pattern_labels(spark, d):
     return named.join(figures, "n").groupBy("n").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
-@query(f"""WITH q AS (SELECT doc_id, lang, t AS stem, 'as figure ' || (doc_id % 7) || ' shows' AS solution FROM {MENTIONS_SQL}), f AS (SELECT DISTINCT lang, CAST(i AS VARCHAR) AS n FROM q, range(0, 16) r(i)),
+@query(f"""WITH q AS (SELECT doc_id, lang, t AS stem, 'as figure ' || (doc_id % 7) || ' shows' AS solution FROM {MENTIONS_SQL}), f AS (SELECT DISTINCT lang, unnest(list_concat(regexp_extract_all(stem, '(figure|fig[.]?) ?([0-9]+)', 2), regexp_extract_all(solution, '(figure|fig[.]?) ?([0-9]+)', 2))) AS n FROM q),
 h AS (SELECT f.lang, n, doc_id, CASE WHEN regexp_matches(stem, '(figure|fig[.]?) ?' || n || '([^0-9.a-z]|$)') THEN 'question' WHEN regexp_matches(solution, '(figure|fig[.]?) ?' || n || '([^0-9.a-z]|$)') THEN 'solution' END AS place FROM f JOIN q ON q.lang = f.lang)
 SELECT lang, n, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY lang, n ORDER BY doc_id) AS nth FROM h WHERE place IS NOT NULL) WHERE nth = 1""")
 def label_in_questions(spark, d):
@@ -66,7 +66,7 @@ def label_in_questions(spark, d):
     q = mentions(spark, d).withColumn("solution", F.concat(F.lit("as figure "), (F.col("doc_id") % 7).cast("string"), F.lit(" shows")))
     labels = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(whole), F.lit(1)))
     both = F.array(F.struct(F.lit("question").alias("place"), labels(F.col("t")).alias("found")), F.struct(F.lit("solution").alias("place"), labels(F.col("solution")).alias("found")))
-    hits = q.select("lang", "doc_id", F.inline(both)).select("lang", "doc_id", "place", F.explode("found").alias("n")).filter(F.col("n").rlike("^[0-9]+$") & (F.col("n").cast("int") < 16))
+    hits = q.select("lang", "doc_id", F.inline(both)).select("lang", "doc_id", "place", F.explode("found").alias("n")).filter(F.col("n").rlike("^[0-9]+$"))
     first = hits.groupBy("lang", "n").agg(F.min(F.struct("doc_id", "place")).alias("m"))
     return first.select("lang", "n", "m.doc_id", "m.place")
 

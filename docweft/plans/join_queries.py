@@ -185,15 +185,25 @@ SELECT item_id, count(*) AS n, min(doc_id) AS first_doc, CASE WHEN count(*) = 1
 def contains_anchor(spark, d):
     """Documents that contain a benchmark item's opening words.
 
-    Anchor and text meet on the anchor's first word, whole words of a text being its keys, so no text is compared with all anchors.
+    Anchor and text meet on the rarest of the anchor's inner words, which are whole words of any text that contains it. Anchors without
+    an inner word meet texts on their first ten characters, which are a window of such a text. No text is compared with all anchors.
     """
     anchor = F.lower(F.regexp_extract("text", "^[^.!?]{10,60}", 0))
     a = table(spark, d, "benchmark").select("item_id", anchor.alias("anchor")).filter("anchor <> ''")
-    # the first inner word of an anchor is whole in any text that contains it
-    a = a.withColumn("word", F.element_at(F.split("anchor", "[^a-z0-9]+"), 2))
+    pieces = F.split("anchor", "[^a-z0-9]+")
+    inner = F.array_distinct(F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != ""))
+    a = a.withColumn("inner", inner)
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+"))).alias("word"))
-    near = words.join(a, "word").select("doc_id", "item_id", "anchor").distinct()
+    keys = a.select("item_id", "anchor", F.explode("inner").alias("word"))
+    often = words.join(keys.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n_docs"))
+    rarest = J.first_by(keys.join(often, "word"), ["item_id", "anchor"], F.col("n_docs"), F.col("word")).select("item_id", "anchor", "word")
+    near = words.join(rarest, "word").select("doc_id", "item_id", "anchor")
+    short = a.filter(F.size("inner") == 0).select("item_id", "anchor", F.left("anchor", F.lit(10)).alias("window"))
+    if not short.isEmpty():
+        windows = docs.select("doc_id", F.explode(F.array_distinct(X.char_windows(F.col("text")))).alias("window"))
+        near = near.unionByName(windows.join(short, "window").select("doc_id", "item_id", "anchor"))
+    near = near.distinct()
     hits = near.join(docs, "doc_id").filter(F.contains("text", "anchor"))
     return hits.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).withColumn("kind", F.when(F.col("n") == 1, "unique").otherwise("many"))
 

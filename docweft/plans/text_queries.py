@@ -150,8 +150,9 @@ def ngram_containment(spark, d):
     """Share of a benchmark item's character windows in the document that it is dealt to."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
     n = items.count()
+    items = items.select("item_id").join(X.window_times(items, "item_id", "item"), "item_id", "left")
     docs = documents(spark, d).withColumn("item_id", F.col("doc_id") % max(n, 1))
-    return docs.join(items, "item_id").select("doc_id", "item_id", F.round(X.containment(F.col("item"), F.col("text")), 9).alias("share"))
+    return docs.join(items, "item_id").select("doc_id", "item_id", F.round(X.containment(F.col("times"), F.col("text")), 9).alias("share"))
 
 
 @query(f"""SELECT doc_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 1 END, 9) AS share FROM (SELECT doc_id, {TOKENS_SQL.format('src')} AS a, {TOKENS_SQL.format('ext')} AS b FROM ({PAIRS_SQL}))""")
@@ -185,7 +186,7 @@ def qc_local_score(spark, d):
     """The seven local checks of an extraction against its source: failures, and a score that falls by 0.2 for each."""
     text = X.text_or_empty(F.col("text"))
     left = documents(spark, d).select("doc_id", *[c.alias(n) for n, c in quality.source_side(text).items()])
-    right = documents(spark, d).select((F.col("doc_id") - 1).alias("doc_id"), *[c.alias(n) for n, c in quality.extracted_side(text).items()])
+    right = quality.extracted_side(documents(spark, d).select((F.col("doc_id") - 1).alias("doc_id"), text.alias("text")), "text")
     checked = quality.local_checks(left.join(right, "doc_id"))
     return checked.select("doc_id", F.size("failures").alias("n_failures"), "score")
 
