@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import joins as J
+
 
 def line(key: list[str], *pos):
     return Window.partitionBy(*key).orderBy(*pos)
@@ -82,11 +84,50 @@ def spread_rank(df: DataFrame, key: list[str], pos: Column, *order, out: str = "
     return ranked.withColumn(out, F.col(out) + F.col("_before")).drop("_cell", "_c", "_before", *[f"_{k}" for k in key])
 
 
-def uniquify(df: DataFrame, key: list[str], name: str, pos: str, cell: int = 100_000) -> DataFrame:
-    """The rows with ``unique_name``: further occurrences of a name, by the number ``pos``, get -2, -3, ..."""
-    ranked = spread_rank(df, [*key, name], F.floor(F.col(pos) / cell), pos, out="_nth")
-    n = F.col("_nth")
-    return ranked.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat_ws("-", F.col(name), n.cast("string")))).drop("_nth")
+def spread_sort(df: DataFrame, key: list[str], by: str, pos: str, cell: int = 100_000, out: str = "place") -> DataFrame:
+    """The rows with their number within the key, by ``by`` and then the number ``pos``; a key or a value may have any share of the rows.
+
+    Rows are numbered within their value, and a value begins where the lower ones of its key end: of the key as a whole, a window
+    sees one row for each distinct value.
+    """
+    ranked = spread_rank(df, [*key, by], F.floor(F.col(pos) / cell), pos, out=out)
+    n = df.groupBy(*key, by).agg(F.count("*").alias("_n"))
+    n = n.withColumn("_lower", F.coalesce(F.sum("_n").over(before(key, by)), F.lit(0))).drop("_n")
+    n = n.select(*[F.col(k).alias(f"_{k}") for k in [*key, by]], "_lower")
+    ranked = ranked.join(n, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*key, by]]))
+    return ranked.withColumn(out, F.col(out) + F.col("_lower")).drop("_lower", *[f"_{k}" for k in [*key, by]])
+
+
+def spread_lead(df: DataFrame, key: str, pos: str, value: str, out: str, cell: int = 100_000) -> DataFrame:
+    """The rows with the next ``value`` of their key in order of the number ``pos``; a key may have any share of the rows.
+
+    The next row is looked for within a cell of the key; a cell's last row takes the first value of the next cell that has rows.
+    """
+    cells = df.withColumn("_cell", F.floor(F.col(pos) / cell))
+    firsts = cells.groupBy(key, "_cell").agg(F.struct(F.min_by(value, pos).alias("v")).alias("_first"))
+    ahead = F.lead("_first").over(Window.partitionBy(key).orderBy("_cell"))  # one row a cell
+    firsts = firsts.select(F.col(key).alias("_k"), F.col("_cell").alias("_c"), ahead.alias("_ahead"))
+    inside = F.lead(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(key, "_cell").orderBy(pos))
+    led = cells.withColumn("_next", inside).join(firsts, F.col(key).eqNullSafe(F.col("_k")) & F.col("_cell").eqNullSafe(F.col("_c")))
+    return led.withColumn(out, F.coalesce("_next", "_ahead")["v"]).drop("_cell", "_k", "_c", "_ahead", "_next")
+
+
+def uniquify(df: DataFrame, name: str, pos: str, cell: int = 100_000) -> DataFrame:
+    """The rows with ``unique_name``: further occurrences of a name, by the number ``pos``, get the least numbers from 2 on that make no name of the table.
+
+    A name a-k is a taken number k of a. With the taken numbers t1 < t2 < ... of a name, its i-th further occurrence gets i + 1 + j for
+    the last j with tj - j <= i: a running last over both, in cells, so that neither a name nor its numbers are held in one row.
+    A null name stays null; numbers with a leading zero or more than nine digits are no numbers of that form.
+    """
+    ranked = spread_rank(df, [name], F.floor(F.col(pos) / cell), pos, out="_nth")
+    split = r"^(?s)(.*)-([2-9]|[1-9][0-9]{1,8})$"
+    taken = df.select(name).distinct().select(F.regexp_extract(name, split, 1).alias(name), F.regexp_extract(name, split, 2).try_cast("long").alias("_t")).filter("_t is not null")
+    taken = spread_rank(taken, [name], F.floor(F.col("_t") / cell), "_t", out="_j").select(name, (F.col("_t") - F.col("_j")).alias("_i"), "_j")
+    taken = taken.groupBy(name, "_i").agg(F.max("_j").alias("_j"))
+    shifted = J.asof_backward(ranked.withColumn("_i", F.col("_nth") - 1), taken, [name], "_i", "_j", 4096)
+    n = F.col("_nth") + F.coalesce("_j", F.lit(0))
+    unique = F.when(F.col(name).isNotNull(), F.when(F.col("_nth") == 1, F.col(name)).otherwise(F.concat_ws("-", F.col(name), n.cast("string"))))
+    return shifted.withColumn("unique_name", unique).drop("_nth", "_i", "_j")
 
 
 def ordered_list(df: DataFrame, key: list[str], pos: str, value: str, sep: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
 from ..operators import joins as J
+from ..operators import windows as W
 from ..sources.tables import page_slice, parameterised, table
 from .registry import query
 
@@ -230,8 +230,8 @@ def borrow_from_siblings(spark, d):
 @query("SELECT p_partkey, CAST(least(p_size + 1, coalesce(lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey), p_size + 1)) AS INTEGER) AS page_end FROM part")
 def padded_slice_end(spark, d):
     """Slices end a page later, but not beyond the next one's start."""
-    nxt = F.lead("p_size").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return table(spark, d, "part").select("p_partkey", R.padded_end(F.col("p_size"), nxt).alias("page_end"))
+    led = W.spread_lead(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_brand", "p_partkey", "p_size", "nxt")
+    return led.select("p_partkey", R.padded_end(F.col("p_size"), F.col("nxt")).alias("page_end"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1")

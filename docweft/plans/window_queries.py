@@ -116,11 +116,17 @@ def index_remap(spark, d):
     return W.remap(blocks(spark, d), KEY, "turn", (F.col("role") != "system") & (F.col("turn") % 4 != 1)).select("conv_id", "turn", "new_pos", "anchor")
 
 
-@query("SELECT doc_id, CASE WHEN n = 1 THEN name ELSE name || '-' || n END AS unique_name FROM (SELECT doc_id, source || '-' || lang AS name, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)")
+@query(r"""WITH d AS (SELECT doc_id, source || '-' || lang || CASE WHEN doc_id % 19 = 5 THEN '-' || (doc_id % 7 + 2) ELSE '' END AS name FROM documents),
+n AS (SELECT doc_id, name, row_number() OVER (PARTITION BY name ORDER BY doc_id) AS n FROM d),
+t AS (SELECT regexp_extract(name, '^(.*)-[0-9]+$', 1) AS name, list(CAST(regexp_extract(name, '[0-9]+$') AS BIGINT)) AS taken FROM (SELECT DISTINCT name FROM d WHERE regexp_matches(name, '-([2-9]|[1-9][0-9]+)$')) GROUP BY 1),
+c AS (SELECT name, max(n) AS most FROM n GROUP BY name),
+f AS (SELECT c.name, list_filter(range(2, most + len(coalesce(taken, [])) + 2), lambda v: NOT list_contains(coalesce(taken, []), v)) AS free FROM c LEFT JOIN t ON t.name = c.name)
+SELECT doc_id, CASE WHEN n = 1 THEN n.name ELSE n.name || '-' || free[n - 1] END AS unique_name FROM n JOIN f ON f.name = n.name""")
 def uniquify_ids(spark, d):
-    """Names that occur again get a number."""
-    docs = table(spark, d, "documents").select("doc_id", F.concat_ws("-", "source", "lang").alias("name"))
-    return W.uniquify(docs, [], "name", "doc_id").select("doc_id", "unique_name")
+    """Names that occur again get the least number that makes no name of the table: some names end in a number already."""
+    end = F.when(F.col("doc_id") % 19 == 5, F.concat(F.lit("-"), (F.col("doc_id") % 7 + 2).cast("string"))).otherwise("")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.concat("source", F.lit("-"), "lang"), end).alias("name"))
+    return W.uniquify(docs.filter("name is not null"), "name", "doc_id").select("doc_id", "unique_name")
 
 
 @query(rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{X.SENTENCE}'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) >= 40) AS v FROM documents),
@@ -197,15 +203,15 @@ o AS (SELECT *, CASE WHEN len(parts) = 0 THEN [1000000000] ELSE list_transform(p
 SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY key, doc_id) AS place FROM o""")
 def natural_sort_merge(spark, d):
     """Order of numbers in the merge: part by part, Roman numerals as numbers, blank last."""
-    order = Window.partitionBy("source").orderBy(X.natural_order(F.col("num")), "doc_id")
-    return numbers(spark, d).select("doc_id", F.row_number().over(order).alias("place"))
+    rows = numbers(spark, d).select("doc_id", "source", X.natural_order(F.col("num")).alias("by"))
+    return W.spread_sort(rows, ["source"], "by", "doc_id").select("doc_id", "place")
 
 
 @query(f"""WITH n AS (SELECT doc_id, source, {NUM_SQL} AS num FROM documents) SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN regexp_extract(num, '[0-9]+') <> '' THEN CAST(CASE WHEN regexp_extract(num, '[0-9]+') <> '' THEN regexp_extract(num, '[0-9]+') ELSE '0' END AS INTEGER) ELSE 1000000000 END, num, doc_id) AS place FROM n""")
 def natural_sort_export(spark, d):
     """Order of numbers in the export: the first number, then the text."""
-    order = Window.partitionBy("source").orderBy(X.export_order(F.col("num")), "doc_id")
-    return numbers(spark, d).select("doc_id", F.row_number().over(order).alias("place"))
+    rows = numbers(spark, d).select("doc_id", "source", X.export_order(F.col("num")).alias("by"))
+    return W.spread_sort(rows, ["source"], "by", "doc_id").select("doc_id", "place")
 
 
 @query(f"SELECT id, unnest(range(p0, p1 + 1, 4)) AS first, least(unnest(range(p0, p1 + 1, 4)) + 3, p1) AS last FROM {SECTIONS_SQL} WHERE p1 - p0 >= 4")
