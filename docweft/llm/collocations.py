@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, drop_cut, only, partitions
+from .common import batches, cut, drop_cut, only, partitions, release
 
 WORDS = 4
 #: Characters of a run, and bits of the bitmaps at most and for each value.
-CHARS, BITS, BITS_EACH = 6_000_000, 1 << 28, 16
+CHARS, BITS, BITS_EACH = 4_000_000, 1 << 28, 16
 #: Bits in one value of ``bitmap_construct_agg``.
 PIECE_BITS = 8 * 4096
 _DELIMITERS = b".,;:!?\n\x0b\x0c\r"
@@ -62,6 +62,7 @@ class Run:
         self.words = data.translate(_TO_BREAK).split()  # the same words: bytes are split at blanks, tabs and line ends
         self.fresh = np.diff(piece, prepend=-1) > 0
         first = np.searchsorted(start, np.cumsum([len(r) + 1 for r in raw]))  # the end of each text
+        del buf, word, begins, start, piece
         self.lang: list[tuple[str, int, int]] = []  # language, its first word, the end of its words
         self.hash = np.zeros(len(self.words), np.uint64)
         begin = 0
@@ -166,8 +167,11 @@ def _read(docs: DataFrame, columns: str, seed: int, of_run) -> DataFrame:
                 if chars >= CHARS:
                     yield pa.record_batch(of_run(Run(texts, langs, seed)), names=names)
                     chars, texts, langs = 0, [], []
+                    release()
         if texts:
             yield pa.record_batch(of_run(Run(texts, langs, seed)), names=names)
+        texts, langs = [], []
+        release()
 
     return only(docs, text="string", lang="string").mapInArrow(run, columns)
 
