@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..streaming.jobs import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table; Spark prunes columns and pushes filters down into the scan."""
@@ -30,3 +32,10 @@ def page_slice(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     keys = ranges.select("range_id", "book_id", F.explode(F.sequence("p0", "p1")).alias("page"))
     rows = keys.join(pages, ["book_id", "page"])
     return rows.groupBy("range_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: what is used many times is worked out once, and survives lost executors."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
