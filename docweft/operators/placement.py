@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
@@ -260,3 +260,28 @@ def place_figures(figures: DataFrame, sections: DataFrame, blocks: DataFrame, qu
     block = F.when(F.col("block").isNotNull(), block)
     rows = rows.select(*FIGURE, F.get(F.array(*map(F.lit, IN_THEORY)), "rank").alias("method"), "section", "question", "target", block.alias("block"), in_list.alias("char_offset"))
     return asked.unionByName(rows)
+
+
+def split_lists(lists: DataFrame, figures: DataFrame) -> DataFrame:
+    """list, part, nth, start, last, content, figure: each list cut behind the items at which its figures stand, and the figures between.
+
+    ``lists``: list (a key), items. ``figures``: list, figure, offset into the items joined by line breaks. A figure stands behind the first
+    item that ends at its offset or later, behind the last one if none does or it has no offset; those without offset come last. Parts
+    (``nth`` 0) begin at item ``start``, from 1; figures of a part are numbered by offset or none, then name. Items are found by
+    ranges of characters as an equi join. Joined parts give the list again; lists without items have no part, and their figures go to part 0.
+    """
+    items = lists.select("list", F.posexplode("items").alias("item", "words")).withColumn("words", X.text_or_empty(F.col("words")))
+    line = Window.partitionBy("list").orderBy("item")
+    ends = items.withColumn("stop", F.sum(F.length("words") + 1).over(line) - 1)
+    ends = ends.withColumn("begin", F.when(F.col("item") == 0, F.lit(0)).otherwise(F.col("stop") - F.length("words"))).withColumn("last", F.lead("item").over(line).isNull())
+    total = ends.filter("last").select("list", F.col("stop").alias("most"))
+    put = figures.join(total, "list", "left").withColumn("at", F.greatest(F.lit(0), F.least("most", F.coalesce("offset", "most"))))
+    put = J.range_join(put.filter("most is not null"), ends.select("list", "item", "begin", "stop"), ["list"], "at", "begin", "stop", 256).select("list", "figure", "offset", "item")
+    cuts = put.filter("offset is not null").select("list", "item").distinct().withColumn("cut", F.lit(1))
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    parts = ends.join(cuts, ["list", "item"], "left").withColumn("part", F.coalesce(F.sum("cut").over(before), F.lit(0)))
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "words"))), lambda x: x["words"]), "\n")
+    whole = parts.groupBy("list", "part").agg((F.min("item") + 1).alias("start"), F.max("last").alias("last"), words.alias("content")).withColumn("nth", F.lit(0))
+    put = put.join(parts.select("list", "item", "part"), ["list", "item"]).unionByName(figures.join(total, "list", "left_anti").select("list", "figure", "offset", F.lit(0).alias("item"), F.lit(0).alias("part")))
+    nth = F.row_number().over(Window.partitionBy("list", "part").orderBy(F.col("offset").isNull(), "figure"))
+    return whole.unionByName(put.select("list", "part", "figure", nth.alias("nth")), allowMissingColumns=True)

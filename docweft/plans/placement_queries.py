@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.placement import place_figures
+from ..operators.placement import place_figures, split_lists
 from ..sources.tables import table
 from .registry import query
 
@@ -50,3 +50,21 @@ def figure_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 def figure_cascade(spark, d):
     """Each figure to a question or block by the first rule of the cascade that holds, with the rule's name."""
     return place_figures(**figure_tables(spark, d))
+
+
+@query("""WITH e AS (SELECT list, item, words, sum(length(words) + 1) OVER (PARTITION BY list ORDER BY item) - 1 AS stop, lead(item) OVER (PARTITION BY list ORDER BY item) IS NULL AS last
+FROM (SELECT doc_id AS list, unnest(string_split(coalesce(text, ''), chr(10))) AS words, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS item FROM documents)),
+f AS (SELECT doc_id AS list, n AS figure, CASE WHEN n = 0 THEN doc_id * 37 % (length(coalesce(text, '')) + 20) WHEN n = 1 THEN doc_id * 11 % 50 WHEN n = 2 AND doc_id % 9 < 4 THEN doc_id % 9 - 2 END AS off FROM documents, (VALUES (0), (1), (2), (3)) AS t(n)),
+k AS (SELECT f.list, figure, off, coalesce(min(item) FILTER (stop >= off), max(item)) AS item FROM f JOIN e ON e.list = f.list GROUP BY f.list, figure, off),
+c AS (SELECT DISTINCT list, item FROM k WHERE off IS NOT NULL),
+p AS (SELECT e.list, e.item, e.words, e.last, coalesce(sum(CASE WHEN c.item IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY e.list ORDER BY e.item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e LEFT JOIN c ON c.list = e.list AND c.item = e.item)
+SELECT list, CAST(part AS BIGINT) AS part, CAST(0 AS BIGINT) AS nth, CAST(min(item) + 1 AS BIGINT) AS start, bool_or(last) AS last, string_agg(words, chr(10) ORDER BY item) AS content, CAST(NULL AS BIGINT) AS figure FROM p GROUP BY list, part
+UNION ALL SELECT k.list, CAST(part AS BIGINT), row_number() OVER (PARTITION BY k.list, part ORDER BY off IS NULL, figure), NULL, NULL, NULL, CAST(figure AS BIGINT) FROM k JOIN p ON p.list = k.list AND p.item = k.item""")
+def list_splits(spark, d):
+    """The lines of each document as a list that is cut around four figures, of which some have no offset."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("list"), X.text_or_empty(F.col("text")).alias("text"))
+    k = F.col("list")
+    offsets = F.array(k * 37 % (F.length("text") + 20), k * 11 % 50, F.when(k % 9 < 4, k % 9 - 2), F.lit(None).cast("long"))
+    figures = docs.select("list", F.posexplode(offsets).alias("figure", "offset"))
+    rows = split_lists(docs.select("list", F.split("text", "\n").alias("items")), figures)
+    return rows.select("list", *[F.col(c).cast("long").alias(c) for c in ("part", "nth", "start")], "last", "content", F.col("figure").cast("long").alias("figure"))

@@ -198,3 +198,17 @@ def test_needles(spark):
     texts = ["", "a", "x" * 31, "abcdefghij" * 7, "lorem ipsum dolor sit amet consectetur ad 1"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", P.needles(F.col("t")).alias("n")).collect()
     assert {r.t: r.n for r in got} == {t: stretches(t) for t in texts}
+
+
+def test_split_lists(spark):
+    lists = [(1, ["a", "", "ccc", None]), (2, []), (3, None), (4, ["x", "y"]), (5, ["", "z"])]
+    figures = [(1, 0, 1), (1, 1, 2), (1, 2, 900), (1, 3, None), (1, 4, -3), (2, 0, 4), (3, 0, None), (5, 0, 0), (5, 1, 1), (9, 0, 1)]
+    got = defaultdict(list)
+    out = P.split_lists(spark.createDataFrame(lists, "list int, items array<string>"), spark.createDataFrame(figures, "list int, figure int, offset int"))
+    for r in out.collect():
+        got[r.list].append((r.part, r.nth, r.start, r.last, r.content, r.figure))
+    assert sorted(got[1]) == [(0, 0, 1, False, "a", None), (0, 1, None, None, None, 0), (0, 2, None, None, None, 4), (1, 0, 2, False, "", None), (1, 1, None, None, None, 1),
+                              (2, 0, 3, True, "ccc\n", None), (2, 1, None, None, None, 2), (2, 2, None, None, None, 3)]
+    assert got[2] == got[3] == got[9] == [(0, 1, None, None, None, 0)]
+    assert got[4] == [(0, 0, 1, True, "x\ny", None)]
+    assert sorted(got[5]) == [(0, 0, 1, False, "", None), (0, 1, None, None, None, 0), (1, 0, 2, True, "z", None), (1, 1, None, None, None, 1)]
