@@ -139,9 +139,9 @@ def long_tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit("[a-z0-9]{4,}"), F.lit(0)))
 
 
-def char_windows(c: Column, size: int = 10) -> Column:
-    """All windows of so many characters, in one pass; none begins within a character of two UTF-16 units."""
-    return F.regexp_extract_all(text_or_empty(c), F.lit(rf"(?s)(?=([^\uDC00-\uDFFF].{{{size - 1}}}))"), F.lit(1))
+def char_windows(c: Column, size: int = 10, step: int = 1) -> Column:
+    """Windows of so many characters, one each ``step``, in one pass; none begins within a character of two UTF-16 units."""
+    return F.regexp_extract_all(text_or_empty(c), F.lit(rf"(?s)(?=(.{{{size}}})).{{1,{step}}}"), F.lit(1))
 
 
 def window_times(df: DataFrame, key: str, part: str, size: int = 10, step: int = 5) -> DataFrame:

@@ -293,3 +293,9 @@ def test_text_repairs(spark):
     for r in result(spark, "text_repairs"):
         assert r.restored == f"a \\frac{{1}}{{2}} and \\times {r.k}" and r.wrapped == f"$\\frac{{{r.k}}}{{2}}$"
         assert json.loads(r.cells) == [["a", str(r.k)], ["c", "d"]]
+
+
+def test_figure_cascade(spark):
+    from tests import test_placement as plain
+
+    assert plain.as_dict(result(spark, "figure_cascade")) == plain.both(spark, plain.figure_tables(spark, SF))

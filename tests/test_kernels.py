@@ -2,10 +2,13 @@
 
 from difflib import SequenceMatcher
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docweft.functions import repair, similarity
+from docweft.functions import text as X
 from docweft.operators import kernels
 
 short = st.text(alphabet="abc ", max_size=30)
@@ -89,3 +92,10 @@ def test_rewriting():
     assert repair.tabular_rows(r"\begin{tabular}{cc} a & b \\ c & d \end{tabular}") == [["a", "b"], ["c", "d"]]
     found = repair.markdown_segments("intro\n| a | b |\n|---|---|\n| 1 | 2 |\nend")
     assert [s["kind"] for s in found] == ["text", "table", "text"] and found[1]["rows"] == [["1", "2"]]
+
+
+@pytest.mark.parametrize("size, step", [(1, 1), (3, 1), (4, 2), (2, 5), (40, 20)])
+def test_char_windows(spark, size, step):
+    texts = ["", "ab", "abcd", "a\n\U0001d538c\U0001d539de", "xy\U0001f600" * 33, "q" * 99]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.char_windows(F.col("t"), size, step).alias("w")).collect()
+    assert {r.t: r.w for r in got} == {t: [t[k : k + size] for k in range(0, len(t) - size + 1, step)] for t in texts}
