@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
@@ -71,6 +71,13 @@ def label_in_questions(spark, d):
     return first.select("lang", "n", "m.doc_id", "m.place")
 
 
+def present(rows: DataFrame, words: DataFrame, most: int = 10_000) -> DataFrame:
+    """``rows`` whose last column is among the one column of ``words``; where these are many, all rows, so a join has to follow."""
+    words = words.distinct()
+    few = words.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(words), words.columns, "left_semi") if few else rows
+
+
 QKEYS_SQL = """(SELECT o_custkey AS section, o_orderkey AS id, 'q' || (o_orderkey % 23) AS k FROM orders UNION SELECT o_custkey, o_orderkey, 'example' || (o_orderkey % 19) FROM orders WHERE o_orderkey % 3 = 0)"""
 QREFS_SQL = "(SELECT o_custkey AS section, o_orderkey AS ref, CASE o_orderkey % 3 WHEN 0 THEN 'q' || (o_orderkey % 7) WHEN 1 THEN 'example' || (o_orderkey % 19) ELSE 'q' || (o_orderkey % 29) || '.a' END AS r FROM orders WHERE o_orderkey % 2 = 0)"
 
@@ -80,7 +87,9 @@ SELECT ref, id, CASE WHEN pri = 0 THEN 'equal' ELSE 'part' END AS how FROM (SELE
 def reference_match(spark, d):
     """Free-text references to questions of their section: an equal key first, else one that is part of the other.
 
-    All stretches of a key are join keys, so no reference is compared with all questions of its section; keys are short.
+    All stretches of a key are join keys, so no reference is compared with all questions of its section; keys are short. Of a
+    section's equal keys the least id counts, and equal references are looked up once. What is exploded is far larger than its
+    table's files, by which Spark would choose a side to broadcast, so these joins are told to shuffle.
     """
     k = F.col("o_orderkey")
     orders = table(spark, d, "orders")
@@ -88,12 +97,15 @@ def reference_match(spark, d):
     keys = orders.select(F.col("o_custkey").alias("section"), k.alias("id"), F.explode(F.array_compact(F.array(number, F.when(k % 3 == 0, example)))).alias("k"))
     ref = F.when(k % 3 == 0, F.concat(F.lit("q"), (k % 7).cast("string"))).when(k % 3 == 1, example).otherwise(F.concat(F.lit("q"), (k % 29).cast("string"), F.lit(".a")))
     refs = orders.filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("section"), k.alias("ref"), ref.alias("r"))
-    every = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substr(c, i, n)))))
-    in_key = refs.join(keys.select("section", "id", "k", F.explode(every(F.col("k"))).alias("r")), ["section", "r"])
-    in_ref = refs.select("section", "ref", "r", F.explode(every(F.col("r"))).alias("k")).join(keys, ["section", "k"])
-    hits = in_key.select("ref", "id", "r", "k").unionByName(in_ref.select("ref", "id", "r", "k"))
-    best = hits.groupBy("ref").agg(F.min(F.struct(F.when(F.col("r") == F.col("k"), 0).otherwise(1).alias("pri"), "id")).alias("m"))
-    return best.select("ref", "m.id", F.when(F.col("m.pri") == 0, "equal").otherwise("part").alias("how"))
+    first, wanted = keys.groupBy("section", "k").agg(F.min("id").alias("id")), refs.select("section", "r").distinct()
+    every = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substr(c, i, n))))))
+    of_keys = present(first.select("section", "id", "k", every(F.col("k")).alias("r")), refs.select("r"))
+    in_key = of_keys.groupBy("section", "r").agg(F.min(F.struct((F.col("r") != F.col("k")).cast("int").alias("pri"), "id")).alias("m"))
+    of_refs = present(wanted.select("section", "r", every(F.col("r")).alias("k")).filter("r != k"), keys.select("k"))
+    in_ref = of_refs.join(first.hint("merge"), ["section", "k"]).groupBy("section", "r").agg(F.min(F.struct(F.lit(1).alias("pri"), "id")).alias("m"))
+    best = in_key.unionByName(in_ref).groupBy("section", "r").agg(F.min("m").alias("m"))
+    rows = refs.join(best.hint("merge"), ["section", "r"])
+    return rows.select("ref", "m.id", F.when(F.col("m.pri") == 0, "equal").otherwise("part").alias("how"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_linenumber % 4 > 0 THEN l_suppkey END NULLS LAST, l_linenumber, l_partkey) AS place FROM lineitem JOIN part ON p_partkey = l_partkey

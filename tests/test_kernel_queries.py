@@ -298,4 +298,4 @@ def test_text_repairs(spark):
 def test_figure_cascade(spark):
     from tests import test_placement as plain
 
-    assert plain.as_dict(result(spark, "figure_cascade")) == plain.both(spark, plain.figure_tables(spark, SF))
+    assert plain.as_dict(library.QUERIES["figure_cascade"](spark, SF)) == plain.both(spark, plain.figure_tables(spark, SF))
