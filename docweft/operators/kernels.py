@@ -8,6 +8,7 @@ from __future__ import annotations
 import itertools
 from operator import attrgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,7 +79,10 @@ def match_boxes(wanted: list, images: list, least: float = 0.3) -> list[tuple[in
 
 
 def box_clusters(boxes: list[tuple[float, float, float, float]]) -> list[int]:
-    """The first member of each box's cluster: neighbours are lines of like width, one under the other."""
+    """The first member of each box's cluster: neighbours are lines of like width, one under the other.
+
+    Equal boxes are neighbours and count once; a box meets those whose centre is near enough for its width.
+    """
     root = list(range(len(boxes)))
 
     def top(k: int) -> int:
@@ -87,16 +91,29 @@ def box_clusters(boxes: list[tuple[float, float, float, float]]) -> list[int]:
             k = root[k]
         return k
 
-    for i, a in enumerate(boxes):
-        for j in range(i):
-            b = boxes[j]
-            h, w = max(a[3] - a[1], b[3] - b[1]), max(a[2] - a[0], b[2] - b[0])
-            narrow = min(a[2] - a[0], b[2] - b[0])
-            gap = max(a[1], b[1]) - min(a[3], b[3])
-            shared = min(a[2], b[2]) - max(a[0], b[0])
-            centre = abs(a[0] + a[2] - b[0] - b[2]) / 2
-            if narrow > 0 and gap <= 0.5 * h and w / narrow <= 2 and centre <= 0.35 * w and shared >= 0.55 * narrow:
-                root[max(top(i), top(j))] = min(top(i), top(j))
+    first, kept = {}, []
+    for k, box in enumerate(boxes):
+        if box[2] - box[0] > 0:  # others have no neighbours
+            root[k] = first.setdefault(box, k) if box[3] >= box[1] else k
+            if root[k] == k:
+                kept.append(k)
+    at = np.array(kept, np.int64)
+    x0, y0, x1, y1 = np.array([boxes[k] for k in kept], float).reshape(-1, 4).T
+    order = np.argsort(x0 + x1, kind="stable")
+    at, x0, y0, x1, y1 = at[order], x0[order], y0[order], x1[order], y1[order]
+    wide, high, centre = x1 - x0, y1 - y0, x0 + x1
+    # centres are within 0.35 of the wider one, which is at most twice as wide
+    ends = np.searchsorted(centre, centre + 1.4001 * wide, "right")
+    for i in range(len(at)):
+        j = slice(i + 1, ends[i])
+        h, w, narrow = np.maximum(high[i], high[j]), np.maximum(wide[i], wide[j]), np.minimum(wide[i], wide[j])
+        near = np.maximum(y0[i], y0[j]) - np.minimum(y1[i], y1[j]) <= 0.5 * h
+        near &= (w / narrow <= 2) & (np.abs(x0[i] + x1[i] - x0[j] - x1[j]) / 2 <= 0.35 * w)
+        near &= np.minimum(x1[i], x1[j]) - np.maximum(x0[i], x0[j]) >= 0.55 * narrow
+        for k in at[j][near].tolist():
+            a, b = top(int(at[i])), top(k)
+            if a != b:
+                root[max(a, b)] = min(a, b)
     return [top(k) for k in range(len(boxes))]
 
 

@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import time
 
 from docweft.functions import similarity
+from docweft.operators import kernels
 from docweft.plans import library
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +35,10 @@ def test_texts_of_common_words_share_no_stretch():
 
 def test_iou_pairs_are_not_shuffled(spark):
     assert "Exchange" not in plan(spark, "iou_pairs").split("Join")[0]
+
+
+def test_equal_boxes_are_not_compared():
+    boxes = [(0.0, 0.0, 9.0, 4.0), (0.0, 40.0, 9.0, 44.0), (0.0, 5.0, 9.0, 9.0)] * 5_000 + [(3.0, 3.0, 3.0, 3.0)] * 2
+    begin = time.process_time()
+    assert kernels.box_clusters(boxes) == [0, 1, 0] * 5_000 + [15_000, 15_001]
+    assert time.process_time() - begin < 5
