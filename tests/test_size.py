@@ -3,6 +3,9 @@
 import itertools
 import random
 import time
+from difflib import SequenceMatcher
+
+import pytest
 
 from docweft.functions import similarity
 from docweft.operators import kernels
@@ -42,3 +45,24 @@ def test_equal_boxes_are_not_compared():
     begin = time.process_time()
     assert kernels.box_clusters(boxes) == [0, 1, 0] * 5_000 + [15_000, 15_001]
     assert time.process_time() - begin < 5
+
+
+def test_similarities_of_long_texts_are_quick():
+    rng = random.Random(2)
+    a, b = ("".join(rng.choice("abcdefghijklmnop ") for _ in range(20_000)) for _ in range(2))
+    begin = time.process_time()
+    assert 0 < similarity.matching_ratio(a, b) < 1
+    assert similarity.matching_ratio(a[:9_000], "-" + a[:9_000]) == 18_000 / 18_001
+    assert similarity.window_share(a + a, a) > 0.99 and similarity.longest_common_length(a + "\U0001d538" + b, b + a) == 20_000
+    assert time.process_time() - begin < 10
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abc d", "abcdefghijklmnop \U0001d538"])
+def test_matching_ratio_is_that_of_the_library(alphabet):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice(alphabet) for _ in range(rng.randrange(n)))
+    for n in (4, 30, 130, 450):
+        for _ in range(40):
+            a, b, c = text(n), text(n), text(n)
+            a, b = rng.choice([(a, b), (a + c, b + c), (c + a, c), (a + c + b, b + c + a)])
+            assert similarity.matching_ratio(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio(), (a, b)
