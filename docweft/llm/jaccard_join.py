@@ -181,6 +181,17 @@ def roots(n: int, pairs_i: np.ndarray, pairs_j: np.ndarray) -> np.ndarray:
         root = fresh
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components and few of them: each ``a`` keeps its least ``b``, to which its others are linked instead.
+
+    Nodes of a group share the leads of its buckets, so what many nodes said of the same leads is said once. A node has no more
+    values of b than buckets.
+    """
+    stars = edges.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("all"))
+    ends = F.concat(F.array(F.struct("a", F.col("least").alias("b"))), F.transform("all", lambda x: F.struct(x.alias("a"), F.col("least").alias("b"))))
+    return stars.select(F.inline(ends)).filter("a != b").distinct()
+
+
 class Join:
     """Tables of one join: ``documents`` (doc_id, node) and ``nodes`` (node, root, links); all in the shared folder."""
 
@@ -296,7 +307,7 @@ class Join:
         out = found[0]
         for more in found[1:]:
             out = out.union(more)
-        return out
+        return contracted(out)
 
     def _compare(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
         """node, links (documents of other nodes that are linked), peer (a node of its component) from each task that has the node."""

@@ -5,9 +5,11 @@ import random
 import time
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
 from docweft.functions import similarity
+from docweft.llm import jaccard_join
 from docweft.operators import kernels
 from docweft.plans import library
 
@@ -66,3 +68,11 @@ def test_matching_ratio_is_that_of_the_library(alphabet):
             a, b, c = text(n), text(n), text(n)
             a, b = rng.choice([(a, b), (a + c, b + c), (c + a, c), (a + c + b, b + c + a)])
             assert similarity.matching_ratio(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio(), (a, b)
+
+
+def test_contracted_edges_keep_the_components(spark):
+    edges = [(f"n{a}", f"l{(a * k) % 9}") for a in range(100) for k in range(1, 9)] + [("x", "y"), ("y", "z"), ("l3", "l4")]
+    got = [tuple(r) for r in jaccard_join.contracted(spark.createDataFrame(edges, "a string, b string")).collect()]
+    names = sorted({n for e in edges for n in e})
+    root = lambda pairs: jaccard_join.roots(len(names), np.array([names.index(p[0]) for p in pairs]), np.array([names.index(p[1]) for p in pairs])).tolist()
+    assert root(got) == root(edges) and len(got) < 100 + 9 * 9 + 3
