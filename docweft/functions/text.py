@@ -15,6 +15,13 @@ EQUATION = r"[A-Za-z_]+\s*[=<>]\s*[A-Za-z0-9\s+\-*/^().]+"
 PHRASE = r"[A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+)+"
 QUOTED = r"\"([^\"]{3,30})\""
 SENTENCE = r"[^.!?]+[.!?]+"
+# The same stretches as these patterns find, for a search that never looks twice at a character: runs are not given back, and a run of letters
+# is tried at its begin (or where the last equation ended) only. SQL keeps the plain patterns, as its engine has no such runs.
+SPACE = r" \t\n\f\r"
+EQUATION_ONCE = rf"(?:\G|(?<![A-Za-z_]))[A-Za-z_]++[{SPACE}]*+[=<>][{SPACE}]*[A-Za-z0-9{SPACE}+\-*/^().]+"
+PHRASE_ONCE = r"[A-Z][a-z]++(?:[ \t]++[A-Z][a-z]++)++"
+SENTENCE_ONCE = r"\G[.!?]*+([^.!?]++[.!?]++)"
+LAST_SENTENCE = r"(?s)\A(?:.*[.!?])?([^.!?]++[.!?]++)[^.!?]*+\z"
 ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x"]
 
 
@@ -29,7 +36,12 @@ def text_or_empty(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \t\n\f\r"))
+
+
+def collapse(c: Column) -> Column:
+    """White space runs as one space. Single spaces are left alone, not replaced by themselves."""
+    return F.regexp_replace(c, rf"[{SPACE}](?:(?<! )[{SPACE}]*+|[{SPACE}]++)", " ")
 
 
 # ---------------------------------------------------------------- keys
@@ -108,25 +120,43 @@ def word_total(c: Column) -> Column:
     return F.size(F.filter(F.split(text_or_empty(c), r"\s+"), lambda w: w != ""))
 
 
+def collapsed_words(c: Column) -> Column:
+    """Number of words of a text whose white space is single spaces between words."""
+    return F.when(c == "", 0).otherwise(F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
+
+
 def numbers(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text_or_empty(c), F.lit(NUMBER), F.lit(0))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(text_or_empty(c), F.lit(NUMBER), F.lit(0))))
 
 
 def equations(c: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(text_or_empty(c), F.lit(EQUATION), F.lit(0)), lambda e: strip(e))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda e: (F.length(e) > 3) & (F.length(e) < 100))))
+    c = text_or_empty(c)
+    signs = reduce(lambda x, s: x | F.contains(c, F.lit(s)), "<>", F.contains(c, F.lit("=")))
+    found = F.transform(F.when(signs, F.regexp_extract_all(c, F.lit(EQUATION_ONCE), F.lit(0))).otherwise(F.array()), lambda e: strip(e))
+    return F.sort_array(F.array_distinct(F.filter(found, lambda e: (F.length(e) > 3) & (F.length(e) < 100))))
 
 
 def key_terms(c: Column, most: int = 20) -> Column:
     """Capitalised phrases, then quoted terms, in order, the first 20."""
-    phrases = F.filter(F.regexp_extract_all(text_or_empty(c), F.lit(PHRASE), F.lit(0)), lambda t: F.length(t) > 5)
-    return F.slice(F.array_distinct(F.concat(phrases, F.regexp_extract_all(text_or_empty(c), F.lit(QUOTED), F.lit(1)))), 1, most)
+    c = text_or_empty(c)
+    phrases = F.filter(F.regexp_extract_all(c, F.lit(PHRASE_ONCE), F.lit(0)), lambda t: F.length(t) > 5)
+    quoted = F.when(F.contains(c, F.lit('"')), F.regexp_extract_all(c, F.lit(QUOTED), F.lit(1))).otherwise(F.array())
+    return F.slice(F.array_distinct(F.concat(phrases, quoted)), 1, most)
+
+
+def stretches(c: Column) -> Column:
+    """Stretches up to a run of end marks, white space before them included. Each begins where the last one ended, so that what follows the last mark is searched once."""
+    return F.regexp_extract_all(text_or_empty(c), F.lit(SENTENCE_ONCE), F.lit(1))
 
 
 def sentences(c: Column) -> Column:
-    """Stretches up to a run of end marks. What follows the last mark is cut off first: searching it for marks would take quadratic time."""
-    ended = F.regexp_extract(text_or_empty(c), "(?s)^.*[.!?]", 0)
-    return F.filter(F.transform(F.regexp_extract_all(ended, F.lit(SENTENCE), F.lit(0)), lambda s: strip(s)), lambda s: s != "")
+    """Stretches up to a run of end marks without white space at both ends; none is empty, as it has its marks."""
+    return F.transform(stretches(c), lambda s: strip(s))
+
+
+def edge_sentences(c: Column) -> tuple[Column, Column]:
+    """The first and the last sentence, empty if there is none; the others are not cut."""
+    return strip(F.regexp_extract(c, SENTENCE_ONCE, 1)), strip(F.regexp_extract(c, LAST_SENTENCE, 1))
 
 
 def token_set(c: Column) -> Column:

@@ -22,20 +22,30 @@ def reject_reason(df: DataFrame, text: Column, phrases: list[str], least: int =
 HEADING = r"^\s*[0-9]+(?:\.[0-9]+){0,2}[.):\-\s]+[^\n]{1,120}\n+"
 
 
+# White space or not, as SQL has it.
+_GAP, _WORD = f"[{X.SPACE}]", f"[^{X.SPACE}]"
+
+
 def _flat(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"\s+", " "))
+    return F.lower(X.collapse(c))
+
 
+def source_side(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with what a source is checked by instead of its text; a numbered heading at its begin doesn't count.
 
-def source_side(text: Column) -> dict[str, Column]:
-    """What a source is checked by, from its text; a numbered heading at its begin doesn't count. Computed before texts meet, once each."""
-    source = X.strip(F.regexp_replace(X.strip(text), HEADING, ""))
-    sentences = X.sentences(source)
-    edge = lambda s, n: F.coalesce(_flat(F.left(s, F.lit(n))), F.lit(""))
-    return {
-        "s_empty": X.strip(text) == "", "s_flat": _flat(source), "s_words": X.word_total(source), "s_numbers": X.numbers(source),
+    The source is a column of its own before it is searched: expressions with lambdas share no parts, so each would make it anew.
+    """
+    df = df.withColumn(text, X.strip(F.col(text)))
+    bare = X.strip(F.regexp_replace(text, HEADING, ""))
+    df = df.withColumn("_source", F.when(F.left(text, F.lit(1)).between("0", "9"), bare).otherwise(F.col(text)))
+    source = F.col("_source")
+    first, last = X.edge_sentences(source)
+    own = {
+        "s_empty": F.col(text) == "", "s_flat": _flat(source), "s_numbers": X.numbers(source),
         "s_equations": F.transform(X.equations(source), _flat), "s_terms": F.transform(X.key_terms(source), F.lower),
-        "s_last": edge(F.try_element_at(sentences, F.lit(-1)), 50), "s_first": edge(F.get(sentences, F.lit(0)), 40),
+        "s_last": _flat(F.left(last, F.lit(50))), "s_first": _flat(F.left(first, F.lit(40))),
     }
+    return df.withColumns(own).drop(text, "_source")
 
 
 def extracted_side(df: DataFrame, text: str) -> DataFrame:
@@ -44,24 +54,29 @@ def extracted_side(df: DataFrame, text: str) -> DataFrame:
     The sentences are a column of their own before some are taken, so that the text is searched once and not for each sentence.
     """
     df = df.withColumn(text, X.strip(F.col(text)))
-    df = df.withColumn("_long", F.filter(X.sentences(F.col(text)), lambda s: X.word_total(s) >= 8))
+    long = rf"\A{_GAP}*+(?:{_WORD}++{_GAP}++){{7}}{_WORD}"
+    df = df.withColumn("_long", F.filter(X.stretches(F.col(text)), lambda s: s.rlike(long)))
     df = df.withColumn("_step", F.greatest(F.lit(1), F.floor(F.size("_long") / 5).cast("int")))
-    head = lambda s: F.lower(F.array_join(F.slice(F.filter(F.split(s, r"\s+"), lambda w: w != ""), 1, 5), " "))
+    head = lambda s: _flat(F.regexp_extract(s, rf"\A{_GAP}*+((?:{_WORD}++{_GAP}++){{4}}{_WORD}++)", 1))
     heads = F.transform(F.filter("_long", lambda s, i: i % F.col("_step") == 0), head)
-    own = {"e_low": F.lower(text), "e_flat": _flat(F.col(text)), "e_words": X.word_total(F.col(text)), "e_heads": F.filter(heads, lambda h: F.length(h) > 10)}
+    own = {"e_low": F.lower(text), "e_heads": F.filter(heads, lambda h: F.length(h) > 10)}
     return df.withColumns(own).drop(text, "_long", "_step")
 
 
 def local_checks(df: DataFrame) -> DataFrame:
     """The rows with ``failures`` and ``score`` from both sides' columns: word ratio, numbers, equations, key terms, last and first sentence, sampled sentences.
 
-    Numbers are looked for as substrings.
+    Numbers are looked for as substrings. The flat extraction is made here, so that its text is shuffled once. Of many numbers or equations those that
+    the extraction has as its own meet in one hash set; only the others are looked for in its text.
     """
+    df = df.withColumn("e_flat", X.collapse(F.col("e_low")))
     lost = lambda s: (F.length(s) > 15) & ~F.contains(F.col("e_flat"), s)
+    others = lambda s, own: F.when(F.size(s) > 50, F.array_except(s, own)).otherwise(F.col(s))
+    numbers, equations = others("s_numbers", X.numbers(F.col("e_low"))), others("s_equations", F.transform(X.equations(F.col("e_low")), _flat))
     tests = {
-        "word count": F.col("e_words") / F.greatest("s_words", F.lit(1)) < 0.7,
-        "numbers missing": F.exists("s_numbers", lambda n: ~F.contains(F.col("e_low"), n)),
-        "equations missing": F.exists("s_equations", lambda q: ~F.contains(F.col("e_flat"), q)),
+        "word count": X.collapsed_words(F.col("e_flat")) / F.greatest(X.collapsed_words(F.col("s_flat")), F.lit(1)) < 0.7,
+        "numbers missing": F.exists(numbers, lambda n: ~F.contains(F.col("e_low"), n)),
+        "equations missing": F.exists(equations, lambda q: ~F.contains(F.col("e_flat"), q)),
         "key terms missing": F.exists("s_terms", lambda t: ~F.contains(F.col("e_low"), t)),
         "last sentence missing": lost(F.col("s_last")), "opening missing": lost(F.col("s_first")),
         "not in source": F.exists("e_heads", lambda h: ~F.contains(F.col("s_flat"), h)),

@@ -185,7 +185,7 @@ SELECT doc_id, CAST(CASE WHEN none THEN 1 ELSE n END AS INTEGER) AS n_failures,
 def qc_local_score(spark, d):
     """The seven local checks of an extraction against its source: failures, and a score that falls by 0.2 for each."""
     text = X.text_or_empty(F.col("text"))
-    left = documents(spark, d).select("doc_id", *[c.alias(n) for n, c in quality.source_side(text).items()])
+    left = quality.source_side(documents(spark, d).select("doc_id", text.alias("text")), "text")
     right = quality.extracted_side(documents(spark, d).select((F.col("doc_id") - 1).alias("doc_id"), text.alias("text")), "text")
     checked = quality.local_checks(left.join(right, "doc_id"))
     return checked.select("doc_id", F.size("failures").alias("n_failures"), "score")

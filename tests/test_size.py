@@ -5,7 +5,9 @@ import random
 import time
 from difflib import SequenceMatcher
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from docweft.functions import similarity
@@ -76,3 +78,46 @@ def test_contracted_edges_keep_the_components(spark):
     names = sorted({n for e in edges for n in e})
     root = lambda pairs: jaccard_join.roots(len(names), np.array([names.index(p[0]) for p in pairs]), np.array([names.index(p[1]) for p in pairs])).tolist()
     assert root(got) == root(edges) and len(got) < 100 + 9 * 9 + 3
+
+
+def same_as_sql(spark, folder, name, texts):
+    """The rows of a query over documents of these texts; the query's SQL has the same."""
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "lang": "en", "source": "s"}).to_parquet(f"{folder}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    found = duck.execute(library.SQL[name])
+    columns = [x[0] for x in found.description]
+    got = sorted(tuple(r[c] for c in columns) for r in library.QUERIES[name](spark, str(folder)).collect())
+    assert got == [pytest.approx(r) for r in sorted(found.fetchall())]
+    return got
+
+
+TEXT_QUERIES = ["qc_local_score", "extract_numbers", "extract_equations", "extract_key_terms", "sentence_counts", "stride_sample"]
+
+
+@pytest.mark.parametrize("name", TEXT_QUERIES)
+def test_odd_texts_give_what_sql_gives(spark, tmp_path, name):
+    rng = random.Random(4)
+    bits = ["a", "b_c", "_", "=", " = ", "<", ">\n", "12", "3.5", ".", "!", "?", "...", " ", "  ", "\t", "\n", " \r\n", "\f", "\x0b", "\u2028", "\u00a0", "Ab", "Ab Cd", "Xyz Ghi", '"', '"one two"', "-", "(x+1)", "\u00e9", "\U0001d538", "word word word ", "Some long words here. "]
+    texts = [None, "", " ", ".", "...", "1. Head\n\n", "1.2) Head\nText of it. ", "a = b_c = d", "x=1 y<2z>3", "end of it \u2028", "Text. no mark", "No mark", "\x0b1. Head\nOne two."]
+    for most in (4, 20, 90):
+        for _ in range(120):
+            one = "".join(rng.choice(bits) for _ in range(rng.randrange(most)))
+            texts += [one, rng.choice(["", "2.1 Title\n"]) + one.replace(rng.choice(bits), rng.choice(bits), 2)]
+    many = " ".join(f"{k} n{k} = {k}" for k in range(10, 80))
+    texts += [many, many.replace("10", "110"), many, many.replace("10", "1_0"), many, many.replace(" = ", " =  "), many, many.replace("n33 = 33", "n34 = 33")]
+    assert same_as_sql(spark, tmp_path, name, texts)
+
+
+def test_long_runs_in_texts_are_searched_once(spark, tmp_path):
+    texts = ["word " * 20 + "x" * 150_000 + " 1 = 2", "Abc " * 100_000, "One two three. " + "no mark " * 40_000, "y" * 150_000 + " <"]
+    texts += [" ".join(str(100_000 + 7 * k) for k in range(18_000)) + " done", " ".join(f"x{k} = {k}." for k in range(9_000))]
+    texts = [t + " end." * (k % 2) for t in texts for k in range(4)]
+    begin = time.monotonic()
+    assert len(same_as_sql(spark, tmp_path, "qc_local_score", texts)) == len(texts) - 1
+    assert time.monotonic() - begin < 20
+
+
+def test_a_source_is_made_once_for_all_its_checks(spark):
+    p = plan(spark, "qc_local_score")
+    assert p.count("[.):") == 1 and "split(" not in p
