@@ -29,6 +29,7 @@ def figure_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     blocks = lines.select("book", "section", "block", kind.alias("kind"), F.when(kind == "figure", F.concat(F.lit("Figure "), number)).alias("label"), text.alias("text"), F.when(i % 3 == 2, F.split("line", ", ")).alias("items"))
 
     first = docs.groupBy("book").agg(F.min_by("section", "doc_id").alias("first_section"))
+    first = F.broadcast(first) if first.count() <= 10_000 else first  # counted, else all lines are shuffled by their book
     named = F.when(i % 7 == 0, F.lit("_orphan")).when(i % 7 == 1, None).when(i % 5 == 3, F.col("first_section")).otherwise(F.col("section"))
     anchor = F.when(i % 4 == 0, F.substr("line", F.lit(4), F.lit(75))).when(i % 4 == 1, F.right("line", F.lit(15))).when(i % 4 == 2, F.col("line")).when(k % 2 == 0, F.left("line", F.lit(3)))
     figures = lines.join(first, "book").select(

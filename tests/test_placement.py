@@ -1,5 +1,6 @@
 """The cascade of figures against a plain version, over whole tables and for odd rows."""
 
+import random
 import re
 from collections import Counter, defaultdict
 from functools import cache
@@ -11,6 +12,7 @@ from docweft.functions import repair as R
 from docweft.operators import placement as P
 from docweft.plans import library
 from docweft.plans.placement_queries import figure_tables
+from docweft.sources.tables import table, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -200,6 +202,63 @@ def test_needles(spark):
     assert {r.t: r.n for r in got} == {t: stretches(t) for t in texts}
 
 
+def test_stretches():
+    for t in ["", "a", "x" * 31, "x" * 40, "abcdefghij" * 7, "lorem ipsum dolor sit amet consectetur ad 1", "w " * 90]:
+        assert P.stretches(t) == stretches(t)
+
+
+def test_no_text_is_kept_twice(spark, monkeypatch):
+    """Tables between the steps hold fewer characters than the documents."""
+    sizes = []
+
+    def measured(df):
+        out = written(df)
+        texts = [F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c, kind in out.dtypes if kind == "string"]
+        sizes.append(out.agg(F.sum(sum(texts, F.lit(0)))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(P, "written", measured)
+    P.place_figures(**figure_tables(spark, SF)).count()
+    whole = table(spark, SF, "documents").agg(F.sum(F.length("text"))).first()[0]
+    assert sum(sizes) < whole, (sizes, whole)
+
+
+def test_containing(spark):
+    """Stretches of all lengths are found, and texts that are only similar to a needle give no row."""
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdefg hij𝔘é") for _ in range(n))
+    common = word(25)
+    texts = [("b" if k % 3 else "c", f"s{k % 7}", k, word(rnd.randrange(0, 120)) + common + word(rnd.randrange(0, 120))) for k in range(150)]
+    texts += [("b", "short", 1, word(39)), ("b", "none", 2, None), ("b", "empty", 3, "")]
+    needles = {common + word(n) for n in range(15, 36)}
+    for _, _, _, key in texts[:150]:
+        n = min(len(key), rnd.randrange(40, 61))
+        at = rnd.randrange(0, len(key) - n + 1)
+        needles |= {key[at : at + n]} if n >= 40 else set()
+    wanted = spark.createDataFrame([("b", n) for n in needles] + [("c", n) for n in needles], "book string, needle string")
+    frame = spark.createDataFrame(texts, "book string, section string, block int, key string")
+    want = {}
+    for book, section, block, key in texts:
+        for n in needles:
+            if key and n in key:
+                want[book, n, section] = min(block, want.get((book, n, section), block))
+    rows = P.containing(wanted, frame).collect()
+    assert {(r.book, r.needle, r.section): r.block for r in rows} == want
+    assert len(rows) == len(want) > 120
+    assert P.containing(wanted.limit(0), frame).count() == 0
+
+
+def test_crowded_section(spark):
+    """A section with many figures is searched in several tasks, with the same result."""
+    words = [f"block number {k} of a section that all figures name" for k in range(30)]
+    texts = spark.createDataFrame([("b", "s", k, w) for k, w in enumerate(words)] + [("b", "t", 0, "alone"), ("b", None, 1, "x"), (None, "s", 2, words[3])], "book string, section string, block int, key string")
+    sought = [("b", str(k), "s", words[k % 30][: 12 + k % 9] if k % 4 else f"no such text, and {k} times nothing at all of it") for k in range(200)] + [("b", "x", "t", "alone"), ("b", "y", "u", "alone")]
+    sought = spark.createDataFrame(sought, "book string, figure string, home string, key string")
+    one, many = ({(r.figure, r.home): (r.block, tuple(r.needles or ())) for r in P.in_section(sought, texts, n).collect()} for n in (1_000, 7))
+    assert one == many and len(one) == 202
+    assert one["x", "t"] == (0, ()) and one["y", "u"] == (None, ()) and one["29", "s"][0] == 2 and one["4", "s"][0] is None and one["4", "s"][1]
+
+
 def test_split_lists(spark):
     lists = [(1, ["a", "", "ccc", None]), (2, []), (3, None), (4, ["x", "y"]), (5, ["", "z"])]
     figures = [(1, 0, 1), (1, 1, 2), (1, 2, 900), (1, 3, None), (1, 4, -3), (2, 0, 4), (3, 0, None), (5, 0, 0), (5, 1, 1), (9, 0, 1)]
