@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import matching_ratio
+from ..functions.similarity import matching_ratios
 
 
 #: Rows that share a call, on average.
@@ -50,7 +50,9 @@ def greedy_pairs(scores: list[tuple[float, int, int]], least: float) -> list[tup
 
 def match_texts(found: list[str], truth: list[str], least: float = 0.6) -> list[tuple[int | None, int | None, float]]:
     """(found, truth, ratio) of each pair; then truths without a match (missed) and findings without one (invented)."""
-    pairs = greedy_pairs([(matching_ratio(a, b), i, j) for i, a in enumerate(found) for j, b in enumerate(truth)], least)
+    every = list(itertools.product(range(len(found)), range(len(truth))))
+    ratios = matching_ratios([found[i] for i, _ in every], [truth[j] for _, j in every])
+    pairs = greedy_pairs([(ratio, i, j) for ratio, (i, j) in zip(ratios, every)], least)
     i, j = {p[1] for p in pairs}, {p[2] for p in pairs}
     return [(p[1], p[2], p[0]) for p in pairs] + [(None, k, 0.0) for k in range(len(truth)) if k not in j] + [(k, None, 0.0) for k in range(len(found)) if k not in i]
 

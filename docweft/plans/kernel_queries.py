@@ -24,8 +24,8 @@ def lcs_ratio(spark, d):
 @query()
 def sequence_ratio(spark, d):
     """Matching ratio of the titles (first lines) of each document and the next one."""
-    title = lambda c: F.split_part(c, F.lit("\n"), F.lit(1))
-    return pairs(spark, d).select("doc_id", F.round(S.sequence_ratio(title("src"), title("ext")), 9).alias("ratio"))
+    titles = pairs(spark, d, lambda text: F.substring_index(text, "\n", 1))
+    return titles.select("doc_id", F.round(S.sequence_ratio("src", "ext"), 9).alias("ratio"))
 
 
 @query()

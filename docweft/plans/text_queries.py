@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -23,12 +25,11 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, src, ext."""
+def pairs(spark: SparkSession, d: str, of: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+    """doc_id, src, ext: the texts, or what ``of`` makes of them, so that no more is shuffled."""
     docs = documents(spark, d)
-    left = docs.select("doc_id", X.text_or_empty(F.col("text")).alias("src"))
-    right = docs.select((F.col("doc_id") - 1).alias("doc_id"), X.text_or_empty(F.col("text")).alias("ext"))
-    return left.join(right, "doc_id")
+    part = of(X.text_or_empty(F.col("text")))
+    return docs.select("doc_id", part.alias("src")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), part.alias("ext")), "doc_id")
 
 
 def token_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -72,6 +72,33 @@ def test_matching_ratio_is_that_of_the_library(alphabet):
             assert similarity.matching_ratio(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio(), (a, b)
 
 
+@pytest.mark.parametrize("bounds", [(1 << 17, 1 << 22), (300, 40), (1, 1)])
+def test_ratios_of_many_pairs_are_those_of_each(monkeypatch, bounds):
+    monkeypatch.setattr(similarity, "TOGETHER", bounds[0])
+    monkeypatch.setattr(similarity, "PLACES", bounds[1])
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice(rng.choice(["a", "ab", "abc d\n", "xy\U0001d538"])) for _ in range(rng.choice([0, 1, 3, 9, 40])))
+    pairs = [(text(), text()) for _ in range(400)] + [(None, None), (None, "x"), ("ab" * 300, "ba" * 300)]
+    pairs += [(a + b, b + c + a) for (a, _), (b, c) in zip(pairs[:200], pairs[100:300])]
+    got = similarity.matching_ratios(*zip(*pairs))
+    assert got == [SequenceMatcher(None, a or "", b or "", autojunk=False).ratio() for a, b in pairs]
+
+
+def test_ratios_of_titles_take_little_time_and_shuffle_no_text(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    title = lambda: " ".join(rng.choice(words) for _ in range(120))
+    a, b = ([title() for _ in range(400)] for _ in range(2))
+    begin = time.process_time()
+    one = [similarity._matched(x, y) for x, y in zip(a[:50], b)]
+    middle = time.process_time()
+    ratios = similarity.matching_ratios(a, b)
+    assert time.process_time() - middle < 4 * (middle - begin)  # half of what the pairs take one by one
+    assert [2.0 * n / (len(x) + len(y)) for n, x, y in zip(one, a, b)] == ratios[:50]
+    joined = plan(spark, "sequence_ratio").split("Join")[1]
+    assert all("substring_index" in side for side in joined.split("Exchange")[1:]), joined
+
+
 def test_contracted_edges_keep_the_components(spark):
     edges = [(f"n{a}", f"l{(a * k) % 9}") for a in range(100) for k in range(1, 9)] + [("x", "y"), ("y", "z"), ("l3", "l4")]
     got = [tuple(r) for r in jaccard_join.contracted(spark.createDataFrame(edges, "a string, b string")).collect()]
