@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from functools import cache
 
@@ -207,6 +208,21 @@ def test_stretches():
         assert P.stretches(t) == stretches(t)
 
 
+def test_match_text_is_that_of_its_steps():
+    def plain(text):
+        t = re.sub(r"\\([A-Za-z]+)", r" \1 ", re.sub(r"^\s*\(?[0-9]{1,3}[.)]\s+", "", text))
+        for sign, word in (R.SIGNS | R.OPERATORS).items():
+            t = t.replace(sign, f" {word} ")
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        return " ".join(re.sub(r"[^\w\s]|_", " ", t.replace("^", "")).lower().split())
+
+    rnd = random.Random(6)
+    signs = "Aa \\^_(1.)=≠+ΣσςßÉe\u0301\u0327한İ＾\t\n\x85\xa0日²½𝔘α→"
+    for _ in range(20_000):
+        text = "".join(rnd.choice(signs) for _ in range(rnd.randrange(14)))
+        assert R.match_text(text) == plain(text), text
+
+
 def test_no_text_is_kept_twice(spark, monkeypatch):
     """Tables between the steps hold fewer characters than the documents."""
     sizes = []
